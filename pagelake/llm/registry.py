@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, packing, toxicity
+from . import decontaminate, fingerprints, lines, packing, quotes, toxicity, urls, warc
 
-_MODULES = (toxicity, decontaminate, packing)
+_MODULES = (urls, quotes, decontaminate, toxicity, warc, fingerprints, packing, lines)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {k: sql for m in _MODULES for k, sql in getattr(m, "ORACLE_SQL", {}).items()}
