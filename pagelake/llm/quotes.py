@@ -79,6 +79,7 @@ def parse(messages: DataFrame) -> DataFrame:
 
 def reply_links(parsed: DataFrame) -> DataFrame:
     """row_key, parent_key, parent_turn and n_linked of every message that quotes an earlier one."""
+    parsed = parsed.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quoting = parsed.filter(F.size("quotes") > 0).select("conv_id", "turn", "row_key", F.explode(F.array_distinct("quotes")).alias("q"))
     quoting = quoting.select("conv_id", "turn", "row_key", F.col("q.level").alias("level"), F.col("q.hash").alias("hash")).distinct()
     wanted = quoting.select("conv_id", "hash").distinct()
@@ -91,7 +92,7 @@ def reply_links(parsed: DataFrame) -> DataFrame:
     )
     earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     owner = F.max(F.when(F.col("o_key").isNotNull(), F.struct("turn", "o_key"))).over(earlier)
-    found = both.withColumn("owner", owner).filter(F.col("row_key").isNotNull() & F.col("owner").isNotNull() & F.col("turn").isNotNull())
+    found = both.withColumn("owner", owner).filter(F.col("row_key").isNotNull() & F.col("owner").isNotNull())
     best = F.max_by("owner", F.struct(-F.col("level"), F.col("owner.turn"), F.col("owner.o_key")))
     return found.groupBy("row_key").agg(best.alias("best"), F.countDistinct("hash").alias("n_linked")).select(
         "row_key", F.col("best.o_key").alias("parent_key"), F.col("best.turn").alias("parent_turn"), "n_linked"

@@ -117,7 +117,7 @@ def _archive(folder: str):
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     store, path = _opened(folder)
                     store.create_dir(path, recursive=True)
-                    out = store.open_output_stream(f"{path}/{name}")
+                    out = store.open_output_stream(f"{path}/{name}", compression=None)
                 data = record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"])
                 out.write(data)
                 rows.append({"key": entry_key(row["url"], row["page_id"], row["digest"]), "page_id": row["page_id"], "file": name, "offset": offset, "length": len(data)})
