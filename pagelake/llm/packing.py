@@ -12,6 +12,8 @@ empty table gives no sequence; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +30,9 @@ SEQUENCE, CLASS_WIDTH, END_ID = 4096, 16, 2
 #: The restricted linear program ends when it is proven to be within this share of the optimum.
 GAP = 0.002
 #: Words whose ids a worker keeps; a full cache starts anew.
-CACHED_WORDS, LONGEST_CACHED = 300_000, 40
+CACHED_WORDS, LONGEST_CACHED = 1_000_000, 40
+#: Letters whose lower case and normal form are one to one, and marks that make one token run of their own.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
 PIECES = "part int, class int, class_rank bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -37,28 +41,58 @@ class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and no token spans it, so a text is cut at blanks and line ends and the parts'
-    ids are kept and joined; test_packing holds this against whole-text calls.
+    ids are kept and joined. Parts of plain Latin letters and end marks, which its normaliser only lower-cases and its
+    pre-tokenizer cuts between the two, go to its model directly; all others go through the whole tokenizer.
+    test_packing holds this against whole-text calls.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenize = self.tokenizer.model.tokenize
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [c for c in range(256) if c not in plain]
+        self.symbols = {c: 256 + k for k, c in enumerate(rest)}  # the byte-level alphabet's code points
+
+    def _word(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            tokens = self.tokenize(word.encode().decode("latin-1").translate(self.symbols))
+            ids = self.known[word] = np.array([t.id for t in tokens], "<u4").tobytes()
+        return ids
+
+    def _learn(self, parts: list[str]) -> None:
+        others = []
+        for part in parts:
+            if plain := PLAIN.fullmatch(part):
+                self.known[part] = self._word(plain[1].lower()) + (self._word(plain[2]) if plain[2] else b"")
+            else:
+                others.append(part)
+        for part, coded in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False)):
+            self.known[part] = np.array(coded.ids, "<u4").tobytes()
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             parts = text.replace("\n", " ").split(" ")
             known = self.known
-            if missing := [p for p in set(parts) if p not in known]:
-                if len(known) + len(missing) > CACHED_WORDS:
-                    self.known = known = {"": b""}
-                    missing = [p for p in set(parts) if p]
-                for part, coded in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                    known[part] = np.array(coded.ids, "<u4").tobytes()
+            missing = [p for p in set(parts) if p not in known]
+            if missing and len(known) + 2 * len(missing) > CACHED_WORDS:
+                self.known = known = {"": b""}
+                missing = [p for p in set(parts) if p]
+            if missing:
+                self._learn(missing)
             yield b"".join([known[p] for p in parts])
             for part in missing:
                 if len(part) > LONGEST_CACHED:
-                    del known[part]
+                    known.pop(part, None)
+                    known.pop(part.lower(), None)
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """A worker's encoder: it keeps its words from task to task."""
+    return Encoder(path)
 
 
 def _cut(path: str, sequence: int, width: int):
@@ -66,13 +100,13 @@ def _cut(path: str, sequence: int, width: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path), TaskContext.get().partitionId()
         ranks = np.zeros(-(-sequence // width) + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.texts(texts)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.texts(texts)):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, sequence):
