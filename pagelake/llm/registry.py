@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, fingerprints, lines, near, packing, quotes, toxicity, urls, warc
+from . import decontaminate, fingerprints, lines, near, packing, quotes, suffixes, toxicity, urls, warc
 
-_MODULES = (urls, quotes, decontaminate, near, toxicity, warc, fingerprints, packing, lines)
+_MODULES = (urls, suffixes, quotes, decontaminate, near, toxicity, warc, fingerprints, packing, lines)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {k: sql for m in _MODULES for k, sql in getattr(m, "ORACLE_SQL", {}).items()}
