@@ -2,7 +2,8 @@
 
 A line is boilerplate of a host when more than RATIO of the host's pages contain it and at least MIN_PAGES do. A host's
 boilerplate has at most (lines of a page) / RATIO entries on average, however many pages there are, so it is gathered
-per host and joined to the pages by host.
+per host. It is broadcast if all hosts' entries together are at most BROADCAST_LINES; else pages and hosts join on host
+and salt, so that a host with a third of all pages is spread over SALTS tasks.
 
 Defined cases: a null text is empty and stays null; a null host is the empty host; lines are compared trimmed of blanks, blank
 lines are never boilerplate; a line counts once for a page; repeated rows are pages of their own; an empty table gives
@@ -14,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 RATIO, MIN_PAGES = 0.3, 10
+#: Line hashes (8 bytes each) that may be broadcast; keys that a host is spread over beyond that.
+BROADCAST_LINES, SALTS = 500_000, 64
 
 
 def _lines(text: Column) -> Column:
@@ -41,10 +44,17 @@ def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float =
     return found.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
-def mark_lines(pages: DataFrame, host: str, text: str = "text", **limits) -> DataFrame:
+def mark_lines(pages: DataFrame, host: str, text: str = "text", broadcast_lines: int = BROADCAST_LINES, **limits) -> DataFrame:
     """pages with __lines (all lines) and __kept (those that are not their host's boilerplate)."""
-    drop = boilerplate(pages, host, text, **limits).select(F.col("host").alias("__host"), F.col("lines").alias("__drop"))
-    joined = pages.withColumn("__key", _host(host)).join(drop, F.col("__key") == F.col("__host"), "left")
+    drop = written(boilerplate(pages, host, text, **limits).select(F.col("host").alias("__host"), F.col("lines").alias("__drop")), "boilerplate")
+    rows = pages.withColumn("__key", _host(host))
+    entries = drop.agg(F.sum(F.size("__drop") + F.octet_length("__host") / 8)).first()[0] or 0
+    if entries <= broadcast_lines:
+        joined = rows.join(F.broadcast(drop), F.col("__key") == F.col("__host"), "left")
+    else:
+        drop = drop.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        joined = rows.join(drop, (F.col("__key") == F.col("__host")) & (F.col("__salt") == F.col("__part")), "left").drop("__part", "__salt")
     joined = joined.withColumn("__lines", _lines(F.col(text).cast("string")))
     kept = F.filter("__lines", lambda x: (F.trim(x) == "") | ~F.array_contains("__drop", _key(x)))
     return joined.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(kept)).drop("__host", "__drop", "__key")
