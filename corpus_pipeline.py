@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import common, decontaminate, packing, toxicity
+from pagelake.llm import common, decontaminate, lines, near, packing, toxicity
 
 ORACLE_SQL = None
 
@@ -18,6 +18,14 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
+def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.drop_lines(docs, "source")
+
+
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.drop_near(docs)
+
+
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
@@ -28,6 +36,8 @@ def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", _toxicity),
+    ("line dedup", _lines),
+    ("n-gram Jaccard join", _near),
     ("benchmark decontamination", _decontaminate),
     ("packing", _pack),
 ]
