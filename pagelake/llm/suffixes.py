@@ -29,7 +29,7 @@ LENGTH, GRAM = 200, 40
 #: Bytes of contexts that are sorted at a time; an anchor with more is matched by hash and compared byte by byte.
 BLOCK = 1 << 20
 
-UNITS = "anchor bigint, unit bigint, doc_id bigint, text_hash bigint, s int, e int, m int"
+UNITS = "anchor bigint, unit bigint, doc_id bigint, text_hash bigint, s int, u int, t int, e int, m int"
 CONTEXTS = "anchor bigint, doc_id bigint, text_hash bigint, s int, context binary"
 SPANS = "doc_id bigint, text_hash bigint, s int, e int"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:int,end:int>>"
@@ -50,27 +50,32 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def units(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """anchor, unit hash, first and end byte and number of strings that a run of equal units holds, for each run."""
+    """Runs of equal units that overlap, as in periodic text: anchor, unit hash, s, u, t, e and m of each.
+
+    The run's first unit is text[s:u], its second one starts at t (at e if there is none), the last one ends at e; m is
+    their number.
+    """
     data = np.frombuffer(text, np.uint8)
     n = len(data)
     if n < length:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return (np.zeros(0, np.int64),) * 7
     at = np.arange(n - gram + 1)
     grams = range_hashes(data, at, at + gram, _GRAMS)
     keys = (grams & ~_LOW) | (_LOW - at.astype(np.uint64))
     anchor = (_LOW - (sliding_min(keys, length - gram + 1) & _LOW)).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
-    last = np.concatenate([first[1:] - 1, [len(anchor) - 1]])
-    end = last + length
+    end = np.concatenate([first[1:] - 1, [len(anchor) - 1]]) + length
     found = range_hashes(data, first, end, _UNITS)
     place = (anchor[first] - first).astype(np.uint64)
     found = mix64(found ^ mix64(place * np.uint64(1 << 32) + (end - first).astype(np.uint64)))
-    # runs of single strings that are all alike, as in a row of one letter, are one row
-    head = np.concatenate([[True], (found[1:] != found[:-1]) | (first[1:] != first[:-1] + 1)])
+    order = np.argsort(found, kind="stable")  # equal units together, in text order
+    found, first, end, anchor = found[order], first[order], end[order], anchor[first[order]]
+    head = np.concatenate([[True], (found[1:] != found[:-1]) | (first[1:] > end[:-1])])
     start = np.flatnonzero(head)
     stop = np.concatenate([start[1:], [len(first)]]) - 1
-    return grams[anchor[first[start]]].view(np.int64), found[start].view(np.int64), first[start], end[stop], stop - start + 1
+    count = stop - start + 1
+    second = np.where(count > 1, first[np.minimum(start + 1, len(first) - 1)], end[start])
+    return grams[anchor[start]].view(np.int64), found[start].view(np.int64), first[start], end[start], second, end[stop], count
 
 
 def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -155,9 +160,9 @@ def copies(contexts: list[bytes], orders: np.ndarray, length: int, keep: str) ->
 def _unit_rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     parts = []
     for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), utf8_values(batch.column("text"))):
-        anchor, unit, s, e, m = units(text)
-        if len(s):
-            parts.append((anchor, unit, doc_id, text_hash, s, e, m))
+        anchor, unit, *places = units(text)
+        if len(anchor):
+            parts.append((anchor, unit, doc_id, text_hash, *places))
     if not parts:
         return None
     sizes = [len(p[0]) for p in parts]
@@ -165,7 +170,7 @@ def _unit_rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     ids = pa.array([p[2] for p in parts], pa.int64()).take(pa.array(np.repeat(np.arange(len(parts)), sizes)))
     hashes = np.repeat(np.array([p[3] for p in parts], np.int64), sizes)
     return pa.RecordBatch.from_arrays(
-        [pa.array(joined(0)), pa.array(joined(1)), ids, pa.array(hashes), *[pa.array(joined(k).astype(np.int32)) for k in (4, 5, 6)]],
+        [pa.array(joined(0)), pa.array(joined(1)), ids, pa.array(hashes), *[pa.array(joined(k).astype(np.int32)) for k in range(4, 9)]],
         [x.split()[0] for x in UNITS.split(", ")],
     )
 
@@ -174,7 +179,7 @@ def _context_rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     rows = []
     for row in batch.to_pylist():
         text = row["text"].encode()
-        rows += [(w["anchor"], row["doc_id"], row["text_hash"], w["s"], text[w["s"] : w["e"]]) for w in row["wanted"]]
+        rows += [(w["anchor"], row["doc_id"], row["text_hash"], w["s"], text[w["s"] : w["u"]]) for w in row["wanted"]]
     if not rows:
         return None
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -255,9 +260,9 @@ def repeated_bytes(docs: DataFrame, keep: str = "first") -> DataFrame:
     flagged = written(flagged.filter("n > 1 or texts > 1").drop("unit"), "units")
     copied = flagged.filter("n > 1")
     if keep == "first":
-        copied = copied.withColumn("s", F.col("s") + F.when(F.col("place") == 1, 1).otherwise(0)).filter("place > 1 or m > 1")
+        copied = copied.withColumn("s", F.when(F.col("place") == 1, F.col("t")).otherwise(F.col("s"))).filter("place > 1 or m > 1")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
-    wanted = flagged.filter("place = 1 and texts > 1").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "s", "e")).alias("wanted"))
+    wanted = flagged.filter("place = 1 and texts > 1").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "s", "u")).alias("wanted"))
     asked = texts.alias("t").join(wanted.alias("w"), same("t", "w")).select("t.doc_id", "t.text_hash", "t.text", "w.wanted")
     contexts = asked.mapInArrow(by_batch(_context_rows), CONTEXTS)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
