@@ -1,0 +1 @@
+"""Tables that the engine reads and the stores that it writes."""
