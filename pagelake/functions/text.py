@@ -21,7 +21,7 @@ def collapse_whitespace(text: Column) -> Column:
 def cut_bytes(text: Column, size: int) -> Column:
     """At most size bytes of UTF-8; a code point that would be split is left out."""
     data = F.substring(F.encode(text, "UTF-8"), 1, size)
-    return F.when(F.octet_length(text) <= size, text).otherwise(F.regexp_replace(F.decode(data, "UTF-8"), "�+$", ""))
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.regexp_replace(F.make_valid_utf8(data.cast("string")), "\ufffd+$", ""))
 
 
 def contains_any(text: Column, phrases: list[str]) -> Column:

@@ -1,5 +1,9 @@
 """Registered queries of the engine and the SQL that each is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import catalog_queries, json_queries, page_queries, traffic_queries, url_queries
+
+_MODULES = (url_queries, traffic_queries, catalog_queries, json_queries, page_queries)
+
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: sql for m in _MODULES for k, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = "page_records"

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import cut_bytes
+
 MAX_RESPONSE, MAX_PROBE = 10 << 20, 2 << 20
 
 HAR_ENTRY = (
@@ -44,8 +46,7 @@ def read_domains(spark: SparkSession, path: str) -> DataFrame:
 
 def successful(responses: DataFrame, size: int = MAX_RESPONSE) -> DataFrame:
     """Responses of status 200 to 299, bodies cut to size bytes."""
-    body = F.when(F.octet_length("body") <= size, F.col("body")).otherwise(F.decode(F.substring(F.encode("body", "UTF-8"), 1, size), "UTF-8"))
-    return responses.filter(F.col("status").between(200, 299)).withColumn("body", body)
+    return responses.filter(F.col("status").between(200, 299)).withColumn("body", cut_bytes(F.col("body"), size))
 
 
 def json_probes(responses: DataFrame) -> DataFrame:
