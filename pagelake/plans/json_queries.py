@@ -94,5 +94,5 @@ ORACLE_SQL = {
     "json_leaf_score": "SELECT event_id, CAST(0.84 AS DOUBLE) AS score FROM events",
     "search_state_urls": r"""
 SELECT r_regionkey, 'https://www.homes.example/' || replace(name, ' ', '-') || '-TX/rentals/?searchQueryState=%7B%22usersSearchTerm%22%3A%22' || replace(name, ' ', '+') || '+TX%22%7D' AS url
-FROM (SELECT r_regionkey, array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM region)""",
+FROM (SELECT r_regionkey, array_to_string(list_transform(string_split(r_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM region)""",
 }
