@@ -7,8 +7,8 @@ Training takes a bounded sample of the labelled rows (MAX_TRAINING_ROWS, a third
 smallest hash of doc_id, weighted back to their share); scoring covers all rows, one by one.
 
 Defined cases: a null or empty text is scored by the intercept; a null doc_id counts as the empty string for the fold;
-labels of several rows for one doc_id: the highest counts; null labels are ignored; with labels of one class only the
-score is their smoothed rate, with none 0. Other columns of the input are ignored (or passed on by the filter).
+labels of several rows for one doc_id: the highest counts; null labels are ignored; without labels of both classes nothing
+can be learnt and every score is 0. An empty table gives no row; other columns are ignored (or passed on by the filter).
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: np.ndarray, base
     """
     n, positive = len(rows), int(labels.sum())
     if not n or positive in (0, n):
-        return Model(np.zeros(0, np.uint64), np.zeros((0, len(LEVELS))), 0.0, 0.0 if not n else (positive + 0.5) / (n + 1))
+        return Model(np.zeros(0, np.uint64), np.zeros((0, len(LEVELS))), 0.0, 0.0)
     words, seen = np.unique(np.concatenate(rows), return_counts=True)
     words = words[seen >= min(MIN_TEXTS, positive)]
     swap_keys = np.array(sorted(swaps), np.uint64)
