@@ -19,7 +19,7 @@ def cases(spark):
 
 
 def labels(spark):
-    return spark.createDataFrame([(1, 0), (4, 1), (4, 0), (None, 1), (3, None)], "doc_id bigint, toxic int")
+    return spark.createDataFrame([(1, 0), (4, 1), (4, 0), (None, 1), (3, 0), (2, None)], "doc_id bigint, toxic int")
 
 
 def benchmark(spark):
