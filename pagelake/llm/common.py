@@ -20,6 +20,10 @@ WORD_TABLE = bytes(
 )
 
 
+#: The same words of a column text, for SQL to hold results against.
+WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, through Spark only (the path may be in any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

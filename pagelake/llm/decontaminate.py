@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, utf8_values, words_of, written
+from .common import WORDS_SQL, bounded_batches, table, utf8_values, words_of, written
 
 WINDOW_WORDS = 10
 #: Bytes of benchmark text in a block; the corpus index is searched once for each block.
@@ -303,3 +303,20 @@ def keyed(docs: DataFrame, name: str = "doc_id") -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.col("doc_id"), F.col("text")))
 
 QUERIES = {"op4_benchmark_decontamination": op4_benchmark_decontamination}
+ORACLE_SQL = {
+    "op4_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {WORDS_SQL} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, k, array_to_string(w[o:o + k - 1], ' ') AS g FROM (
+    SELECT item, w, least({WINDOW_WORDS}, len(w)) AS k, unnest(generate_series(1, len(w) - least({WINDOW_WORDS}, len(w)) + 1)) AS o FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, k, o, array_to_string(w[o:o + k - 1], ' ') AS g FROM (
+    SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS o FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)
+), m AS (SELECT doc_id, k, o, item FROM dw JOIN win USING (k, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(o, o + k - 1)) AS p FROM (SELECT DISTINCT doc_id, k, o FROM m)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(named.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+}

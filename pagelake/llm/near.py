@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_batch, shingle_hashes, table, utf8_values, word_hashes, written
+from .common import WORDS_SQL, bounded_batches, by_batch, shingle_hashes, table, utf8_values, word_hashes, written
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
 #: Classes of a tile; a cell holds two at most.
@@ -291,3 +291,21 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
+ORACLE_SQL = {
+    "op5_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {NGRAM} THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - {NGRAM - 1}), lambda o: array_to_string(w[o:o + {NGRAM - 1}], ' ')))) END AS g FROM d
+), c AS (SELECT min(doc_id) AS class_id, count(*) AS class_size, g FROM s GROUP BY g),
+e AS MATERIALIZED (SELECT class_id, len(g) AS n, unnest(list_transform(g, lambda x: hash(x))) AS h FROM c),
+p AS (
+  SELECT a.class_id AS a, b.class_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM e a JOIN e b ON a.h = b.h AND a.class_id <> b.class_id GROUP BY 1, 2
+), l AS MATERIALIZED (SELECT a, b FROM p WHERE shared >= {THRESHOLD} * (na + nb - shared)),
+r(class_id, root) AS (SELECT a, a FROM (SELECT DISTINCT a FROM l) UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.class_id),
+g AS (SELECT class_id, min(root) AS root FROM r GROUP BY class_id),
+n AS (SELECT l.a AS class_id, sum(c.class_size) AS n_links, count(*) AS n_class_links FROM l JOIN c ON c.class_id = l.b GROUP BY 1)
+SELECT s.doc_id, c.class_id, CAST(class_size AS BIGINT) AS class_size, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_class_links, 0) AS BIGINT) AS n_class_links,
+  coalesce(g.root, c.class_id) AS group_id FROM s JOIN c ON s.g = c.g LEFT JOIN g ON g.class_id = c.class_id LEFT JOIN n ON n.class_id = c.class_id"""
+}

@@ -307,11 +307,11 @@ def test_native_plans(spark):
         assert not re.search("Python|Pandas|Arrow|ExternalRDD", plan)
 
 
-@pytest.mark.parametrize("name", ["op10_line_dedup", "op7_warc"])
+@pytest.mark.parametrize("name", ["op4_benchmark_decontamination", "op5_ngram_jaccard_join", "op7_warc", "op10_line_dedup"])
 def test_oracle(spark, name):
-    module = {"op10_line_dedup": lines, "op7_warc": warc}[name]
+    module = {"op4": decontaminate, "op5": near, "op7": warc, "op10": lines}[name.split("_")[0]]
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     result = con.execute(module.ORACLE_SQL[name])
     names = [x[0] for x in result.description]
