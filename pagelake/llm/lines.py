@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-RATIO, MIN_PAGES = 0.3, 10
+RATIO, MIN_PAGES = 0.05, 10
 #: Line hashes (8 bytes each) that may be broadcast; keys that a host is spread over beyond that.
 BROADCAST_LINES, SALTS = 500_000, 64
 
