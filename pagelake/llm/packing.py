@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, table, written
 
-SEQUENCE, CLASS_WIDTH, END_ID = 4096, 16, 2
+SEQUENCE, CLASS_WIDTH, END_ID = 4096, 8, 2
 #: The restricted linear program ends when it is proven to be within this share of the optimum.
-GAP = 0.002
+GAP = 0.005
 #: Words whose ids a worker keeps; a full cache starts anew.
 CACHED_WORDS, LONGEST_CACHED = 1_000_000, 40
 #: Letters whose lower case and normal form are one to one, and marks that make one token run of their own.
