@@ -7,7 +7,7 @@ least nested linked passage names. A conversation is then ordered by threads: ea
 turn order, followed by all that answer it, directly or not, in turn order; texts come without quotes.
 
 Defined cases: a null or empty text has no passages; a null conv_id or turn links to nothing; equal turns of a conversation are
-told apart and ordered by role and text; repeated rows link alike and keep their number; an empty table gives no row;
+told apart and ordered by role and a hash of the row; repeated rows link alike and keep their number; an empty table gives no row;
 other columns are ignored.
 """
 
@@ -15,10 +15,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, by_batch, table, written
 
@@ -117,18 +120,47 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         if not jumped.filter("moved").take(1):
             break
     joined = parsed.join(links, "row_key", "left").join(roots, "row_key", "left")
-    order = Window.partitionBy("conv_id").orderBy(F.coalesce("root_turn", "turn"), F.coalesce("root_key", "row_key"), "turn", "role", "body", "row_key")
-    return joined.select(
+    ordered = joined.select(
         "conv_id",
         "turn",
         "role",
-        F.row_number().over(order).cast("bigint").alias("position"),
         "parent_turn",
         F.coalesce("root_turn", "turn").alias("thread_turn"),
+        F.coalesce("root_key", "row_key").alias("thread_key"),
         F.size("quotes").cast("bigint").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
         F.col("body").alias("text"),
+        "row_key",
     )
+    keys = ["conv_id", "thread_turn", "thread_key", "turn", "role", "row_key"]
+    return numbered(ordered, keys).drop("thread_key", "row_key")
+
+
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with position, their place within the first key in the order of all keys; a group may span many tasks.
+
+    Rows are dealt and sorted by range, numbered within their task, and moved on by the counts of the tasks before.
+    """
+    group = keys[0]
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, place = TaskContext.get().partitionId(), object(), 0
+        for batch in batches:
+            places = []
+            for value in batch.column(group).to_pylist():
+                place = place + 1 if value == last else 1
+                last = value
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(places), pa.int32()), pa.array(places, pa.int64())], [*batch.schema.names, "part", "place"])
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema), "numbered")
+    counts = placed.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col(group).alias("__group"), F.col("part").alias("__part"), F.coalesce(before, F.lit(0)).alias("__before"))
+    both = placed.join(counts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("part") == F.col("__part")))
+    return both.withColumn("position", F.col("place") + F.col("__before")).drop("__group", "__part", "__before", "part", "place")
 
 
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
