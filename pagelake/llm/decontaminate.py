@@ -27,6 +27,8 @@ WINDOW_WORDS = 10
 BLOCK_BYTES = 8 << 20
 #: Candidates of a segment that are held at a time.
 CANDIDATES = 1 << 21
+#: Words after which a segment of long documents ends.
+SEGMENT_WORDS = 2_000_000
 
 INDEX_SCHEMA = "segment string, doc_ids array<bigint>, n_words array<int>, terms binary, counts binary, positions binary"
 MATCH_SCHEMA = "segment string, doc_no int, doc_id bigint, n_words bigint, items array<string>, spans array<struct<start:int,end:int>>"
@@ -40,32 +42,42 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), "<i4")
 
 
+def _segment(name: str, doc_ids: list, sizes: list[int], tokens: list[np.ndarray], ids: dict[bytes, int]) -> pa.RecordBatch:
+    stream = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
+    order = np.argsort(stream, kind="stable").astype(np.int32)
+    counts = np.bincount(stream, minlength=len(ids))
+    steps = np.diff(order, prepend=np.int32(0))
+    starts = np.cumsum(counts) - counts
+    steps[starts] = order[starts]  # each list starts with its first position itself
+    arrays = [
+        pa.array([name]),
+        pa.array([doc_ids], pa.list_(pa.int64())),
+        pa.array([sizes], pa.list_(pa.int32())),
+        pa.array([zstandard.compress(b" ".join(ids), 1)]),
+        pa.array([_pack(counts)]),
+        pa.array([_pack(steps)]),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["segment", "doc_ids", "n_words", "terms", "counts", "positions"])
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    for number, batch in enumerate(batches):
+    """A segment for each batch of documents, or for SEGMENT_WORDS words of a batch of long ones."""
+    part, number = TaskContext.get().partitionId(), 0
+    for batch in batches:
         ids: dict[bytes, int] = {}
-        tokens, sizes = [], []
-        for text in utf8_values(batch.column("text")):
+        doc_ids, sizes, tokens, held = [], [], [], 0
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8_values(batch.column("text"))):
             words = words_of(text)
+            doc_ids.append(doc_id)
             sizes.append(len(words))
             tokens.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
-        stream = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
-        order = np.argsort(stream, kind="stable").astype(np.int32)
-        counts = np.bincount(stream, minlength=len(ids))
-        steps = np.diff(order, prepend=np.int32(0))
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)[: len(counts)]
-        steps[starts] = order[starts]  # each list starts with its first position itself
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([f"{part}-{number}"]),
-                pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                pa.array([sizes], pa.list_(pa.int32())),
-                pa.array([zstandard.compress(b" ".join(ids), 1)]),
-                pa.array([_pack(counts)]),
-                pa.array([_pack(steps)]),
-            ],
-            ["segment", "doc_ids", "n_words", "terms", "counts", "positions"],
-        )
+            held += len(words)
+            if held > SEGMENT_WORDS:
+                yield _segment(f"{part}-{number}", doc_ids, sizes, tokens, ids)
+                ids, doc_ids, sizes, tokens, held, number = {}, [], [], [], 0, number + 1
+        if doc_ids:
+            yield _segment(f"{part}-{number}", doc_ids, sizes, tokens, ids)
+            number += 1
 
 
 def build_index(docs: DataFrame) -> DataFrame:

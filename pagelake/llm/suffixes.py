@@ -279,3 +279,19 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_suffix_array_dedup": op2_suffix_array_dedup}
+ORACLE_SQL = {
+    "op2_suffix_array_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, sha256(array_slice(b, i, i + {LENGTH - 1})) AS h FROM (SELECT r, b, unnest(generate_series(1, octet_length(b) - {LENGTH - 1})) AS i FROM d WHERE octet_length(b) >= {LENGTH})),
+c AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH}, true) AS opens FROM w SEMI JOIN c USING (h)),
+g AS (SELECT r, min(i) AS a, max(i) + {LENGTH - 1} AS z FROM (SELECT r, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS k FROM s) GROUP BY r, k),
+k AS (
+  SELECT r, a, z, hex(array_slice(b, coalesce(lag(z) OVER o, 0) + 1, a - 1)) AS before, lead(a) OVER o IS NULL AS is_last, hex(array_slice(b, z + 1, octet_length(b))) AS rest
+  FROM g JOIN d USING (r) WINDOW o AS (PARTITION BY r ORDER BY a)
+), f AS (
+  SELECT r, sum(z - a + 1) AS n_removed, count(*) AS n_spans, sha256(unhex(string_agg(before || CASE WHEN is_last THEN rest ELSE '' END, '' ORDER BY a))) AS kept FROM k GROUP BY r
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  coalesce(kept, sha256(b)) AS kept_sha256 FROM d LEFT JOIN f USING (r)"""
+}

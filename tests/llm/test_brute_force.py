@@ -307,9 +307,9 @@ def test_native_plans(spark):
         assert not re.search("Python|Pandas|Arrow|ExternalRDD", plan)
 
 
-@pytest.mark.parametrize("name", ["op4_benchmark_decontamination", "op5_ngram_jaccard_join", "op7_warc", "op10_line_dedup"])
+@pytest.mark.parametrize("name", ["op2_suffix_array_dedup", "op4_benchmark_decontamination", "op5_ngram_jaccard_join", "op7_warc", "op10_line_dedup"])
 def test_oracle(spark, name):
-    module = {"op4": decontaminate, "op5": near, "op7": warc, "op10": lines}[name.split("_")[0]]
+    module = {"op2": suffixes, "op4": decontaminate, "op5": near, "op7": warc, "op10": lines}[name.split("_")[0]]
     con = duckdb.connect()
     for table in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
@@ -397,3 +397,29 @@ def test_index_over_blocks(spark, monkeypatch):
     captures = warc.Captures(folder, warc.write_index(entries, folder))
     rows = {r.key: r.page_id for r in entries.collect()}
     assert all(captures.get(k)["page_id"] == v for k, v in rows.items()) and len(rows) == pages.count()
+
+
+def test_small_segments_find_the_same(spark, monkeypatch):
+    import numpy
+    import pyarrow
+
+    texts = corpus(9, 30)
+    batch = pyarrow.RecordBatch.from_arrays([pyarrow.array(range(30), pyarrow.int64()), pyarrow.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(decontaminate, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", 300)
+    parts = list(decontaminate._segments(iter([batch])))
+    block = decontaminate.Block([("1", [w.encode() for w in tokens(texts[4])]), ("2", [w.encode() for w in tokens(texts[6])[:25]])], 10)
+    block.rank(numpy.ones(len(block.vocabulary), int))
+    found = []
+    for part in parts:
+        row = part.to_pylist()[0]
+        segment = decontaminate.Segment(row, block.vocabulary)
+        window, start = segment.phrases(block)
+        found += [(row["doc_ids"][d], int(s - segment.ends[d] + segment.sizes[d]), block.names[block.item[w]]) for w, s, d in zip(window, start, segment.doc_of(start))]
+    brute = set()
+    for d, text in enumerate(texts):
+        words = tokens(text)
+        for name, item in (("1", tokens(texts[4])), ("2", tokens(texts[6])[:25])):
+            size = min(10, len(item))
+            brute |= {(d, k, name) for o in range(len(item) - size + 1) for k in range(len(words) - size + 1) if words[k : k + size] == item[o : o + size]}
+    assert len(parts) > 5 and set(found) == brute
