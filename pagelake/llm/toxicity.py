@@ -24,7 +24,7 @@ from .common import WORD_POWERS, bounded_batches, by_batch, mix64, range_hashes,
 MAX_TRAINING_ROWS = 6_000
 #: A word is a feature when this many sampled texts have it.
 MIN_TEXTS = 3
-SWAP_WEIGHT, L1, STEPS = 1.0, 4e-4, 200
+SWAP_WEIGHT, L1, STEPS = 1.0, 4e-4, 300
 #: Lengths of word beginnings in bytes, and the numbers of occurrences that are told apart.
 PREFIXES, LEVELS = (3, 4, 5, 6, 8), (1, 2, 4)
 
