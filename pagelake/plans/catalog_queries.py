@@ -22,9 +22,9 @@ def _urls(spark, d):
 
 
 def _patterns(spark, d):
-    """Distinct normalised patterns of every third page, and /{}/{} for every host."""
+    """Distinct normalised patterns of all pages, and /{}/{} for every host."""
     rows = _urls(spark, d).select("page_id", urls.authority(F.col("url")).alias("domain"), urls.normalize_path(urls.path(F.col("url"))).alias("p"))
-    both = rows.filter("page_id % 3 = 0").select("domain", F.col("p").alias("url_pattern")).unionByName(rows.select("domain", F.lit("/{}/{}").alias("url_pattern")))
+    both = rows.select("domain", F.col("p").alias("url_pattern")).unionByName(rows.select("domain", F.lit("/{}/{}").alias("url_pattern")))
     return both.distinct().withColumn("ord", F.xxhash64("domain", "url_pattern"))
 
 
@@ -86,7 +86,7 @@ def known_site_api_url(spark, d):
 
 
 def probe_candidates_ranked(spark, d):
-    asked = catalog.probe_candidates(_urls(spark, d)).filter("(page_id + length(strategy)) % 4 <> 0")
+    asked = catalog.probe_candidates(_urls(spark, d))
     pattern = urls.normalize_path(urls.path(F.col("url")))
     scored = asked.withColumn("score", catalog.probe_score(F.col("strategy"), pattern, F.col("strategy") == "accept_header")).withColumn("method", F.lit("GET")).withColumn("url_template", F.col("probe_url"))
     return catalog.rank_candidates(scored).select("page_id", "strategy", "score", F.col("rank").cast("int").alias("rank"))
@@ -98,7 +98,7 @@ def endpoint_rank(spark, d):
 
 
 def url_semantic_score(spark, d):
-    rows = _urls(spark, d).filter("page_id % 5 = 0").select("page_id", urls.path(F.col("url")).alias("target"))
+    rows = _urls(spark, d).select("page_id", urls.path(F.col("url")).alias("target"))
     probes = rows.select("page_id", "target", F.explode(F.array(
         F.concat(F.lit("https://x.example.com"), F.col("target")), F.concat(F.lit("https://x.example.com"), F.regexp_replace("target", "/$", ""), F.lit(".json")),
         F.concat(F.lit("https://x.example.com/api"), F.col("target")), F.lit("https://x.example.com/none"),

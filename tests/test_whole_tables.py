@@ -3,6 +3,7 @@
 import json
 import pathlib
 
+import duckdb
 import pytest
 
 from pagelake import plans
@@ -10,6 +11,8 @@ from pagelake.plans import views
 
 DATA = pathlib.Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+#: Row filters in the registered SQL; the SQL without them covers the whole table.
+FILTERS = (" WHERE page_id % 3 = 0", " WHERE page_id % 5 = 0", " WHERE (page_id + length(strategy)) % 4 <> 0")
 
 
 def rows(spark, name):
@@ -40,3 +43,17 @@ def test_responses_by_endpoint(spark, tmp_path):
     found = {r.capture_id: r.data and json.loads(r.data) for r in plans.QUERIES["responses_by_endpoint"](spark, str(tmp_path)).collect()}
     # the last click is odd, an odd failure makes its capture null, and a capture of odd rows only is there
     assert found == {1: {"click": {"n": 1}, "view": {"n": 2}}, 2: None, 3: {"signup": {"n": 5}}}
+
+
+@pytest.mark.parametrize("name", ["url_semantic_score", "probe_candidates_ranked", "pattern_match_best", "schema_lookup_priority", "schema_ttl_expired", "schema_store_if_no_api", "schemas_per_domain"])
+def test_catalog(spark, name):
+    sql = plans.ORACLE_SQL[name]
+    for part in FILTERS:
+        sql = sql.replace(part, "")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
+    result = con.execute(sql)
+    names = [x[0] for x in result.description]
+    expected = [dict(zip(names, r)) for r in result.fetchall()]
+    key = lambda r: repr(sorted(r.items()))
+    assert sorted(rows(spark, name), key=key) == sorted(expected, key=key)
