@@ -93,7 +93,7 @@ def probe_candidates_ranked(spark, d):
 
 
 def endpoint_rank(spark, d):
-    rows = views.endpoints(spark, d, 0).select("domain", "url_template", F.col("confidence").alias("semantic_score"), (F.col("ord") % 17).alias("response_size"), "ord")
+    rows = views.endpoints(spark, d).select("domain", "url_template", F.col("confidence").alias("semantic_score"), (F.col("ord") % 17).alias("response_size"), "ord")
     return catalog.rank_endpoints(rows, ["domain"]).select("domain", "url_template", "ord", F.col("rank").cast("int").alias("rank"), "is_primary")
 
 
@@ -134,7 +134,7 @@ def action_dedupe(spark, d):
 def catalog_union(spark, d):
     targets = _urls(spark, d).withColumn("domain", urls.authority(F.col("url"))).select("domain", "url")
     by_url = catalog.url_actions(targets).drop("url")
-    by_schema = catalog.schema_actions(views.endpoints(spark, d, 0).withColumn("domain", F.lit("api.example.com")))
+    by_schema = catalog.schema_actions(views.endpoints(spark, d).withColumn("domain", F.lit("api.example.com")))
     both = by_url.unionByName(by_schema)
     return both.groupBy("domain", "kind", "source").agg(F.count(F.lit(1)).alias("n"))
 

@@ -26,7 +26,7 @@ def rule_schema_rows(spark, d):
 
 
 def endpoint_fill(spark, d):
-    rows = views.endpoints(spark, d, 0).withColumn("confidence", F.col("confidence").cast("double")).filter("ord % 3 = 0")
+    rows = views.endpoints(spark, d).withColumn("confidence", F.col("confidence").cast("double"))
     return schemas.endpoint_defaults(rows).select("domain", "url_template", "method", "ord", "description", "confidence")
 
 
@@ -36,7 +36,7 @@ def entity_types(spark, d):
 
 
 def primary_endpoints(spark, d):
-    return schemas.primary_endpoint(views.endpoints(spark, d, 1), ["domain"]).select("domain", "ord", "is_primary")
+    return schemas.primary_endpoint(views.endpoints(spark, d), ["domain"]).select("domain", "ord", "is_primary")
 
 
 def improved_patterns(spark, d):
@@ -74,7 +74,7 @@ def hmac_digests(spark, d):
 
 
 def traffic_documents(spark, d):
-    found = schemas.traffic_document(views.har(spark, d).filter("ord % 4 = 1"), 3, 20)
+    found = schemas.traffic_document(views.har(spark, d))
     return found.select("capture_id", "document")
 
 

@@ -24,13 +24,18 @@ SELECT concat('h', o_custkey % 20, '.example.com') AS domain, CASE WHEN o_orderk
   round(max(o_totalprice % 97) / 100.0, 2) AS confidence, max(o_totalprice) > 300000 AS is_primary, CAST(min(o_orderkey) AS INT) AS ord
 FROM {orders} WHERE o_orderkey % 2 = PARITY OR o_orderkey % 3 = 1 GROUP BY 1, 2, 3"""
 
+#: What makes one of two inputs of ENDPOINTS.
+_SPLIT = " WHERE o_orderkey % 2 = PARITY OR o_orderkey % 3 = 1"
+
 
 def har(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(HAR, events=read_table(spark, d, "events"))
 
 
-def endpoints(spark: SparkSession, d: str, parity: int) -> DataFrame:
-    return spark.sql(ENDPOINTS.replace("PARITY", str(parity)).replace("{q}", "[q]"), orders=read_table(spark, d, "orders"))
+def endpoints(spark: SparkSession, d: str, parity: int | None = None) -> DataFrame:
+    """Endpoints of all orders; with a parity, of one of two inputs that overlap and are to be merged."""
+    query = ENDPOINTS.replace(_SPLIT, "") if parity is None else ENDPOINTS.replace("PARITY", str(parity))
+    return spark.sql(query.replace("{q}", "[q]"), orders=read_table(spark, d, "orders"))
 
 
 def har_sql() -> str:

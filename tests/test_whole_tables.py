@@ -12,7 +12,10 @@ from pagelake.plans import views
 DATA = pathlib.Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
 #: Row filters in the registered SQL; the SQL without them covers the whole table.
-FILTERS = (" WHERE page_id % 3 = 0", " WHERE page_id % 5 = 0", " WHERE (page_id + length(strategy)) % 4 <> 0")
+FILTERS = (
+    " WHERE page_id % 3 = 0", " WHERE page_id % 5 = 0", " WHERE (page_id + length(strategy)) % 4 <> 0", " WHERE ord % 3 = 0",
+    " WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 1", " WHERE o_orderkey % 2 = 1 OR o_orderkey % 3 = 1",
+)
 
 
 def rows(spark, name):
@@ -45,15 +48,26 @@ def test_responses_by_endpoint(spark, tmp_path):
     assert found == {1: {"click": {"n": 1}, "view": {"n": 2}}, 2: None, 3: {"signup": {"n": 5}}}
 
 
-@pytest.mark.parametrize("name", ["url_semantic_score", "probe_candidates_ranked", "pattern_match_best", "schema_lookup_priority", "schema_ttl_expired", "schema_store_if_no_api", "schemas_per_domain"])
+@pytest.mark.parametrize("name", ["url_semantic_score", "probe_candidates_ranked", "pattern_match_best", "schema_lookup_priority", "schema_ttl_expired", "schema_store_if_no_api", "schemas_per_domain", "endpoint_fill", "endpoint_rank", "primary_endpoints", "catalog_union"])
 def test_catalog(spark, name):
     sql = plans.ORACLE_SQL[name]
     for part in FILTERS:
         sql = sql.replace(part, "")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
+    for table in ("pages", "orders"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     result = con.execute(sql)
     names = [x[0] for x in result.description]
     expected = [dict(zip(names, r)) for r in result.fetchall()]
     key = lambda r: repr(sorted(r.items()))
     assert sorted(rows(spark, name), key=key) == sorted(expected, key=key)
+
+
+def test_traffic_documents(spark, har):
+    expected, n = {}, {}
+    for r in har:
+        k = n[r["capture_id"]] = n.get(r["capture_id"], 0) + 1
+        if k <= 25:
+            entry = f"## {k}. {r['method']} {r['url']}\nstatus {r['status']}\n{(r['body'] or '').encode()[:500].decode(errors='ignore')}"
+            expected.setdefault(r["capture_id"], []).append(entry)
+    assert {r["capture_id"]: r["document"] for r in rows(spark, "traffic_documents")} == {k: "\n\n".join(x) for k, x in expected.items()}
