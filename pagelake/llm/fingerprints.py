@@ -60,6 +60,28 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.greatest(F.size(a), F.size(b)) == 0, F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
+def _slot(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at or below key, by binary search."""
+    array = _longs(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when((at + step <= len(bounds)) & (F.coalesce(F.get(array, at + step - 1), F.lit((1 << 63) - 1)) <= key), at + step).otherwise(at),
+    )
+
+
+def _longs(values: list[int]) -> Column:
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
+
+
+def _existing(ids: DataFrame, cuts: list[int]) -> list[int]:
+    """The least key and the least one at or above each cut: quantiles are doubles, which keys beyond 2**53 need not be."""
+    cuts = [c for c in cuts if -(1 << 63) <= c < 1 << 63]
+    slot = _slot(F.col("key"), cuts) if cuts else F.lit(0)
+    return sorted(r[0] for r in ids.groupBy(slot.alias("slot")).agg(F.min("key")).select("min(key)").collect())
+
+
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, text and sketch of every row, next_text and next_sketch of the row after it by doc_id (after the last: the first)."""
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
@@ -67,16 +89,10 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     n = rows.select("key").count()
     count = max(1, min(MOST_BUCKETS, n // bucket_rows))
     ids = rows.select("key")
-    bounds = sorted({int(r) for r in ids.approxQuantile("key", [k / count for k in range(1, count)], 0.2 / count)} if count > 1 and n else set())
-    least = ids.agg(F.min("key")).first()[0]
-    bounds = sorted({least, *bounds}) if least is not None else [0]
-    array = F.expr(f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)")
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
-    bucket = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when((at + step <= len(bounds)) & (F.coalesce(F.get(array, at + step - 1), F.lit((1 << 63) - 1)) <= F.col("key")), at + step).otherwise(at),
-    )
+    cuts = sorted({int(r) for r in ids.approxQuantile("key", [k / count for k in range(1, count)], 0.2 / count)} if count > 1 and n else set())
+    bounds = _existing(ids, cuts) or [0]
+    array = _longs(bounds)
+    bucket = _slot(F.col("key"), bounds)
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("lap"), F.lit(False).alias("ghost"))
     before = F.struct(
         F.when(F.col("bucket") == 1, F.lit(len(bounds))).otherwise(F.col("bucket") - 1).alias("bucket"),
