@@ -1,9 +1,10 @@
 """Chat formatting by quotation linking.
 
 Messages are split into own text and quoted passages by their leading '>' marks, one level a mark. Quoted passages are
-normalised (blanks collapsed, lower-cased) and hashed, and joined by hash, within a conversation, to the earlier messages
-that own such a passage: a whole own text, a paragraph of it or a line. A message replies to the latest of those that its
-least nested linked passage names. A conversation is then ordered by threads: each message without a reply target, in
+normalised (blanks collapsed, lower-cased) and hashed whole, by paragraph and by line, and joined by hash, within a
+conversation, to the earlier messages that own such a piece: a whole own text, a run of own lines between quotes, or a
+paragraph or line of these. A passage is of the latest owner of its longest piece that has one, so that a part of a text,
+or more than it, links too. A message replies to the latest of those that its least nested linked passages name. A conversation is then ordered by threads: each message without a reply target, in
 turn order, followed by all that answer it, directly or not, in turn order; texts come without quotes.
 
 Defined cases: a null or empty text has no passages; a null conv_id or turn links to nothing; equal turns of a conversation are
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,56 +28,75 @@ from pyspark.sql import types as T
 from .common import bounded_batches, by_batch, table, written
 
 _MARKS = re.compile(r"^((?:[ \t]{0,3}>)+)[ \t]?")
-PARSED = "conv_id bigint, turn bigint, role string, row_key bigint, body string, quotes array<struct<level:int,hash:bigint>>, owned array<bigint>"
+PARSED = "conv_id bigint, turn bigint, role string, row_key bigint, body string, quotes array<struct<level:int,passage:bigint,hash:bigint,size:int>>, n_quotes bigint, owned array<bigint>"
+
+
+def _plain(text: str) -> str:
+    return " ".join(text.split()).lower()
 
 
 def passage_hash(text: str) -> int | None:
     """A 64-bit hash of a passage, blanks collapsed and lower-cased; None if nothing is left."""
-    plain = " ".join(text.split()).lower()
+    plain = _plain(text)
     return int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) if plain else None
 
 
-def split_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
-    """Own text, and each run of lines of one quote level as (level, passage)."""
-    own: list[str] = []
-    quotes: list[tuple[int, list[str]]] = []
-    before = 0
+def _runs(text: str) -> list[tuple[int, str]]:
+    """Each run of lines of one quote level (0: own text) as (level, lines without marks)."""
+    lines = []
     for line in text.split("\n"):
         marks = _MARKS.match(line)
-        level = marks.group(1).count(">") if marks else 0
-        rest = line[marks.end() :] if marks else line
-        if not level:
-            own.append(line)
-        elif level == before:
-            quotes[-1][1].append(rest)
-        else:
-            quotes.append((level, [rest]))
-        before = level
-    body = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n")
-    return body, [(k, "\n".join(lines)) for k, lines in quotes]
-
-
-def owned_hashes(body: str) -> set[int]:
-    """Hashes of a whole own text, of its paragraphs and of its lines."""
-    parts = [body, *re.split(r"\n[ \t]*\n", body), *body.split("\n")]
+        lines.append((marks.group(1).count(">"), line[marks.end() :]) if marks else (0, line))
+    return [(level, "\n".join(rest for _, rest in run)) for level, run in groupby(lines, key=lambda x: x[0])]
+
+
+def split_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
+    """Own text, and each run of lines of one quote level as (level, passage)."""
+    runs = _runs(text)
+    body = re.sub(r"\n{3,}", "\n\n", "\n".join(t for level, t in runs if not level)).strip("\n")
+    return body, [(level, t) for level, t in runs if level]
+
+
+def _parts(text: str) -> list[str]:
+    """A text, its paragraphs and its lines."""
+    return [text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")]
+
+
+def owned_hashes(body: str, runs: Iterable[str] = ()) -> set[int]:
+    """Hashes of the whole own text, of each run of own lines between quotes, and of their paragraphs and lines."""
+    parts = {p for t in (body, *runs) for p in _parts(t)}
     return {h for h in map(passage_hash, parts) if h is not None}
 
 
+def quoted_pieces(quotes: list[tuple[int, str]]) -> list[dict[str, int]]:
+    """Each quoted passage, and its paragraphs and lines: level, hash of the passage, hash and length of the piece."""
+    out = {}
+    for level, passage in quotes:
+        whole = passage_hash(passage)
+        for part in _parts(passage):
+            h = passage_hash(part)
+            if h is not None:
+                out[level, whole, h] = len(_plain(part))
+    return [{"level": level, "passage": whole, "hash": h, "size": size} for (level, whole, h), size in out.items()]
+
+
 def parse(messages: DataFrame) -> DataFrame:
     bounded_batches(messages.sparkSession)
     rows = messages.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("conv_id", "turn", F.coalesce("role", F.lit("")), "text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bodies, quotes, owned = [], [], []
+        bodies, quotes, counts, owned = [], [], [], []
         for text in batch.column("text").to_pylist():
             body, found = split_quotes(text)
             bodies.append(body)
-            quotes.append([{"level": k, "hash": h} for k, h in ((k, passage_hash(t)) for k, t in found) if h is not None])
-            owned.append(sorted(owned_hashes(body)))
+            quotes.append(quoted_pieces(found))
+            counts.append(sum(passage_hash(t) is not None for _, t in found))
+            owned.append(sorted(owned_hashes(body, [t for level, t in _runs(text) if not level] if found else ())))
         kept = [batch.column(c) for c in ("conv_id", "turn", "role", "row_key")]
-        quote = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())]))
-        return pa.RecordBatch.from_arrays([*kept, pa.array(bodies, pa.string()), pa.array(quotes, quote), pa.array(owned, pa.list_(pa.int64()))], ["conv_id", "turn", "role", "row_key", "body", "quotes", "owned"])
+        quote = pa.list_(pa.struct([("level", pa.int32()), ("passage", pa.int64()), ("hash", pa.int64()), ("size", pa.int32())]))
+        made = [pa.array(bodies, pa.string()), pa.array(quotes, quote), pa.array(counts, pa.int64()), pa.array(owned, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*kept, *made], ["conv_id", "turn", "role", "row_key", "body", "quotes", "n_quotes", "owned"])
 
     return rows.mapInArrow(by_batch(run), PARSED)
 
@@ -83,21 +104,21 @@ def parse(messages: DataFrame) -> DataFrame:
 def reply_links(parsed: DataFrame) -> DataFrame:
     """row_key, parent_key, parent_turn and n_linked of every message that quotes an earlier one."""
     parsed = parsed.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    quoting = parsed.filter(F.size("quotes") > 0).select("conv_id", "turn", "row_key", F.explode(F.array_distinct("quotes")).alias("q"))
-    quoting = quoting.select("conv_id", "turn", "row_key", F.col("q.level").alias("level"), F.col("q.hash").alias("hash")).distinct()
+    quoting = parsed.filter(F.size("quotes") > 0).select("conv_id", "turn", "row_key", F.explode("quotes").alias("q"))
+    quoting = quoting.select("conv_id", "turn", "row_key", "q.*").distinct()
     wanted = quoting.select("conv_id", "hash").distinct()
-    # only passages that someone quotes are kept, so that the join is of quoted text, not of all text
+    # only pieces that someone quotes are kept, so that the join is of quoted text, not of all text
     owned = parsed.select("conv_id", F.col("turn").alias("o_turn"), F.col("row_key").alias("o_key"), F.explode("owned").alias("hash"))
     owned = owned.join(wanted, ["conv_id", "hash"], "left_semi").distinct()
-    # the latest earlier owner of each quoted passage, by one pass over owners and quotes in turn order
-    both = owned.select("conv_id", "hash", F.col("o_turn").alias("turn"), "o_key", F.lit(None).cast("bigint").alias("row_key"), F.lit(None).cast("int").alias("level")).unionByName(
-        quoting.select("conv_id", "hash", "turn", F.lit(None).cast("bigint").alias("o_key"), "row_key", "level")
-    )
+    # the latest earlier owner of each quoted piece, by one pass over owners and quotes in turn order
+    both = owned.select("conv_id", "hash", F.col("o_turn").alias("turn"), "o_key").unionByName(quoting, allowMissingColumns=True)
     earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     owner = F.max(F.when(F.col("o_key").isNotNull(), F.struct("turn", "o_key"))).over(earlier)
     found = both.withColumn("owner", owner).filter(F.col("row_key").isNotNull() & F.col("owner").isNotNull())
+    longest = F.max_by("owner", F.struct("size", "owner.turn", "owner.o_key"))
+    found = found.groupBy("row_key", "level", "passage").agg(longest.alias("owner"))
     best = F.max_by("owner", F.struct(-F.col("level"), F.col("owner.turn"), F.col("owner.o_key")))
-    return found.groupBy("row_key").agg(best.alias("best"), F.countDistinct("hash").alias("n_linked")).select(
+    return found.groupBy("row_key").agg(best.alias("best"), F.countDistinct("passage").alias("n_linked")).select(
         "row_key", F.col("best.o_key").alias("parent_key"), F.col("best.turn").alias("parent_turn"), "n_linked"
     )
 
@@ -127,7 +148,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         "parent_turn",
         F.coalesce("root_turn", "turn").alias("thread_turn"),
         F.coalesce("root_key", "row_key").alias("thread_key"),
-        F.size("quotes").cast("bigint").alias("n_quotes"),
+        "n_quotes",
         F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
         F.col("body").alias("text"),
         "row_key",

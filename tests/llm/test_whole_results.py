@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagelake.llm import fingerprints
+from pagelake.llm import fingerprints, quotes
 
 
 def test_next_of_hash_ids_over_buckets(spark):
@@ -12,3 +12,39 @@ def test_next_of_hash_ids_over_buckets(spark):
     for bucket_rows in (2000, 50):
         found = {r.doc_id: r.next_text for r in fingerprints.with_next(docs, bucket_rows).select("doc_id", "next_text").collect()}
         assert found == after
+
+
+def test_parts_of_texts_are_linked(spark):
+    inline = "> q0\ni1\ni2\n>> older\nr1"
+    talk = [
+        # two of three paragraphs; two lines of a paragraph; a line that a later message owns too, with a longer one that it does not
+        (1, 0, "First part here.\n\nSecond part here.\n\nThird part."),
+        (1, 1, "line one\nline two\nline three"),
+        (1, 2, "> First part here.\n>\n> Second part here.\nyes"),
+        (1, 3, "> line one\n> line two\nno"),
+        (1, 4, "line two"),
+        (1, 5, "> line two\n> line three\nthen"),
+        # an inline reply is one paragraph, its quote is split at the nested level
+        (2, 0, "q0"),
+        (2, 1, inline),
+        (2, 2, "\n".join("> " + x for x in inline.split("\n")) + "\nmine"),
+        (2, 3, "> i2\n> r0\nother"),
+        (3, 0, "> First part here.\n>\n> Second part here.\nother talk"),
+    ]
+    rows = [(c, t, "user", x) for c, t, x in talk]
+    found = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    parents = {k: r.parent_turn for k, r in found.items()}
+    assert parents == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 1, (1, 4): None, (1, 5): 1, (2, 0): None, (2, 1): 0, (2, 2): 1, (2, 3): 1, (3, 0): None}
+    assert found[2, 2].n_quotes == 4 and found[2, 2].n_linked == 3 and found[2, 2].text == "mine" and found[2, 2].thread_turn == 0
+
+
+def test_every_run_of_a_quote_links(spark):
+    lines = [f"word{k} tail{k}" + "\n" * (k % 3 == 2) for k in range(9)]
+    talk, expected = [(1, 0, "u", "\n".join(lines)), (1, 1, "u", "something else")], {}
+    for a in range(9):
+        for b in range(a + 1, 10):
+            turn = len(talk)
+            talk.append((1, turn, "u", "\n".join("> " + x for x in "\n".join(lines[a:b]).split("\n")) + f"\nanswer {turn}"))
+            expected[turn] = 0
+    found = {r.turn: r.parent_turn for r in quotes.link_quotes(spark.createDataFrame(talk, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert {k: v for k, v in found.items() if k > 1} == expected
