@@ -1,13 +1,14 @@
 """Line dedup by site-relative frequency, with DataFrame functions only.
 
-A line is boilerplate of a host when more than RATIO of the host's pages contain it and at least MIN_PAGES do. A host's
+A line is boilerplate of a host when more than RATIO of the host's pages contain it and at least MIN_PAGES do, where pages
+with the same lines count as one: copies do not make their content boilerplate. A host's
 boilerplate has at most (lines of a page) / RATIO entries on average, however many pages there are, so it is gathered
 per host. It is broadcast if all hosts' entries together are at most BROADCAST_LINES; else pages and hosts join on host
 and salt, so that a host with a third of all pages is spread over SALTS tasks.
 
 Defined cases: a null text is empty and stays null; a null host is the empty host; lines are compared trimmed of blanks, blank
-lines are never boilerplate; a line counts once for a page; repeated rows are pages of their own; an empty table gives
-no row; columns other than text (and n_chars, which follows it) pass unchanged.
+lines are never boilerplate; a line counts once for a page, and pages of a host that have the same lines in the same
+order (blank ones and repetitions aside) are one page; an empty table gives no row; columns other than text (and n_chars, which follows it) pass unchanged.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ def _host(host: str) -> Column:
 def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """host and the hashes of its boilerplate lines; hosts without any are left out."""
     rows = pages.select(_host(host).alias("host"), F.col(text).cast("string").alias("text"))
-    totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
     distinct = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
-    counts = rows.select("host", F.explode(distinct).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    texts = rows.select("host", distinct.alias("lines")).distinct()
+    totals = texts.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
+    counts = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     found = counts.filter(F.col("n") >= min_pages).join(totals, "host").filter(F.col("n") > F.col("pages") * ratio)
     return found.groupBy("host").agg(F.collect_set("line").alias("lines"))
 

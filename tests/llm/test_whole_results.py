@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagelake.llm import fingerprints, quotes
+from pagelake.llm import fingerprints, lines, quotes
 
 
 def test_next_of_hash_ids_over_buckets(spark):
@@ -48,3 +48,11 @@ def test_every_run_of_a_quote_links(spark):
             expected[turn] = 0
     found = {r.turn: r.parent_turn for r in quotes.link_quotes(spark.createDataFrame(talk, "conv_id bigint, turn bigint, role string, text string")).collect()}
     assert {k: v for k, v in found.items() if k > 1} == expected
+
+
+def test_copies_keep_their_text(spark):
+    copy = "kept one\nkept two"
+    docs = [(k, copy if k % 3 == 0 else f"menu\nown {k}") for k in range(90)]
+    rows = spark.createDataFrame([(k, t, "h", len(t)) for k, t in docs], "doc_id bigint, text string, source string, n_chars int")
+    found = {r.doc_id: r.text for r in lines.drop_lines(rows).collect()}
+    assert found == {k: copy if k % 3 == 0 else f"own {k}" for k, _ in docs}
