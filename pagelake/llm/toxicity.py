@@ -110,7 +110,8 @@ class Model:
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: np.ndarray, bases: np.ndarray, swaps: dict[int, int]) -> Model:
     """Proximal gradient (accelerated) on logistic loss + SWAP_WEIGHT * (logit change under swaps)**2 + L1.
 
-    rows: each text's features; share: each text's weight, of mean 1; bases: the hashes of level 1.
+    rows: each text's features; share: each text's weight, of mean 1; bases: the hashes of level 1. A swap's target that is
+    not learnt from the rows weighs 0, in the penalty as in the model, so that the penalty is on the term's own weight.
     """
     n, positive = len(rows), int(labels.sum())
     if not n or positive in (0, n):
@@ -118,7 +119,6 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: np.ndarray, base
     words, seen = np.unique(np.concatenate(rows), return_counts=True)
     words = words[seen >= min(MIN_TEXTS, positive)]
     swap_keys = np.array(sorted(swaps), np.uint64)
-    words = np.union1d(words, np.array([swaps[int(k)] for k in np.intersect1d(words, swap_keys)], np.uint64))
     if not len(words):
         return Model(words, np.zeros((0, len(LEVELS))), 0.0, (positive + 0.5) / (n + 1))
 

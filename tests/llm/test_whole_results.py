@@ -1,8 +1,11 @@
 """Cases in which the training-data operators once gave less than the whole result."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from pagelake.llm import fingerprints, lines, quotes
+from pagelake.llm import fingerprints, lines, quotes, toxicity
 
 
 def test_next_of_hash_ids_over_buckets(spark):
@@ -56,3 +59,20 @@ def test_copies_keep_their_text(spark):
     rows = spark.createDataFrame([(k, t, "h", len(t)) for k, t in docs], "doc_id bigint, text string, source string, n_chars int")
     found = {r.doc_id: r.text for r in lines.drop_lines(rows).collect()}
     assert found == {k: copy if k % 3 == 0 else f"own {k}" for k, _ in docs}
+
+
+def test_swap_partner_absent_from_the_sample():
+    rng = random.Random(4)
+    words = [f"n{k}" for k in range(60)]
+    texts, labels = [], []
+    for k in range(400):
+        toxic = k % 4 == 0
+        texts.append(" ".join(rng.choices(words, k=12) + (["vile"] * 2 if toxic else []) + (["muslim"] if toxic or rng.random() < 0.03 else [])))
+        labels.append(int(toxic))
+    rows = [toxicity.features_of(t.encode()) for t in texts]
+    bases = np.unique(np.concatenate([toxicity.raw_features(t.encode()) for t in texts]))
+    fit = lambda swaps: toxicity.fit_rows(rows, np.array(labels), np.ones(len(rows)), bases, swaps)
+    fair, plain = fit(toxicity.swap_table()), fit({})
+    logit = lambda m, t: np.log(m.score(t) / (1 - m.score(t)))
+    gap = lambda m: abs(logit(m, b"n1 n2 muslim") - logit(m, b"n1 n2 jewish"))
+    assert gap(fair) < gap(plain) / 20 and fair.score(b"n1 vile vile n3") > 0.5 > fair.score(b"n1 n2 muslim n3")
