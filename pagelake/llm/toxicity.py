@@ -1,11 +1,17 @@
 """Toxicity scores by a counterfactual-regularised classifier.
 
 A logistic model over a text's words and word beginnings, each present at least 1, 2 or 4 times. In every labelled
-training text the identity terms are swapped for others of their group, and the loss penalises the square of the change
-that a swap makes to the score's logit; an L1 term keeps only features that matter, so long neutral texts do not drift.
+training text the identity terms, as whole words, are swapped for the next ones of their groups; the loss penalises the
+square of the change that this makes to the score's logit, over all features of the two texts. A text without identity
+terms adds no penalty. An L1 term keeps only features that matter, so long neutral texts do not drift; a small L2 term
+shares weight among features that go together.
 Training takes a bounded sample of the labelled rows (MAX_TRAINING_ROWS, a third of them toxic at most, those of the
 smallest hash of doc_id, weighted back to their share); scoring covers all rows, one by one.
 
+L1 and L2 have the least log loss in a five-fold cross-validation within the training rows
+(tests/llm/cross_validation.py), and training stops where its own loss settles: the held-out fold (crc32 of doc_id mod 5
+= 0) decides nothing.
+
 Defined cases: a null or empty text is scored by the intercept; a null doc_id counts as the empty string for the fold;
 labels of several rows for one doc_id: the highest counts; null labels are ignored; without labels of both classes nothing
 can be learnt and every score is 0. An empty table gives no row; other columns are ignored (or passed on by the filter).
@@ -13,6 +19,8 @@ can be learnt and every score is 0. An empty table gives no row; other columns a
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +32,9 @@ from .common import WORD_POWERS, bounded_batches, by_batch, mix64, range_hashes,
 MAX_TRAINING_ROWS = 6_000
 #: A word is a feature when this many sampled texts have it.
 MIN_TEXTS = 3
-SWAP_WEIGHT, L1, STEPS = 1.0, 4e-4, 300
+SWAP_WEIGHT, L1, L2 = 1.0, 2e-4, 1e-4
+#: Training stops where CHECKED steps together lower the loss by less than TOLERANCE of it, or after MOST_STEPS.
+TOLERANCE, CHECKED, MOST_STEPS = 1e-3, 20, 1000
 #: Lengths of word beginnings in bytes, and the numbers of occurrences that are told apart.
 PREFIXES, LEVELS = (3, 4, 5, 6, 8), (1, 2, 4)
 
@@ -58,24 +68,26 @@ def features_of(text: bytes) -> np.ndarray:
     return leveled(*np.unique(raw_features(text), return_counts=True))
 
 
-def swap_table(groups: list[str] = IDENTITY_GROUPS) -> dict[int, int]:
-    """Features of each identity term, and of its beginnings, to those of the next term of its group.
+def swap_table(groups: list[str] = IDENTITY_GROUPS) -> dict[bytes, bytes]:
+    """Each identity term to the next one of its group."""
+    found = [(words[k], words[(k + 1) % len(words)]) for words in (g.encode().split() for g in groups) for k in range(len(words))]
+    return dict(found)
+
+
+SWAPS = swap_table()
+_TERMS = re.compile(rb"(?<![0-9A-Za-z\x80-\xff])(?:" + b"|".join(sorted(SWAPS, key=len, reverse=True)) + rb")(?![0-9A-Za-z\x80-\xff])", re.IGNORECASE)
 
-    Beginnings go by length; where the next term lacks one of that length, its last one stands in.
-    """
-    out: dict[int, int] = {}
-    for words in (g.split() for g in groups):
-        for k, word in enumerate(words):
-            own, other = raw_features(word.encode()), raw_features(words[(k + 1) % len(words)].encode())
-            for i, h in enumerate(own):
-                for n in LEVELS:
-                    pair = np.array([h, other[min(i, len(other) - 1)]], np.uint64)
-                    a, b = pair if n == 1 else mix64(pair + np.uint64(n))
-                    if i == 0:
-                        out[int(a)] = int(b)
-                    else:
-                        out.setdefault(int(a), int(b))
-    return out
+
+def swapped_text(text: bytes) -> bytes | None:
+    """The text with each identity term, as a whole word of any case, replaced by the next of its group; None without any."""
+    out, n = _TERMS.subn(lambda m: SWAPS[m.group().lower()], text)
+    return out if n else None
+
+
+def swapped_features(text: bytes) -> np.ndarray | None:
+    """The features of the swapped text; None for a text without identity terms."""
+    swapped = swapped_text(text)
+    return None if swapped is None else features_of(swapped)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -107,18 +119,46 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
-def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: np.ndarray, bases: np.ndarray, swaps: dict[int, int]) -> Model:
-    """Proximal gradient (accelerated) on logistic loss + SWAP_WEIGHT * (logit change under swaps)**2 + L1.
+class _Sparse:
+    """A matrix by its entries, sorted by row; its products with vectors."""
+
+    def __init__(self, rows: list[np.ndarray], columns: int, signs: list[np.ndarray] | None = None):
+        self.shape = len(rows), columns
+        sizes = np.array([len(r) for r in rows], int)
+        self.row, self.col = np.repeat(np.arange(len(rows)), sizes), np.concatenate([*rows, np.zeros(0, int)]).astype(int)
+        self.sign = np.concatenate([*signs, np.zeros(0)]) if signs is not None else None
+        order = np.argsort(self.col, kind="stable")
+        self.by_col, self.sign_by_col = self.row[order], self.sign[order] if signs is not None else None
+        self.rows, self.row_starts = np.unique(self.row, return_index=True)
+        self.cols, self.col_starts = np.unique(self.col[order], return_index=True)
 
-    rows: each text's features; share: each text's weight, of mean 1; bases: the hashes of level 1. A swap's target that is
-    not learnt from the rows weighs 0, in the penalty as in the model, so that the penalty is on the term's own weight.
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return self._sums(v[self.col], self.sign, self.rows, self.row_starts, self.shape[0])
+
+    def transposed_times(self, v: np.ndarray) -> np.ndarray:
+        return self._sums(v[self.by_col], self.sign_by_col, self.cols, self.col_starts, self.shape[1])
+
+    @staticmethod
+    def _sums(values: np.ndarray, sign: np.ndarray | None, at: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        if len(values):
+            out[at] = np.add.reduceat(values if sign is None else values * sign, starts)
+        return out
+
+
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: np.ndarray, bases: np.ndarray, swapped: list[np.ndarray | None], l1: float | None = None, l2: float | None = None) -> Model:
+    """Proximal gradient (accelerated) on logistic loss + SWAP_WEIGHT * (logit change under swaps)**2 + L1 + L2.
+
+    rows: each text's features; share: each text's weight, of mean 1; bases: the hashes of level 1; swapped: the features of
+    each text with its identity terms swapped, None for a text without any. A feature that is not learnt from the rows
+    weighs 0, in the penalty as in the model, so that where a swap's target is unknown the penalty is on the term's own weight.
     """
     n, positive = len(rows), int(labels.sum())
+    l1, l2 = L1 if l1 is None else l1, L2 if l2 is None else l2
     if not n or positive in (0, n):
         return Model(np.zeros(0, np.uint64), np.zeros((0, len(LEVELS))), 0.0, 0.0)
     words, seen = np.unique(np.concatenate(rows), return_counts=True)
     words = words[seen >= min(MIN_TEXTS, positive)]
-    swap_keys = np.array(sorted(swaps), np.uint64)
     if not len(words):
         return Model(words, np.zeros((0, len(LEVELS))), 0.0, (positive + 0.5) / (n + 1))
 
@@ -127,53 +167,53 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: np.ndarray, base
         return at[words[at] == hashes]
 
     cols = [columns(r) for r in rows]
-    row = np.repeat(np.arange(n), [len(c) for c in cols])
-    col = np.concatenate(cols)
-    pair_row, pair_col, pair_sign = [], [], []
-    for k, r in enumerate(rows):
-        for h in np.intersect1d(r, swap_keys):
-            for target, sign in ((int(h), 1.0), (swaps[int(h)], -1.0)):
-                for c in columns(np.array([target], np.uint64)):
-                    pair_row.append(k), pair_col.append(c), pair_sign.append(sign)
-    pr, pc, ps = np.array(pair_row, int), np.array(pair_col, int), np.array(pair_sign)
-    y = labels.astype(float)
+    gone = [np.setdiff1d(c, columns(o)) if o is not None else c[:0] for c, o in zip(cols, swapped)]
+    come = [np.setdiff1d(columns(o), c) if o is not None else c[:0] for c, o in zip(cols, swapped)]
     d = len(words)
-    sizes = np.maximum(np.bincount(row, minlength=n), 1)
-    lipschitz = 0.25 * (1 + np.bincount(col, sizes[row], d).max() / n) + SWAP_WEIGHT * 8 * (np.bincount(pc, minlength=d).max() / n if len(pc) else 0)
-    step = 4.0 / lipschitz
+    has = _Sparse(cols, d)
+    change = _Sparse([np.concatenate(x) for x in zip(gone, come)], d, [np.repeat([1.0, -1.0], [len(g), len(c)]) for g, c in zip(gone, come)])
+    y = labels.astype(float)
+
+    def loss_of(v: np.ndarray, u: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """The smooth loss, and the logits and their changes."""
+        z, delta = has.times(v) + u, change.times(v)
+        return float(np.mean(share * (np.logaddexp(0, z) - y * z)) + SWAP_WEIGHT * np.mean(delta**2) + l2 / 2 * float(v @ v)), z, delta
+
+    # steps go by each feature's own scale, so that rare features do not wait for the common ones
+    scale = has.transposed_times(share / n) + 8 * SWAP_WEIGHT * np.bincount(change.col, minlength=d) / n + l2
     w = v = np.zeros(d)
     b = u = float(np.log((share * y).sum() / (share * (1 - y)).sum()))
-    t = 1.0
-    last = np.inf
-    for _ in range(STEPS):
-        z = np.bincount(row, v[col], n) + u
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        loss = float(np.mean(share * (np.logaddexp(0, z) - y * z)))
-        g = share * (p - y) / n
-        grad = np.bincount(col, g[row], d)
-        if len(pr):
-            delta = np.bincount(pr, ps * v[pc], n)
-            grad += SWAP_WEIGHT * 2 / n * np.bincount(pc, ps * delta[pr], d)
-            loss += SWAP_WEIGHT * float(np.mean(delta**2))
-        loss += L1 * float(np.abs(v).sum())
-        if loss > last:  # too long a step: start again from the last point with half of it
-            step, t, v, u = step / 2, 1.0, w, b
-            last = np.inf
-            continue
-        last = loss
-        w2 = v - step * grad
-        w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * L1, 0)
-        b2 = u - step * float(g.sum())
+    t, step, losses = 1.0, 1.0, []
+    for _ in range(MOST_STEPS):
+        smooth, z, delta = loss_of(v, u)
+        g = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
+        grad, grad_u = has.transposed_times(g) + change.transposed_times(2 * SWAP_WEIGHT / n * delta) + l2 * v, float(g.sum())
+        step *= 1.2
+        while True:  # a long step whose quadratic bound holds
+            w2 = v - step / scale * grad
+            w2 = np.sign(w2) * np.maximum(np.abs(w2) - step / scale * l1, 0)
+            b2 = u - step * grad_u
+            move, move_u = w2 - v, b2 - u
+            reached = loss_of(w2, b2)[0]
+            if reached <= smooth + grad @ move + grad_u * move_u + (scale @ move**2 + move_u**2) / (2 * step) + 1e-12 or step < 1e-9:
+                break
+            step /= 2
+        losses.append(reached + l1 * float(np.abs(w2).sum()))
+        if len(losses) > 1 and losses[-1] > losses[-2]:
+            t = 1.0  # the momentum leads uphill: drop it
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, u = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
-    weight = {int(words[k]): float(w[k]) for k in np.flatnonzero(w)}
-    kept, table_ = [], []
-    for h in np.unique(bases):
-        levels = [weight.get(int(h if n == 1 else mix64(np.array([h]) + np.uint64(n))[0]), 0.0) for n in LEVELS]
-        if any(levels):
-            kept.append(h), table_.append(levels)
-    return Model(np.array(kept, np.uint64), np.array(table_).reshape(-1, len(LEVELS)), b)
+        if len(losses) > CHECKED and losses[-CHECKED - 1] - losses[-1] < TOLERANCE * losses[-1]:
+            break
+    bases = np.unique(bases)
+    gains = np.zeros((len(bases), len(LEVELS)))
+    for k, level in enumerate(LEVELS):
+        hashes = bases if level == 1 else mix64(bases + np.uint64(level))
+        at = np.minimum(np.searchsorted(words, hashes), d - 1)
+        gains[:, k] = np.where(words[at] == hashes, w[at], 0)
+    kept = gains.any(axis=1)
+    return Model(bases[kept], gains[kept], b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
@@ -188,36 +228,44 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
     first = [known.filter(F.col("label") == k).orderBy(F.xxhash64("label_id"), "label_id").limit(n) for k, n in taken.items()]
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [features_of(t).view(np.int64) for t in utf8_values(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(words, pa.list_(pa.int64()))], ["label", "words"])
+        texts = list(utf8_values(batch.column("text")))
+        own, swapped = [features_of(t).view(np.int64) for t in texts], [x if x is None else x.view(np.int64) for x in map(swapped_features, texts)]
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (own, swapped)]
+        return pa.RecordBatch.from_arrays([batch.column("label"), *lists], ["label", "words", "swapped"])
 
     # the sample is bounded by max_rows, so it may be broadcast
     sampled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sampled = sampled.join(F.broadcast(first[0].unionByName(first[1])), F.col("doc_id") == F.col("label_id")).select("label", "text")
-    found = written(sampled.mapInArrow(by_batch(features), "label int, words array<bigint>"), "sample")
+    found = written(sampled.mapInArrow(by_batch(features), "label int, words array<bigint>, swapped array<bigint>"), "sample")
     common = found.select(F.explode("words").alias("word")).groupBy("word").count().filter(F.col("count") >= MIN_TEXTS)
-    return _fit_sample(found, common, taken, total)
+    return fit_rows(*gathered(found, common, taken, total))
 
 
-def _fit_sample(found: DataFrame, common: DataFrame, taken: dict[int, int], total: dict[int, int]) -> Model:
-    """Trains on the driver; the sample's bound bounds what comes there, without the features of fewer than MIN_TEXTS texts."""
+def gathered(found: DataFrame, common: DataFrame, taken: dict[int, int], total: dict[int, int]) -> tuple:
+    """What fit_rows takes, on the driver; the sample's bound bounds what comes there, without the features of fewer than MIN_TEXTS texts."""
     vocabulary = np.sort(common.select("word").toArrow()["word"].to_numpy()).view(np.uint64)
     vocabulary = np.sort(vocabulary)
 
     def number(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for row in batch.column("words"):
-            words = np.asarray(row.values).view(np.uint64)
-            at = np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))
-            out.append(at[vocabulary[at] == words].astype(np.int32) if len(vocabulary) else np.zeros(0, np.int32))
-        return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.list_(pa.int32()))], ["label", "words"])
-
-    got = found.mapInArrow(by_batch(number), "label int, words array<int>").toArrow()
-    rows = sorted((label, np.asarray(words.values).tobytes()) for label, words in zip(got["label"].to_pylist(), got["words"]))
+        for name in ("words", "swapped"):
+            lists = []
+            for row in batch.column(name):
+                words = np.asarray(row.values if row.is_valid else []).astype(np.int64).view(np.uint64)
+                at = np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))
+                known = at[vocabulary[at] == words].astype(np.int32) if len(vocabulary) else np.zeros(0, np.int32)
+                lists.append(known if row.is_valid else None)
+            out.append(pa.array(lists, pa.list_(pa.int32())))
+        return pa.RecordBatch.from_arrays([batch.column("label"), *out], ["label", "words", "swapped"])
+
+    got = found.mapInArrow(by_batch(number), "label int, words array<int>, swapped array<int>").toArrow()
+    packed = lambda row: np.asarray(row.values, np.int32).tobytes() if row.is_valid else None
+    rows = sorted(zip(got["label"].to_pylist(), map(packed, got["words"]), map(packed, got["swapped"])), key=lambda r: (*r[:2], r[2] or b""))
     labels = np.array([r[0] for r in rows], int)
     share = np.array([total[k] / max(taken[k], 1) for k in labels.tolist()])
     share = share / share.mean() if len(share) else share
-    return fit_rows([vocabulary[np.frombuffer(r[1], np.int32)] for r in rows], labels, share, vocabulary, swap_table())
+    hashes = lambda x: None if x is None else vocabulary[np.frombuffer(x, np.int32)]
+    return [hashes(r[1]) for r in rows], labels, share, vocabulary, [hashes(r[2]) for r in rows]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -216,7 +216,7 @@ def test_counterfactual_penalty():
     rows = [toxicity.features_of(t.encode()) for t in texts]
     bases = np.unique(np.concatenate([toxicity.raw_features(t.encode()) for t in texts]))
     fit = lambda swaps: toxicity.fit_rows(rows, np.array(labels), np.ones(len(rows)), bases, swaps)
-    fair, plain = fit(toxicity.swap_table()), fit({})
+    fair, plain = fit([toxicity.swapped_features(t.encode()) for t in texts]), fit([None] * len(texts))
     gap = lambda m: abs(m.score(b"n1 n2 muslim") - m.score(b"n1 n2 jewish"))
     assert gap(fair) < gap(plain) / 2 and fair.score(b"n1 vile vile n3") > 0.5 > fair.score(b"n1 n2 muslim n3")
 

@@ -72,7 +72,24 @@ def test_swap_partner_absent_from_the_sample():
     rows = [toxicity.features_of(t.encode()) for t in texts]
     bases = np.unique(np.concatenate([toxicity.raw_features(t.encode()) for t in texts]))
     fit = lambda swaps: toxicity.fit_rows(rows, np.array(labels), np.ones(len(rows)), bases, swaps)
-    fair, plain = fit(toxicity.swap_table()), fit({})
+    fair, plain = fit([toxicity.swapped_features(t.encode()) for t in texts]), fit([None] * len(texts))
     logit = lambda m, t: np.log(m.score(t) / (1 - m.score(t)))
     gap = lambda m: abs(logit(m, b"n1 n2 muslim") - logit(m, b"n1 n2 jewish"))
     assert gap(fair) < gap(plain) / 20 and fair.score(b"n1 vile vile n3") > 0.5 > fair.score(b"n1 n2 muslim n3")
+
+
+def test_only_whole_identity_words_are_swapped():
+    assert toxicity.swapped_text("The manual of a hero, here; christianity".encode()) is None
+    assert toxicity.swapped_features("shepherd whereby mankind éhe".encode()) is None
+    assert toxicity.swapped_text(b"He met a Jewish woman; queer, he") == b"she met a hindu man; gay, she"
+
+
+def test_query_model_is_fair_and_right_on_the_held_out_fold(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model).filter("held_out").join(labels, "doc_id").collect()
+    toxic = [r for r in rows if r.toxic]
+    assert toxic and sum(r.predicted for r in toxic) / len(toxic) > 0.6 and sum(r.predicted for r in rows if not r.toxic) <= 0.02 * len(rows)
+    texts = [(r.text or "").encode() for r in docs.join(labels, "doc_id").collect()]
+    pairs = [(t, s) for t in texts if (s := toxicity.swapped_text(t))]
+    assert pairs and np.mean([abs(model.score(t) - model.score(s)) for t, s in pairs]) < 0.01
