@@ -4,9 +4,13 @@ Every string of LENGTH bytes has a canonical anchor: among the hashes of its GRA
 equals), found by a sliding minimum. Equal strings have equal anchors at equal offsets, so the suffixes of the corpus fall
 into blocks by anchor, and no two suffixes of different blocks share LENGTH bytes. Consecutive strings of a text with one
 anchor form a unit. Units of equal text are copies as a whole; where an anchor has units of several texts, these go to
-one task as a block, whose suffix array (prefix doubling to LENGTH bytes) with previous and next smaller positions gives
-each suffix's longest previous and next factor, up to LENGTH. keep="first" removes later copies (longest previous
-factors); keep="none" every copy (previous or next ones).
+one task as a block. There the suffixes are sorted by their first LENGTH bytes; the previous and next smaller positions in
+that order, with the least common prefixes on the way, give each suffix's longest previous factor, those of the reversed
+positions its longest next factor, up to LENGTH. keep="first" removes later copies (longest previous factors); keep="none"
+every copy (previous or next ones).
+
+Units of one anchor are told apart by 64-bit hashes, and so are texts of one id: among n different units that share an
+anchor a mistake has odds of n * n / 2**65 at most, 3e-8 for a million. All else is compared byte by byte.
 
 Defined cases: a null text is empty; texts under LENGTH bytes keep all; rows that share doc_id and text are copies of each
 other for keep="none" and one document for keep="first"; a null doc_id is an id of its own; an empty table gives no row;
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import Powers, bounded_batches, by_batch, mix64, range_hashes, table, utf8_values, written
 
 LENGTH, GRAM = 200, 40
-#: Bytes of contexts that are sorted at a time; an anchor with more is matched by hash and compared byte by byte.
-BLOCK = 1 << 20
+#: Anchors are sorted together until their contexts have so many bytes; strings are spread out for comparison PART at a time.
+BLOCK, PART = 1 << 20, 1 << 15
 
 UNITS = "anchor bigint, unit bigint, doc_id bigint, text_hash bigint, s int, u int, t int, e int, m int"
 CONTEXTS = "anchor bigint, doc_id bigint, text_hash bigint, s int, context binary"
@@ -78,52 +82,83 @@ def units(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarr
     return grams[anchor[start]].view(np.int64), found[start].view(np.int64), first[start], end[start], second, end[stop], count
 
 
-def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each suffix by its first `length` bytes (zeros past the end), by prefix doubling; equal prefixes, equal ranks."""
-    n = len(data)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = data
-    rank = np.zeros(n, np.uint64)
-    for k in range(min(8, length)):
-        rank = (rank << np.uint64(8)) | padded[k : k + n]
-    rank = np.unique(rank, return_inverse=True)[1]
-    size = min(8, length)
-    while size < length:
-        step = min(size, length - size)
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:] + 1
-        rank = np.unique(rank.astype(np.int64) * (n + 1) + ahead, return_inverse=True)[1]
-        size += step
-    return rank
-
-
-def smaller_positions(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of a suffix order, the nearest places before and after it with a smaller position; -1 for none."""
-    n = len(order)
-    before, after = np.full(n, -1), np.full(n, -1)
-    stack: list[int] = []
-    for k, value in enumerate(order.tolist()):
-        while stack and order[stack[-1]] > value:
-            after[stack.pop()] = k
-        before[k] = stack[-1] if stack else -1
-        stack.append(k)
-    return before, after
+def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that start at `at`, sorted by their first `length` bytes and, where these are equal, as they come; and
+    how many bytes, up to length, each has in common with the one before it in that order.
+
+    More than PART suffixes are dealt by their next 8 bytes until a part is small enough to be spread out and sorted.
+    """
+    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
+    spread = np.lib.stride_tricks.sliding_window_view(padded, length)
+    eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    sorted_parts: list[np.ndarray] = []
+    waiting = [(np.arange(len(at)), 0)]  # a stack: the part that comes first lies on top
+    while waiting:
+        part, depth = waiting.pop()
+        if depth >= length or len(part) < 2:
+            sorted_parts.append(part)
+        elif len(part) <= PART:
+            sorted_parts.append(part[np.argsort(spread[at[part]].view(f"V{length}").ravel(), kind="stable")])
+        else:
+            keys = eights[at[part] + depth].view(">u8").ravel().astype(np.uint64) >> np.uint64(8 * max(depth + 8 - length, 0))
+            order = np.argsort(keys, kind="stable")
+            part, keys = part[order], keys[order]
+            bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(part)]])
+            cuts, k = [], 0
+            while k < len(bounds) - 1:
+                last = max(int(np.searchsorted(bounds, bounds[k] + PART, "right")) - 1, k + 1)
+                alone = last == k + 1
+                cuts.append((part[bounds[k] : bounds[last]], depth + 8 if alone else depth))
+                k = last
+            waiting += cuts[::-1]
+    order = np.concatenate([*sorted_parts, np.zeros(0, int)]).astype(int)
+    shared = np.zeros(len(order), np.int64)
+    for k in range(1, len(order), PART):
+        here, before = at[order[k : k + PART]], at[order[k - 1 : k - 1 + PART]]
+        before = before[: len(here)]
+        differ = spread[here] != spread[before]
+        found = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+        shared[k : k + len(here)] = np.minimum(found, len(data) - np.maximum(here, before))
+    return order, shared
+
+
+def _previous_smaller(values: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest place before with a smaller value, -1 for none, and the least of `shared` on the way.
+
+    Every place looks at the one before; while that is larger, it goes on to where that one has got to. All between stay
+    larger, so that some log(n) rounds over ever fewer places do it.
+    """
+    before, low = np.arange(-1, len(values) - 1), shared.copy()
+    active = np.arange(1, len(values))
+    while len(active):
+        active = active[values[before[active]] > values[active]]
+        via = before[active]
+        low[active] = np.minimum(low[active], low[via])
+        before[active] = before[via]
+        low[active[before[active] < 0]] = 0
+        active = active[before[active] >= 0]
+    return before, low
+
+
+def smaller_positions(positions: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of a suffix order, the nearest places before and after it with a smaller position, -1 for none, and
+    the length of the longest factor that its suffix shares with one of them: its longest previous factor.
+
+    positions: of each place's suffix in the corpus; shared: the bytes that each place's suffix shares with the one before.
+    """
+    n = len(positions)
+    before, low = _previous_smaller(positions, shared)
+    after, low_after = _previous_smaller(positions[::-1], np.concatenate([shared[:1] * 0, shared[1:][::-1]]))
+    after, low_after = after[::-1], low_after[::-1]
+    return before, np.where(after < 0, -1, n - 1 - after), np.maximum(low, low_after)
 
 
 def longest_previous_factors(text: bytes) -> np.ndarray:
-    """The longest factor at each byte that also starts earlier: the whole suffix array and its smaller positions."""
+    """The longest factor at each byte that also starts earlier."""
     data = np.frombuffer(text, np.uint8)
-    n = len(data)
-    order = np.argsort(prefix_ranks(data, max(n, 1)), kind="stable")
-    before, after = smaller_positions(order)
-    out = np.zeros(n, np.int64)
-    for k in range(n):
-        for other in (before[k], after[k]):
-            if other >= 0:
-                a, b, size = order[k], order[other], 0
-                while a + size < n and text[a + size] == text[b + size]:
-                    size += 1
-                out[order[k]] = max(out[order[k]], size)
+    order, shared = suffix_order(data, np.arange(len(data)), max(len(data), 1))
+    out = np.zeros(len(data), np.int64)
+    out[order] = smaller_positions(order, shared)[2]
     return out
 
 
@@ -135,25 +170,13 @@ def copies(contexts: list[bytes], orders: np.ndarray, length: int, keep: str) ->
     strings = sizes - length + 1
     owner = np.repeat(np.arange(len(contexts)), strings)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-    at = first[owner] + offset
-    if len(data) <= 2 * BLOCK:
-        rank = prefix_ranks(data, length)[at]
-    else:
-        rank = range_hashes(data, at, at + length, _UNITS)
-    # suffix order, equal strings in the order of the corpus: the previous smaller position of a string that occurs
-    # before is its left neighbour, the next factor of one that occurs again its right neighbour
-    order = np.lexsort((offset, orders[owner], rank))
-    same = rank[order][1:] == rank[order][:-1]
-    if len(data) > 2 * BLOCK:
-        left, right = at[order[:-1]], at[order[1:]]
-        for k in np.array_split(np.flatnonzero(same), len(same) // 50_000 + 1):
-            if len(k):
-                lanes = np.arange(length)
-                same[k] = (data[left[k][:, None] + lanes] == data[right[k][:, None] + lanes]).all(axis=1)
+    corpus = np.lexsort((offset, orders[owner]))  # the strings in the order of the corpus
+    order, shared = suffix_order(data, (first[owner] + offset)[corpus], length)
+    factors = smaller_positions(order, shared)[2]
+    if keep == "none":  # the longest next factors are the previous ones of the positions counted from the end
+        factors = np.maximum(factors, smaller_positions(-order, shared)[2])
     removed = np.zeros(len(owner), bool)
-    removed[order[1:][same]] = True
-    if keep == "none":
-        removed[order[:-1][same]] = True
+    removed[corpus[order]] = factors >= length
     return np.split(removed, np.cumsum(strings)[:-1])
 
 
@@ -252,17 +275,18 @@ def repeated_bytes(docs: DataFrame, keep: str = "first") -> DataFrame:
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
-    rows = texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(by_batch(_unit_rows), UNITS)
-    whole, block = Window.partitionBy("anchor", "unit"), Window.partitionBy("anchor")
-    place = F.row_number().over(whole.orderBy("doc_id", "text_hash", "s"))
-    flagged = rows.withColumn("place", place).withColumn("n", F.sum("m").over(whole))
-    flagged = flagged.withColumn("texts", F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).over(block))
-    flagged = written(flagged.filter("n > 1 or texts > 1").drop("unit"), "units")
-    copied = flagged.filter("n > 1")
+    rows = written(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(by_batch(_unit_rows), UNITS), "units")
+    # a unit that many rows have is summed up before it moves, and an anchor's units after that
+    units_ = rows.groupBy("anchor", "unit").agg(F.sum("m").alias("n"), F.min(F.struct("doc_id", "text_hash", "s", "u")).alias("first"))
+    per_anchor = units_.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).filter("n > 1 or texts > 1")
+    flagged = written(per_anchor, "flagged")
+    many = flagged.filter("n > 1").select(F.col("anchor").alias("a"), F.col("unit").alias("b"), "first")
+    copied = rows.join(many, (F.col("anchor") == F.col("a")) & (F.col("unit") == F.col("b")))
     if keep == "first":
-        copied = copied.withColumn("s", F.when(F.col("place") == 1, F.col("t")).otherwise(F.col("s"))).filter("place > 1 or m > 1")
+        is_first = F.struct("doc_id", "text_hash", "s", "u").eqNullSafe(F.col("first"))
+        copied = copied.filter(~is_first | (F.col("m") > 1)).withColumn("s", F.when(is_first, F.col("t")).otherwise(F.col("s")))
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
-    wanted = flagged.filter("place = 1 and texts > 1").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "s", "u")).alias("wanted"))
+    wanted = flagged.filter("texts > 1").select("anchor", "first.*").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "s", "u")).alias("wanted"))
     asked = texts.alias("t").join(wanted.alias("w"), same("t", "w")).select("t.doc_id", "t.text_hash", "t.text", "w.wanted")
     contexts = asked.mapInArrow(by_batch(_context_rows), CONTEXTS)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

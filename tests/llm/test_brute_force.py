@@ -96,6 +96,7 @@ def test_large_block_matches_small(monkeypatch):
     orders = np.arange(20)
     small = suffixes.copies(contexts, orders, 200, "none")
     monkeypatch.setattr(suffixes, "BLOCK", 1)
+    monkeypatch.setattr(suffixes, "PART", 3)
     assert all((a == b).all() for a, b in zip(small, suffixes.copies(contexts, orders, 200, "none")))
 
 
