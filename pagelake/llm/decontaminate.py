@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS_SQL, bounded_batches, table, utf8_values, words_of, written
+from .common import WORDS_SQL, bounded_batches, free_names, table, utf8_values, words_of, written
 
 WINDOW_WORDS = 10
 #: Bytes of benchmark text in a block; the corpus index is searched once for each block.
@@ -305,9 +305,13 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows in which a benchmark window occurs; columns as they were."""
-    hit = digest(search(build_index(keyed(docs)), benchmark)).filter("contaminated").select(F.col("doc_id").alias("__row")).distinct()
-    return keyed(docs, "__row").join(hit, "__row", "left_anti").drop("__row")
+    """docs without the rows in which a benchmark window occurs; columns as they were.
+
+    Rows go by a 64-bit hash of their id and text: with n rows, c of them hit, n * c / 2**64 clean ones go by mistake.
+    """
+    (row,) = free_names(docs, "__row")
+    hit = digest(search(build_index(keyed(docs)), benchmark)).filter("contaminated").select(F.col("doc_id").alias(row)).distinct()
+    return keyed(docs, row).join(hit, row, "left_anti").select(*docs.columns)
 
 
 def keyed(docs: DataFrame, name: str = "doc_id") -> DataFrame:

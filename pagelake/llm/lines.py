@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free_names, table, written
 
 RATIO, MIN_PAGES = 0.05, 10
 #: Line hashes (8 bytes each) that may be broadcast; keys that a host is spread over beyond that.
@@ -46,26 +46,34 @@ def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float =
     return found.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
-def mark_lines(pages: DataFrame, host: str, text: str = "text", broadcast_lines: int = BROADCAST_LINES, **limits) -> DataFrame:
-    """pages with __lines (all lines) and __kept (those that are not their host's boilerplate)."""
-    drop = written(boilerplate(pages, host, text, **limits).select(F.col("host").alias("__host"), F.col("lines").alias("__drop")), "boilerplate")
-    rows = pages.withColumn("__key", _host(host))
-    entries = drop.agg(F.sum(F.size("__drop") + F.octet_length("__host") / 8)).first()[0] or 0
+def _marked(pages: DataFrame, host: str, text: str, broadcast_lines: int, **limits) -> tuple[DataFrame, str, str]:
+    """pages with two columns more, and their names: all lines, and those that are not their host's boilerplate."""
+    owner, drops, key, part, salt, lines, kept = free_names(pages, "__host", "__drop", "__key", "__part", "__salt", "__lines", "__kept")
+    drop = written(boilerplate(pages, host, text, **limits).select(F.col("host").alias(owner), F.col("lines").alias(drops)), "boilerplate")
+    rows = pages.withColumn(key, _host(host))
+    entries = drop.agg(F.sum(F.size(drops) + F.octet_length(owner) / 8)).first()[0] or 0
     if entries <= broadcast_lines:
-        joined = rows.join(F.broadcast(drop), F.col("__key") == F.col("__host"), "left")
+        joined = rows.join(F.broadcast(drop), F.col(key) == F.col(owner), "left")
     else:
-        drop = drop.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-        joined = rows.join(drop, (F.col("__key") == F.col("__host")) & (F.col("__salt") == F.col("__part")), "left").drop("__part", "__salt")
-    joined = joined.withColumn("__lines", _lines(F.col(text).cast("string")))
-    kept = F.filter("__lines", lambda x: (F.trim(x) == "") | ~F.array_contains("__drop", _key(x)))
-    return joined.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(kept)).drop("__host", "__drop", "__key")
+        drop = drop.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        joined = rows.join(drop, (F.col(key) == F.col(owner)) & (F.col(salt) == F.col(part)), "left").drop(part, salt)
+    joined = joined.withColumn(lines, _lines(F.col(text).cast("string")))
+    own = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(drops, _key(x)))
+    return joined.withColumn(kept, F.when(F.col(drops).isNull(), F.col(lines)).otherwise(own)).drop(owner, drops, key), lines, kept
+
+
+def mark_lines(pages: DataFrame, host: str, text: str = "text", broadcast_lines: int = BROADCAST_LINES, **limits) -> DataFrame:
+    """pages with __lines (all lines) and __kept (those that are not their host's boilerplate); where pages has a column of
+    such a name, the new one has an underscore more."""
+    return _marked(pages, host, text, broadcast_lines, **limits)[0]
 
 
-def drop_lines(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
+def drop_lines(docs: DataFrame, host: str = "source", broadcast_lines: int = BROADCAST_LINES, **limits) -> DataFrame:
     """docs without boilerplate lines; its columns, n_chars (if it has one) counted again for changed texts."""
-    changed = F.size("__kept") < F.size("__lines")
-    out = mark_lines(docs, host, **limits).withColumn("text", F.when(changed, F.array_join("__kept", "\n")).otherwise(F.col("text")))
+    marked, lines, kept = _marked(docs, host, "text", broadcast_lines, **limits)
+    changed = F.size(kept) < F.size(lines)
+    out = marked.withColumn("text", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

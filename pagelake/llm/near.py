@@ -4,7 +4,12 @@ Documents with the same set of word five-grams form a class. A class's MinHash s
 share a band's hash meet in a bucket, and every pair of a bucket is verified on its full n-gram sets. No pair becomes a
 row: a task verifies the pairs of a bucket's cell and returns, per class, its number of links and a root to which links
 lead; a pair that meets in several buckets is counted in the first only. Buckets of the same classes are one; buckets of
-more than TILE classes are dealt into cells of two tiles, so that no task holds a large bucket.
+more than TILE classes are dealt into tiles, so that no task holds a large bucket.
+
+Links are counted over all pairs, in cells of two tiles: rows grow with the square of a bucket's tiles. Where only groups are
+asked for (links=False, as by drop_near), each tile is compared within itself and with the bucket's first class, its
+representative; only classes that lead to no representative are compared with the other tiles. For a bucket of copies
+that are near each other, rows then grow with its size.
 
 Band and row counts are the most selective ones within MOST_HASHES that reach the target recall at the threshold.
 
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS_SQL, bounded_batches, by_batch, shingle_hashes, table, utf8_values, word_hashes, written
+from .common import WORDS_SQL, bounded_batches, by_batch, free_names, shingle_hashes, table, utf8_values, word_hashes, written
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
 #: Classes of a tile; a cell holds two at most.
@@ -33,7 +38,8 @@ TILE = 1024
 DENSE, COLUMNS = 12, 4096
 
 SIGNATURES = "doc_id bigint, text_hash bigint, set_key binary, n_grams int, bands array<bigint>"
-CELLS = "bucket bigint, i int, j int, class_no bigint, tile int, copies bigint, buckets array<bigint>, grams binary"
+CELLS = "bucket bigint, i int, j int, class_no bigint, tile int, copies bigint, buckets array<bigint>, rep bigint, grams binary"
+CELL_LIST = "array<struct<bucket:bigint,i:int,j:int,tile:int,rep:bigint>>"
 LINKS = "class_no bigint, n_links bigint, n_class_links bigint, root bigint"
 
 
@@ -98,19 +104,17 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _cells(size: int):
+    """A row for each cell that a class is sent to, with its n-gram set."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out = []
         for row in batch.to_pylist():
             grams = _packed(shingle_hashes(word_hashes(row["text"].encode()), size))
-            ids = sorted(b["bucket"] for b in row["buckets"])
-            for b in row["buckets"]:
-                tiles = -(-b["n"] // TILE)
-                own = (row["class_no"] * 0x9E3779B97F4A7C15 >> 17) % tiles
-                for other in range(tiles):
-                    out.append((b["bucket"], min(own, other), max(own, other), row["class_no"], own, row["copies"], ids, grams))
+            for c in row["cells"]:
+                out.append((c["bucket"], c["i"], c["j"], row["class_no"], c["tile"], row["copies"], row["ids"], c["rep"], grams))
         if not out:
             return None
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in CELLS.split(", ")])
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +168,12 @@ def verified(rows: list[dict], threshold: float) -> list[tuple[int, int, int, in
     tiles = np.array([r["tile"] for r in rows])
     if first["i"] != first["j"]:
         links &= tiles[:, None] != tiles[None, :]
-    earlier = sorted({b for r in rows for b in r["buckets"] if b < first["bucket"]})
+    earlier = sorted({b for r in rows for b in r["buckets"] or () if b < first["bucket"]})
     if earlier:
         place = {b: k for k, b in enumerate(earlier)}
         met = np.zeros((len(rows), len(earlier)), np.float32)
         for k, r in enumerate(rows):
-            met[k, [place[b] for b in r["buckets"] if b in place]] = 1
+            met[k, [place[b] for b in r["buckets"] or () if b in place]] = 1
         links &= (met @ met.T) == 0
     if not links.any():
         return []
@@ -225,43 +229,95 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small.distinct(), "edges")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = NGRAM, recall: float = RECALL) -> DataFrame:
+def _tile(class_no: Column, tiles: Column) -> Column:
+    return F.pmod(F.xxhash64(class_no), tiles).cast("int")
+
+
+def _tiles(n: Column) -> Column:
+    return F.ceil(n / TILE).cast("int")
+
+
+def _sent(members: DataFrame, texts: DataFrame, threshold: float, size: int, name: str) -> DataFrame:
+    """The links of the cells that members (class_no, cells; ids) are sent to."""
+    found = texts.join(members, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("class_no", "copies", "ids", "cells", "text")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = found.mapInArrow(_cells(size), CELLS).repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return written(cells.mapInArrow(_verify(threshold), LINKS), name)
+
+
+def _all_links(classes: DataFrame, met: DataFrame, buckets: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """All pairs of every bucket, each counted in the first bucket where it meets."""
+    tiles, own = _tiles(F.col("n")), _tile(F.col("class_no"), _tiles(F.col("n")))
+    cells = F.transform(
+        F.sequence(F.lit(0), tiles - 1),
+        lambda x: F.struct("bucket", F.least(own, x).alias("i"), F.greatest(own, x).alias("j"), own.alias("tile"), F.lit(None).cast("bigint").alias("rep")),
+    )
+    members = met.withColumn("cells", cells).groupBy("class_no").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.array_sort(F.collect_list("bucket")).alias("ids"))
+    return _sent(classes.join(members, "class_no"), texts, threshold, size, "links")
+
+
+def _group_links(classes: DataFrame, met: DataFrame, buckets: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Links enough to connect what all pairs would connect: each tile with its bucket's representative, then the rest."""
+    own = _tile(F.col("class_no"), _tiles(F.col("n")))
+    cell = lambda i, j, tile: F.struct("bucket", i.alias("i"), j.alias("j"), tile.alias("tile"), "rep")
+    everywhere = F.transform(F.sequence(F.lit(0), _tiles(F.col("n")) - 1), lambda x: cell(x, x, x))
+    cells = F.when(F.col("class_no") == F.col("rep"), everywhere).otherwise(F.array(cell(own, own, own)))
+    unlisted = lambda df: df.groupBy("class_no").agg(F.flatten(F.collect_list("cells")).alias("cells")).withColumn("ids", F.lit(None).cast("array<bigint>"))
+    first = _sent(classes.join(unlisted(met.withColumn("cells", cells)), "class_no"), texts, threshold, size, "links")
+    if not buckets.filter(F.col("n") > TILE).take(1):
+        return first
+    hot = met.filter(F.col("n") > TILE)
+    roots = components(first.select(F.col("class_no").alias("a"), F.col("root").alias("b")))
+    rooted = hot.join(roots, F.col("class_no") == F.col("node"), "left").select("bucket", "n", "rep", "class_no", F.coalesce("root", "class_no").alias("root"))
+    of_rep = rooted.filter("class_no = rep").select("bucket", F.col("root").alias("rep_root"))
+    rooted = written(rooted.join(of_rep, "bucket").withColumn("apart", F.col("root") != F.col("rep_root")), "rooted")
+    left = rooted.filter("apart").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_apart"))
+    # tiles of classes apart are numbered below 0: every class meets all of them, a class apart all tiles but its own
+    rooted = rooted.join(left, "bucket")
+    apart_tile = -1 - _tile(F.col("class_no"), _tiles(F.col("n_apart")))
+    met_by = F.transform(F.sequence(F.lit(0), _tiles(F.col("n_apart")) - 1), lambda x: cell(-1 - x, own, own))
+    others = F.filter(F.sequence(F.lit(0), _tiles(F.col("n")) - 1), lambda x: x != own)  # its own tile was compared before
+    meets = F.when(F.col("apart"), F.transform(others, lambda x: cell(apart_tile, x, apart_tile))).otherwise(F.array().cast(CELL_LIST))
+    second = rooted.withColumn("cells", F.concat(met_by, meets))
+    return first.unionByName(_sent(classes.join(unlisted(second), "class_no"), texts, threshold, size, "more-links"))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = NGRAM, recall: float = RECALL, links: bool = True) -> DataFrame:
     """One row per document: its class, the class's copies, its links to other classes and the group that links connect.
 
     doc_id, text_hash, class_id (least doc_id of the same n-gram set), class_size, n_links (documents of other classes
     at or above the threshold), n_class_links (their classes), group_id (least doc_id of the connected classes).
+    links=False: the two counts are null and groups are found with fewer comparisons.
     """
     bands, rows = banding(threshold, recall)
     signed = written(signatures(docs, bands, rows, size), "signatures")
     grouped = signed.groupBy("set_key").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
+        F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
     )
     # numbers are fixed by the write; they are unique whatever the ids are
     classes = written(grouped.withColumn("class_no", F.monotonically_increasing_id()), "classes")
     met = classes.select("class_no", F.explode("bands").alias("bucket"))
     one, two = F.xxhash64("class_no"), F.xxhash64(F.lit(1), F.col("class_no"))
-    buckets = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y")).filter("n > 1")
-    buckets = written(buckets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
-    members = met.join(buckets, "bucket").groupBy("class_no").agg(F.collect_list(F.struct("bucket", "n")).alias("buckets"))
-    members = classes.select("class_no", "rep.doc_id", "rep.text_hash", "copies").join(members, "class_no")
+    buckets = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class_no").alias("rep"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y")).filter("n > 1")
+    buckets = written(buckets.groupBy("n", "rep", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "rep"), "buckets")
+    met = met.join(buckets, "bucket")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("d"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    found = texts.join(members, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("class_no", "copies", "buckets", "text")
-    cells = found.mapInArrow(_cells(size), CELLS)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    links = written(cells.mapInArrow(_verify(threshold), LINKS), "links")
-    roots = components(links.select(F.col("class_no").alias("a"), F.col("root").alias("b")))
-    total = links.groupBy("class_no").agg(F.sum("n_links").alias("n_links"), F.sum("n_class_links").alias("n_class_links"))
-    joined = classes.join(total, "class_no", "left").join(roots, F.col("class_no") == F.col("node"), "left")
-    joined = joined.withColumn("root", F.coalesce("root", "class_no"))
-    lowest = joined.groupBy("root").agg(F.min("rep").alias("lowest"))
-    joined = joined.join(lowest, "root").select(
+    found = (_all_links if links else _group_links)(classes.select("class_no", "least.doc_id", "least.text_hash", "copies"), met, buckets, texts, threshold, size)
+    roots = components(found.select(F.col("class_no").alias("a"), F.col("root").alias("b")))
+    joined = classes.join(roots, F.col("class_no") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class_no"))
+    lowest = joined.groupBy("root").agg(F.min("least").alias("lowest"))
+    count = lambda name: (F.coalesce(F.col(name), F.lit(0)) if links else F.lit(None)).cast("bigint").alias(name)
+    joined = joined.join(lowest, "root")
+    if links:
+        total = found.groupBy("class_no").agg(F.sum("n_links").alias("n_links"), F.sum("n_class_links").alias("n_class_links"))
+        joined = joined.join(total, "class_no", "left")
+    joined = joined.select(
         "set_key",
-        F.col("rep.doc_id").alias("class_id"),
+        F.col("least.doc_id").alias("class_id"),
         F.col("copies").alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("n_class_links", F.lit(0)).cast("bigint").alias("n_class_links"),
+        count("n_links"),
+        count("n_class_links"),
         F.col("lowest.doc_id").alias("group_id"),
         F.col("lowest.text_hash").alias("group_hash"),
     )
@@ -274,16 +330,18 @@ def _kept(docs: DataFrame) -> Column:
 
 def drop_near(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group of near copies, that of the least doc_id; columns as they were."""
-    found = near_classes(docs, threshold)
+    own, text, n = free_names(docs, "__id", "__hash", "__n")
+    (key,) = free_names(docs, "__text")
+    found = near_classes(docs, threshold, links=False)
     same = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("text_hash") == F.col("group_hash"))
     keep = found.filter(same).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    keep = written(keep.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n").alias("__n")), "kept")
-    joined = docs.withColumn("__text", _kept(docs)).join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")))
-    once = joined.filter("__n = 1").select(*docs.columns)
-    if not keep.filter("__n > 1").take(1):
+    keep = written(keep.select(F.col("doc_id").alias(own), F.col("text_hash").alias(text), F.col("n").alias(n)), "kept")
+    joined = docs.withColumn(key, _kept(docs)).join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col(own)) & (F.col(key) == F.col(text)))
+    once = joined.filter(F.col(n) == 1).select(*docs.columns)
+    if not keep.filter(F.col(n) > 1).take(1):
         return once
     # rows repeated with their id and text: one of each stays
-    return once.unionByName(joined.filter("__n > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns))
+    return once.unionByName(joined.filter(F.col(n) > 1).dropDuplicates([own, text]).select(*docs.columns))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

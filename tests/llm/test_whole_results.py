@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from pagelake.llm import fingerprints, lines, quotes, toxicity
+from pagelake.llm import decontaminate, fingerprints, lines, near, quotes, toxicity
+from pagelake.llm.common import shingle_hashes, word_hashes
 
 
 def test_next_of_hash_ids_over_buckets(spark):
@@ -93,3 +95,35 @@ def test_query_model_is_fair_and_right_on_the_held_out_fold(spark):
     texts = [(r.text or "").encode() for r in docs.join(labels, "doc_id").collect()]
     pairs = [(t, s) for t in texts if (s := toxicity.swapped_text(t))]
     assert pairs and np.mean([abs(model.score(t) - model.score(s)) for t, s in pairs]) < 0.01
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_groups_by_representatives_are_those_of_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(near, "TILE", tile)
+    rng = random.Random(9)
+    texts = []
+    for family in range(6):
+        words = [f"f{family}w{k}" for k in range(60)]
+        for _ in range(30):  # a chain: each text is an edit of an earlier one, so many are near some but not the first
+            words = list(words)
+            for _ in range(rng.choice((1, 1, 1, 9))):
+                words[rng.randrange(60)] = f"e{rng.random()}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    whole = {r.doc_id: (r.class_id, r.class_size, r.group_id) for r in near.near_classes(docs).collect()}
+    found = near.near_classes(docs, links=False).collect()
+    assert {r.doc_id: (r.class_id, r.class_size, r.group_id) for r in found} == whole and len({g for _, _, g in whole.values()}) > 6
+    sets = [set(shingle_hashes(word_hashes(t.encode()), 5).tolist()) for t in texts]
+    linked = {(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert linked and all(whole[a][2] == whole[b][2] for a, b in linked)
+
+
+@pytest.mark.parametrize("drop", [lambda d: lines.drop_lines(d), near.drop_near, lambda d: decontaminate.drop_contaminated(d, d.limit(0).select(F.col("doc_id").alias("item_id"), "text"))])
+def test_internal_names_are_free_for_columns(spark, drop):
+    names = ["__text", "__id", "__hash", "__n", "__key", "__host", "__drop", "__lines", "__kept", "__part", "__salt", "__row", "__text_"]
+    rows = [(k, f"own line {k}\nshared by all", "a", *[f"{n}{k}" for n in names]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    out = drop(docs)
+    assert out.columns == docs.columns
+    kept = out.collect()
+    assert kept and all(r[n] == f"{n}{r.doc_id}" for r in kept for n in names)
