@@ -65,11 +65,16 @@ def strip_fence(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    return F.when(F.length(text) <= 8, F.lit("…")).otherwise(F.concat(F.left(text, F.lit(4)), F.lit("…"), F.right(text, F.lit(4))))
+    """A secret's first 8 and last 4 characters; nothing of one of 16 bytes or less."""
+    return F.when(F.octet_length(text) <= 16, F.lit("<redacted>")).otherwise(F.concat(F.left(text, F.lit(8)), F.lit("…"), F.right(text, F.lit(4))))
 
 
 def human_bytes(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1 << 20)))
+    """A size in the largest unit that it reaches, to one decimal; halves go to the even digit."""
+    out = F.concat(n.cast("string"), F.lit("B"))
+    for power, unit in enumerate("KMGTPE", 1):
+        out = F.when(n >= 1 << 10 * power, F.concat(F.format_string("%.1f", F.bround(n / float(1 << 10 * power), 1)), F.lit(f"{unit}B"))).otherwise(out)
+    return out
 
 
 def backoff_ms(attempt: Column, base_ms: int = 500, most_ms: int = 5000) -> Column:
@@ -112,39 +117,6 @@ def schema_type(name: Column) -> Column:
     )
 
 
-def url_score(url: Column, target_path: Column, url_path: Column) -> Column:
-    """How well an endpoint's URL fits a target path: equal, equal without .json, holding its last two segments or its last."""
-    low, target = F.lower(url), F.lower(target_path)
-    parts = F.filter(F.split(target, "/"), lambda s: s != "")
-    last = F.element_at(F.concat(F.array(F.lit("")), parts), -1)
-    pair = F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, -2, 2), "/")).otherwise(F.lit(""))
-    own = F.lower(url_path)
-    return (
-        F.when(own == target, 0.72)
-        .when(F.regexp_replace(own, r"\.json$", "") == target, 0.82)
-        .when((pair != "") & low.contains(pair), 0.66)
-        .when((last != "") & low.contains(last), 0.58)
-        .otherwise(0.0)
-    )
-
-
-def text_score(key: Column, value: Column, last: Column, pair: Column, tokens: Column) -> Column:
-    """How well a JSON leaf names a target: the ladder from its key and value."""
-    v = F.lower(F.trim(value))
-    named = F.lower(key).isin("slug", "handle", "subreddit", "repo", "owner", "name", "title", "path", "permalink", "url", "link", "html_url", "canonical_url")
-    all_in = F.forall(tokens, lambda t: v.contains(t))
-    holds = (last != "") & v.contains(last)
-    return (
-        F.when((F.lower(key) == "full_name") & (pair != "") & v.contains(pair), 0.95)
-        .when(named & (v == last) & (last != ""), 0.9)
-        .when(holds & (F.size(tokens) == 0), 0.74)
-        .when(holds & all_in, 0.84)
-        .when(holds, 0.7)
-        .when((pair != "") & v.contains(pair), 0.86)
-        .otherwise(0.0)
-    )
-
-
 def merged_confidence(a: Column, b: Column) -> Column:
     """The greater one; values of zero or less count as absent."""
     up = lambda x: F.when(x > 0, x)

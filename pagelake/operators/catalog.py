@@ -67,28 +67,52 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return _first(both, ["domain", "id"], F.desc("version"), F.desc("__s")).drop("__s")
 
 
-def merge_endpoints(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Endpoints of both schemas by domain, method and URL template, merged field by field, with one primary a domain.
+#: What merge_endpoints fills from the first endpoint that has it, and from the first where it is not empty.
+FIRST_KNOWN, FIRST_FILLED = ("body", "response_schema"), ("query_params", "variables", "response_mapping")
+
 
-    Names stay unless empty or a placeholder; descriptions, methods and the rest fill gaps; confidence is the greater.
+def merge_endpoints(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Endpoints of both schemas, one for each domain, method (of any case), URL template and body template, in the order of
+    their first one, the existing before the incoming; with one primary a domain, the first of the greatest confidence.
+
+    The first name that is neither empty nor a placeholder counts, else the last one. The first description counts; one that
+    only repeats the name, the next one replaces. The last method that is not empty counts, of headers the last value, and
+    the greatest confidence. Columns beside domain, method, url_template, name, description, confidence and ord are merged
+    where both have them: body_template (part of the key), headers, body, query_params, variables, response_schema,
+    response_mapping. Repeats of one endpoint are aggregated before they move.
     """
-    side = lambda df, s: df.select("domain", F.upper("method").alias("method"), "url_template", F.struct("name", "description", "confidence", "is_primary", "ord").alias(s))
-    both = side(existing, "a").join(side(incoming, "b"), ["domain", "method", "url_template"], "full_outer")
-    filled = lambda x: F.nullif(x, F.lit(""))
-    name = F.coalesce(F.when(F.col("a.name") != "directJSON", filled(F.col("a.name"))), filled(F.col("b.name")), F.col("a.name"))
-    old = filled(F.col("a.description"))
-    description = F.when(old.isNull() | (old == name), F.coalesce(filled(F.col("b.description")), old)).otherwise(old)
-    merged = both.select(
-        "domain",
-        "method",
-        "url_template",
-        name.alias("name"),
-        description.alias("description"),
-        F.greatest(F.col("a.confidence"), F.col("b.confidence")).alias("confidence"),
-        F.coalesce(F.col("a.ord"), F.col("b.ord") + 1_000_000).alias("ord"),
+    side = lambda df, s: df.select(*columns, F.struct(F.lit(s).alias("side"), "ord").alias("pos"))
+    optional = [c for c in ("body_template", "headers", *FIRST_KNOWN, *FIRST_FILLED) if c in existing.columns and c in incoming.columns]
+    columns = ["domain", "method", "url_template", "name", "description", "confidence", *optional]
+    rows = side(existing, 0).unionByName(side(incoming, 1)).withColumn("method_key", F.upper(F.coalesce("method", F.lit(""))))
+    rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("method", "name", "description", *(["body_template"] if "body_template" in optional else []))})
+    keys = ["domain", "method_key", "url_template", *(["body_template"] if "body_template" in optional else [])]
+    good, described = ~F.col("name").isin("", "directJSON"), F.col("description") != ""
+    first = lambda value, where: F.min_by(F.when(where, value), F.when(where, F.col("pos")))
+    kept = [first(F.col(c), F.col(c).isNotNull()).alias(c) for c in FIRST_KNOWN if c in optional]
+    kept += [first(F.col(c), F.size(c) > 0).alias(c) for c in FIRST_FILLED if c in optional]
+    merged = rows.groupBy(*keys).agg(
+        F.coalesce(first(F.col("name"), good), F.max_by("name", "pos")).alias("name"),
+        F.min(F.when(good, F.col("pos"))).alias("named_at"),
+        F.coalesce(first(F.col("description"), described), F.lit("")).alias("description"),
+        F.min(F.when(described, F.col("pos"))).alias("described_at"),
+        F.coalesce(F.max_by(F.when(F.col("method") != "", F.col("method")), F.when(F.col("method") != "", F.col("pos"))), F.lit("")).alias("method"),
+        F.max("confidence").alias("confidence"),
+        F.min("pos").alias("pos"),
+        *kept,
     )
-    rank = Window.partitionBy("domain").orderBy(F.desc("confidence"), "ord")
-    return merged.withColumn("is_primary", F.row_number().over(rank) == 1)
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    repeats = merged.filter("description = name and description <> ''").select(*keys, "name", F.greatest("named_at", "described_at").alias("since"), "described_at")
+    later = rows.alias("r").join(repeats.alias("m"), same("r", "m")).filter("r.pos >= m.since and r.pos > m.described_at and r.description <> '' and r.description <> m.name")
+    better = later.groupBy(*[F.col(f"m.{k}").alias(k) for k in keys]).agg(F.min_by("r.description", "r.pos").alias("better"))
+    joined = merged.alias("e").join(better.alias("b"), same("e", "b"), "left").select("e.*", F.coalesce("b.better", "e.description").alias("__description"))
+    joined = joined.drop("description").withColumnRenamed("__description", "description")
+    if "headers" in optional:
+        one = rows.select(*keys, "pos", F.explode("headers").alias("header", "value")).groupBy(*keys, "header").agg(F.max_by("value", "pos").alias("value"))
+        heads = one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("header", "value"))).alias("headers"))
+        joined = joined.alias("e").join(heads.alias("h"), same("e", "h"), "left").select("e.*", F.coalesce("h.headers", F.create_map().cast("map<string,string>")).alias("headers"))
+    rank = Window.partitionBy("domain").orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), "pos")
+    return joined.withColumn("is_primary", F.row_number().over(rank) == 1).withColumn("ord", F.row_number().over(Window.partitionBy("domain").orderBy("pos"))).select(*columns, "is_primary", "ord")
 
 
 def merged_coverage(coverage: Column) -> Column:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import os
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,11 +62,16 @@ def describe_name(name: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "[_-]+", " ")))
 
 
-def entity_type(url_template: Column) -> Column:
-    """What an endpoint returns: the singular of its last plain segment; record if it has none."""
-    plain = F.filter(urls.segments(F.regexp_replace(urls.path(url_template), r"\.json$", "")), lambda s: s.rlike("^[A-Za-z][A-Za-z_-]*$") & ~s.isin("api", "rest", "graphql"))
-    last = F.lower(F.element_at(F.concat(F.array(F.lit("record")), plain), -1))
-    return F.when(last.endswith("ies"), F.regexp_replace(last, "ies$", "y")).otherwise(F.regexp_replace(last, "s$", ""))
+def entity_type(name: Column, response_type: Column | None = None) -> Column:
+    """What an endpoint returns, by its name, else by the type of its response."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return (
+        F.when(low.contains("search"), "search_results")
+        .when(low.contains("list"), "list")
+        .when(low.rlike("repo|product|item"), "entity")
+        .when(F.coalesce(response_type, F.lit("")) == "array" if response_type is not None else F.lit(False), "list")
+        .otherwise("object")
+    )
 
 
 def primary_endpoint(endpoints: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,13 +113,11 @@ def missing_keys(required: Column, present: Column) -> Column:
 
 def hmac_sha256(key: Column, message: Column) -> Column:
     """Hex HMAC-SHA-256 of texts; null if either is."""
-
-    @F.pandas_udf("string")
-    def run(keys: pd.Series, messages: pd.Series) -> pd.Series:
-        make = lambda k, m: None if k is None or m is None else hmac.new(k.encode(), m.encode(), hashlib.sha256).hexdigest()
-        return pd.Series([make(k, m) for k, m in zip(keys, messages)])
-
-    return run.asNondeterministic()(key, message)
+    raw = key.cast("binary")
+    block = F.rpad(F.hex(F.when(F.octet_length(raw) > 64, F.unhex(F.sha2(raw, 256))).otherwise(raw)), 128, "0")
+    byte = lambda i: F.conv(F.substr(block, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    pad = lambda mask: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(F.lit(mask))), 2, "0")), ""))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))), 256)
 
 
 def traffic_document(entries: DataFrame, most: int = 25, size: int = 500) -> DataFrame:

@@ -13,9 +13,9 @@ from .extract import PAGE, dumps, extract_page, map_pages
 
 #: JSON-LD keys that are kept.
 LD_KEYS = (
-    "@type name author datePublished dateModified description image url headline publisher mainEntityOfPage price priceCurrency brand sku "
-    "availability aggregateRating offers jobTitle worksFor address"
-).split()
+    "@type", "name", "author", "datePublished", "dateModified", "description", "image", "url", "headline", "publisher", "mainEntityOfPage",
+    "price", "priceCurrency", "brand", "sku", "availability", "aggregateRating", "offers", "jobTitle", "worksFor", "address",
+)
 STRUCTURED = {"record": "string", "source": "string", "page_type": "string"}
 
 

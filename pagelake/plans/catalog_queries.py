@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import templates
+from ..functions import semantics
 from ..functions import text as tx
 from ..functions import urls
 from ..operators import catalog
@@ -66,7 +67,9 @@ def schemas_per_domain(spark, d):
 
 
 def schema_merge_endpoints(spark, d):
-    return catalog.merge_endpoints(views.endpoints(spark, d, 0), views.endpoints(spark, d, 1)).drop("ord")
+    """Without the numbers in their templates, many endpoints of one side are one."""
+    side = lambda k: views.endpoints(spark, d, k).withColumn("url_template", F.regexp_replace("url_template", "/[0-9]+", ""))
+    return catalog.merge_endpoints(side(0), side(1)).drop("ord")
 
 
 def known_sites(spark):
@@ -98,12 +101,13 @@ def endpoint_rank(spark, d):
 
 
 def url_semantic_score(spark, d):
-    rows = _urls(spark, d).select("page_id", urls.path(F.col("url")).alias("target"))
-    probes = rows.select("page_id", "target", F.explode(F.array(
+    rows = _urls(spark, d).select("page_id", "url", urls.path(F.col("url")).alias("target"))
+    host = F.regexp_replace(F.lower(F.element_at(F.split("target", "/"), -1)), "[^a-z0-9]", "")
+    probes = rows.select("page_id", "url", F.explode(F.array(
         F.concat(F.lit("https://x.example.com"), F.col("target")), F.concat(F.lit("https://x.example.com"), F.regexp_replace("target", "/$", ""), F.lit(".json")),
-        F.concat(F.lit("https://x.example.com/api"), F.col("target")), F.lit("https://x.example.com/none"),
+        F.concat(F.lit("https://x.example.com/api"), F.col("target")), F.concat(F.lit("https://x"), host, F.lit(".example.com/none")),
     )).alias("endpoint"))
-    return probes.select("page_id", "endpoint", tx.url_score(F.col("endpoint"), F.col("target"), urls.path(F.col("endpoint"))).cast("double").alias("score"))
+    return probes.select("page_id", "endpoint", semantics.url_score(semantics.target_signals(F.col("url")), F.col("endpoint")).cast("double").alias("score"))
 
 
 def confidence_merge(spark, d):
@@ -201,15 +205,20 @@ SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY domain, id ORDER BY vers
     "schemas_per_domain": f"""
 SELECT domain, count(*) AS n_schemas, CASE WHEN bool_or(schema_type = 'api') THEN 'complete' ELSE 'partial' END AS coverage FROM ({_SCHEMAS}) GROUP BY domain""",
     "schema_merge_endpoints": f"""
-WITH a AS (SELECT domain, upper(method) AS method, url_template, name, description, confidence, ord FROM ({views.endpoints_sql(0)})),
-b AS (SELECT domain, upper(method) AS method, url_template, name, description, confidence, ord FROM ({views.endpoints_sql(1)})),
-m AS (
-  SELECT domain, method, url_template, coalesce(CASE WHEN a.name <> 'directJSON' THEN nullif(a.name, '') END, nullif(b.name, ''), a.name) AS name,
-    nullif(a.description, '') AS old, nullif(b.description, '') AS new, greatest(a.confidence, b.confidence) AS confidence, coalesce(a.ord, b.ord + 1000000) AS ord
-  FROM a FULL JOIN b USING (domain, method, url_template)
+WITH r AS (
+  SELECT 0 AS side, * REPLACE (regexp_replace(url_template, '/[0-9]+', '') AS url_template) FROM ({views.endpoints_sql(0)})
+  UNION ALL SELECT 1, * REPLACE (regexp_replace(url_template, '/[0-9]+', '') AS url_template) FROM ({views.endpoints_sql(1)})
+), g AS (
+  SELECT domain, url_template, upper(method) AS k, min(side * 1000000000 + ord) AS pos,
+    list({{'name': name, 'description': description, 'method': method, 'confidence': confidence}} ORDER BY side, ord) AS l FROM r GROUP BY 1, 2, 3
+), m AS (
+  SELECT domain, url_template, pos, list_reduce(l, lambda a, x: {{
+    'name': CASE WHEN a.name IN ('', 'directJSON') THEN x.name ELSE a.name END,
+    'description': CASE WHEN a.description = '' OR (a.description = CASE WHEN a.name IN ('', 'directJSON') THEN x.name ELSE a.name END AND x.description <> '') THEN x.description ELSE a.description END,
+    'method': CASE WHEN x.method <> '' THEN x.method ELSE a.method END, 'confidence': greatest(a.confidence, x.confidence)}}) AS e FROM g
 )
-SELECT domain, method, url_template, name, CASE WHEN old IS NULL OR old = name THEN coalesce(new, old) ELSE old END AS description, confidence,
-  row_number() OVER (PARTITION BY domain ORDER BY confidence DESC, ord) = 1 AS is_primary FROM m""",
+SELECT domain, e.method AS method, url_template, e.name AS name, e.description AS description, e.confidence AS confidence,
+  row_number() OVER (PARTITION BY domain ORDER BY e.confidence DESC, pos) = 1 AS is_primary FROM m""",
     "known_site_match": f"SELECT page_id, site FROM ({_SITES}) WHERE site IS NOT NULL",
     "known_site_api_url": f"""
 SELECT page_id, CASE site WHEN 'net' THEN 'https://' || h || '/api/' || last WHEN 'com' THEN 'https://api.example.com/' || last || '.json' ELSE 'https://html/' || last END AS api_url
@@ -226,13 +235,14 @@ SELECT page_id, strategy, CAST(score AS INTEGER) AS score, CAST(row_number() OVE
 SELECT domain, url_template, ord, CAST(r AS INTEGER) AS rank, r = 1 AS is_primary FROM (
   SELECT *, row_number() OVER (PARTITION BY domain ORDER BY confidence DESC, ord % 17 DESC, ord) AS r FROM ({views.endpoints_sql(0)}) WHERE confidence >= 0.55)""",
     "url_semantic_score": rf"""
-WITH t AS (SELECT page_id, {_PATH} AS target FROM pages WHERE page_id % 5 = 0), e AS (
-  SELECT page_id, target, unnest(['https://x.example.com' || target, 'https://x.example.com' || regexp_replace(target, '/$', '') || '.json', 'https://x.example.com/api' || target, 'https://x.example.com/none']) AS endpoint FROM t
+WITH t AS (SELECT page_id, {_PATH} AS target FROM pages), e AS (
+  SELECT page_id, target, unnest(['https://x.example.com' || target, 'https://x.example.com' || regexp_replace(target, '/$', '') || '.json', 'https://x.example.com/api' || target,
+    'https://x' || regexp_replace(lower(list_last(string_split(target, '/'))), '[^a-z0-9]', '', 'g') || '.example.com/none']) AS endpoint FROM t
 ), s AS (
-  SELECT page_id, endpoint, lower(target) AS target, lower(endpoint) AS low, lower(regexp_extract(endpoint, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS own,
-    list_filter(string_split(lower(target), '/'), lambda s: s <> '') AS parts FROM e)
-SELECT page_id, endpoint, CAST(CASE WHEN own = target THEN 0.72 WHEN regexp_replace(own, '\.json$', '') = target THEN 0.82
-  WHEN len(parts) >= 2 AND contains(low, parts[-2] || '/' || parts[-1]) THEN 0.66 WHEN len(parts) >= 1 AND contains(low, parts[-1]) THEN 0.58 ELSE 0 END AS DOUBLE) AS score FROM s""",
+  SELECT page_id, endpoint, trim(lower(target), '/') AS target, trim(lower(regexp_extract(endpoint, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/') AS own FROM e
+), p AS (SELECT *, list_filter(list_transform(string_split(target, '/'), lambda s: regexp_replace(s, '\.json$', '')), lambda s: s <> '') AS parts FROM s)
+SELECT page_id, endpoint, CAST(CASE WHEN own = target AND own <> '' THEN 0.72 WHEN regexp_replace(own, '\.json$', '') = target AND own <> '' THEN 0.82
+  WHEN len(parts) >= 2 AND contains(own, parts[-2] || '/' || parts[-1]) THEN 0.66 WHEN len(parts) >= 1 AND contains(own, parts[-1]) THEN 0.58 ELSE 0 END AS DOUBLE) AS score FROM p""",
     "confidence_merge": """
 SELECT p_partkey, CAST(coalesce(greatest(CASE WHEN a > 0 THEN a END, CASE WHEN b > 0 THEN b END), 0) AS DOUBLE) AS confidence
 FROM (SELECT p_partkey, CAST(p_size - 10 AS DOUBLE) / 50.0 AS a, CAST(p_partkey % 30 - 5 AS DOUBLE) / 30.0 AS b FROM part)""",

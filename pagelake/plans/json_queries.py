@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import jsons
-from ..functions import text as tx
-from ..functions import urls
+from ..functions import jsons, semantics, urls
 from ..sources.tables import read_table
 
 _EVENT = """concat('{"id":', event_id, ',"type":"', event_type, '","user":{"id":', user_id, ',"tags":["a', event_id % 3, '","b"]},"items":[{"n":', event_id % 5, '},{"n":', event_id % 7, '}]}')"""
@@ -56,12 +54,15 @@ def json_count_keys(spark, d):
 
 
 def json_leaf_score(spark, d):
-    """Each event's best leaf against its type and user as a target's last segments."""
-    leaf = _events(spark, d).join(read_table(spark, d, "events").select("event_id", "event_type"), "event_id")
-    leaf = leaf.select("event_id", "event_type", F.explode(jsons.leaves_column(F.col("body"))).alias("x"))
-    last, pair = F.col("event_type"), F.concat(F.lit("e/"), F.col("event_type"))
-    score = tx.text_score(F.col("x.key"), F.col("x.text"), last, pair, F.array(last)).cast("double")
-    return leaf.select("event_id", score.alias("score")).groupBy("event_id").agg(F.max("score").alias("score"))
+    """Each event's body (every seventh is broken) against a target URL of its own."""
+    rows = read_table(spark, d, "events").selectExpr("event_id", "event_type", "user_id", f"{_EVENT} AS whole")
+    case, at = F.col("event_id") % 6, lambda *parts: F.concat(F.lit("https://x.example/"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    target = (
+        F.when(case == 0, at("u/", F.col("event_type"))).when(case == 1, at("u/big-", F.col("event_type"), "?id=", F.col("user_id")))
+        .when(case == 2, at("u/zzz?tag=b")).when(case == 3, at("b/")).when(case == 4, at("")).otherwise(at("none?id=", F.col("event_id") + 1))
+    )
+    body = F.when(F.col("event_id") % 7 == 0, F.left("whole", F.lit(20))).otherwise(F.col("whole"))
+    return rows.select("event_id", semantics.semantic_score(target, F.lit("https://api.example/x"), body).cast("double").alias("score"))
 
 
 def search_state_urls(spark, d):
@@ -91,7 +92,9 @@ ORACLE_SQL = {
     "json_keytree": f"SELECT entry, count(*) AS n FROM events, (SELECT unnest({_TREE}) AS entry) GROUP BY entry",
     "json_repair": "SELECT event_id, true AS valid FROM events",
     "json_count_keys": "SELECT event_id, CAST(7 AS INTEGER) AS n_keys FROM events",
-    "json_leaf_score": "SELECT event_id, CAST(0.84 AS DOUBLE) AS score FROM events",
+    "json_leaf_score": """
+SELECT event_id, CAST(CASE WHEN event_id % 6 = 4 THEN 0.6 WHEN event_id % 7 = 0 THEN 0 WHEN event_id % 6 = 1 THEN 0.96 WHEN event_id % 6 = 2 THEN 0.94
+  WHEN event_id % 6 = 5 THEN CASE WHEN user_id = event_id + 1 THEN 0.96 ELSE 0 END ELSE 0.84 END AS DOUBLE) AS score FROM events""",
     "search_state_urls": r"""
 SELECT r_regionkey, 'https://www.homes.example/' || replace(name, ' ', '-') || '-TX/rentals/?searchQueryState=%7B%22usersSearchTerm%22%3A%22' || replace(name, ' ', '+') || '+TX%22%7D' AS url
 FROM (SELECT r_regionkey, array_to_string(list_transform(string_split(r_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM region)""",

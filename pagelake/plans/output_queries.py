@@ -33,10 +33,10 @@ def query_key_kinds(spark, d):
 
 def text_parts(spark, d):
     fenced = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
-    size = F.col("event_id") * 997
+    size = F.pow(F.lit(7.0), F.col("event_id") % 22).cast("bigint") + F.col("event_id")
     return read_table(spark, d, "events").select(
         "event_id", tx.strip_fence(fenced).alias("plain"), tx.first_non_blank(F.lit("  "), F.when(F.col("event_id") % 2 == 0, F.col("event_type")), F.lit("none")).alias("first"),
-        F.when(size < 1024, tx.human_bytes(size)).otherwise("more").alias("size"),
+        tx.human_bytes(size).alias("size"),
     )
 
 
@@ -66,7 +66,9 @@ SELECT ord, CAST(3 AS INTEGER) AS n_keys FROM ({_HAR}) WHERE ord % 3 = 0 AND sta
 SELECT r_regionkey, key, searches, pages FROM region, (VALUES ('q', true, false), ('Search-Term', true, false), ('token', true, false), ('page', false, true),
   ('Page_Num', false, true), ('lang', false, false), ('id', false, false)) AS v(key, searches, pages)""",
     "text_parts": """
-SELECT event_id, props AS plain, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'none' END AS first, CASE WHEN event_id * 997 < 1024 THEN (event_id * 997) || ' B' ELSE 'more' END AS size FROM events""",
+SELECT event_id, props AS plain, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'none' END AS first,
+  CASE WHEN k = 0 THEN n || 'B' ELSE printf('%.1f', n / pow(1024.0, k)) || substr('KMGTPE', k, 1) || 'B' END AS size
+FROM (SELECT *, CAST(len(list_filter(range(1, 7), lambda i: n >= CAST(pow(1024.0, i) AS BIGINT))) AS INTEGER) AS k FROM (SELECT *, CAST(pow(7.0, event_id % 22) AS BIGINT) + event_id AS n FROM events))""",
     "body_lines": rf"""
 SELECT doc_id, strlen(t) < 3 OR ({_NOISE}) AS dropped FROM (
   SELECT doc_id, trim(regexp_replace(text || CASE WHEN doc_id % 5 = 0 THEN ' Please wait' ELSE '' END, '[\s\p{{Z}}\x0B\x85]+', ' ', 'g')) AS t FROM documents)""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -31,8 +33,9 @@ def endpoint_fill(spark, d):
 
 
 def entity_types(spark, d):
-    template = F.concat(F.lit("https://x/api/"), F.lower("p_type"), F.when(F.col("p_size") % 2 == 0, "ies/{id}").otherwise("s.json"))
-    return read_table(spark, d, "part").select("p_partkey", schemas.entity_type(template).alias("entity"))
+    name = F.concat(F.element_at(F.array(*map(F.lit, ["Search ", "toplist ", "REPOS of ", "", "my Item "])), (F.col("p_partkey") % 5 + 1).cast("int")), F.col("p_type"))
+    kind = F.when(F.col("p_size") % 2 == 0, "array").when(F.col("p_size") % 3 == 0, "object")
+    return read_table(spark, d, "part").select("p_partkey", schemas.entity_type(name, kind).alias("entity"))
 
 
 def primary_endpoints(spark, d):
@@ -70,7 +73,9 @@ def missing_session_keys(spark, d):
 
 
 def hmac_digests(spark, d):
-    return read_table(spark, d, "nation").select("n_nationkey", schemas.hmac_sha256(F.lit("key"), F.col("n_name")).alias("digest"))
+    """Keys of a block and more are hashed first."""
+    key = F.when(F.col("n_nationkey") % 2 == 0, F.lit("key")).otherwise(F.repeat(F.lit("k"), F.lit(70)))
+    return read_table(spark, d, "nation").select("n_nationkey", schemas.hmac_sha256(key, F.col("n_name")).alias("digest"))
 
 
 def traffic_documents(spark, d):
@@ -88,6 +93,14 @@ _NEXT = f"""(SELECT page_id, {_AUTH} AS domain, CASE WHEN len({_segs(_PATH)}) >
   THEN '/' || array_to_string(list_transform({_segs(_PATH)}, lambda s, i: CASE WHEN i = 1 THEN s ELSE '{{}}' END), '/') ELSE {_NORM} END AS p FROM pages)"""
 _ID = "substr(sha256(domain || ':' || p), 1, 16)"
 
+def _pads(key: bytes) -> list[str]:
+    """The two key blocks of HMAC-SHA-256 in hex."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return [bytes(b ^ mask for b in block).hex() for mask in (0x36, 0x5C)]
+
+
+_INNER, _OUTER = ("CASE WHEN n_nationkey % 2 = 0 THEN unhex('{}') ELSE unhex('{}') END".format(*x) for x in zip(_pads(b"key"), _pads(b"k" * 70)))
+
 ORACLE_SQL = {
     "probe_schema_rows": f"""
 SELECT domain, {_ID} AS id, p AS url_pattern, 'api' AS schema_type, name, t AS url_template, CAST(c AS DOUBLE) AS confidence FROM (
@@ -100,7 +113,9 @@ UNION ALL SELECT domain, {_ID}, p, 'next_data' FROM {_NEXT}""",
 SELECT domain, url_template, upper(method) AS method, ord, coalesce(nullif(description, ''), CASE WHEN name = 'directJSON' THEN 'direct json' ELSE lower(nullif(name, '')) END, '') AS description,
   CAST(CASE WHEN confidence > 0 THEN confidence ELSE 0.65 END AS DOUBLE) AS confidence FROM ({views.endpoints_sql(0)}) WHERE ord % 3 = 0""",
     "entity_types": """
-SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN lower(p_type) || 'y' ELSE lower(p_type) END AS entity FROM part""",
+SELECT p_partkey, CASE WHEN contains(n, 'search') THEN 'search_results' WHEN contains(n, 'list') THEN 'list'
+  WHEN contains(n, 'repo') OR contains(n, 'product') OR contains(n, 'item') THEN 'entity' WHEN p_size % 2 = 0 THEN 'list' ELSE 'object' END AS entity
+FROM (SELECT *, lower(['Search ', 'toplist ', 'REPOS of ', '', 'my Item '][p_partkey % 5 + 1] || p_type) AS n FROM part)""",
     "primary_endpoints": f"""
 SELECT domain, ord, is_primary FROM ({views.endpoints_sql(1)}) QUALIFY row_number() OVER (PARTITION BY domain ORDER BY is_primary DESC, ord) = 1""",
     "improved_patterns": rf"""
@@ -110,6 +125,7 @@ SELECT page_id, '/' || array_to_string(list_transform({_segs(_PATH)}, lambda s:
     "graphql_types": "SELECT n_name AS name, 'OBJECT' AS kind FROM nation WHERE n_nationkey % 4 <> 0",
     "store_bodies": "SELECT event_id, event_id % 3 = 0 AS store FROM events",
     "missing_session_keys": "SELECT event_id, CASE WHEN event_type = 'view' THEN 'csrf' ELSE 'csrf,view' END AS missing FROM events",
+    "hmac_digests": f"SELECT n_nationkey, sha256({_OUTER} || unhex(sha256({_INNER} || encode(n_name)))) AS digest FROM nation",
     "traffic_documents": f"""
 WITH k AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ord) AS n FROM ({views.har_sql()}) WHERE ord % 4 = 1)
 SELECT capture_id, string_agg('## ' || n || '. ' || method || ' ' || url || chr(10) || 'status ' || status || chr(10) || left(body, 20), chr(10) || chr(10) ORDER BY n) AS document

@@ -76,7 +76,10 @@ def url_same_host(spark, d):
 
 
 def private_ips(spark, d):
-    ip = F.format_string("%d.%d.%d.%d", F.col("event_id") % 256, F.col("user_id") % 256, F.col("event_id") % 7, F.lit(1))
+    v4 = F.format_string("%d.%d.%d.%d", F.col("event_id") % 300, F.col("user_id") % 256, F.col("event_id") % 7, F.lit(1))
+    v6 = F.concat(F.element_at(F.array(*map(F.lit, ["fe80", "fd12", "ff02", "2001"])), (F.col("user_id") % 4 + 1).cast("int")), F.lit("::"), F.col("user_id") % 10)
+    case = F.col("event_id") % 8
+    ip = F.when(case == 0, F.concat(F.lit("::ffff:"), v4)).when(case == 1, v6).when(case == 2, F.lit(None)).otherwise(v4)
     return read_table(spark, d, "events").select("event_id", ip.alias("ip"), urls.private_ip(ip).alias("is_private"))
 
 
@@ -123,7 +126,7 @@ def page_type_map(spark, d):
 def ttl_and_sizes(spark, d):
     unit = F.element_at(F.array(*map(F.lit, "smhdx")), (F.col("event_id") % 5 + 1).cast("int"))
     text = F.concat((F.col("event_id") % 40).cast("string"), unit)
-    return read_table(spark, d, "events").select("event_id", tx.ttl_seconds(text).alias("seconds"), tx.redact(F.concat(F.lit("token-"), F.col("event_id").cast("string"))).alias("shown"))
+    return read_table(spark, d, "events").select("event_id", tx.ttl_seconds(text).alias("seconds"), tx.redact(F.concat(F.lit("token-"), F.col("event_id").cast("string"), F.repeat(F.lit("z"), (F.col("event_id") % 20).cast("int")))).alias("shown"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -166,9 +169,10 @@ SELECT page_id, query, regexp_extract(query, '(?:^|&)page=([^&]*)', 1) AS page,
 FROM (SELECT page_id, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM pages)""",
     "url_same_host": f"SELECT page_id, true AS same, lower({_AUTH}) = 'example.com' AS example FROM pages",
     "private_ips": """
-SELECT event_id, a || '.' || b || '.' || (event_id % 7) || '.1' AS ip,
-  a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) AS is_private
-FROM (SELECT event_id, event_id % 256 AS a, user_id % 256 AS b FROM events)""",
+SELECT event_id, CASE c WHEN 0 THEN '::ffff:' || v4 WHEN 1 THEN ['fe80', 'fd12', 'ff02', '2001'][user_id % 4 + 1] || '::' || (user_id % 10) WHEN 2 THEN NULL ELSE v4 END AS ip,
+  CASE c WHEN 1 THEN user_id % 4 <> 3 WHEN 2 THEN true ELSE a > 255 OR a IN (10, 127) OR a BETWEEN 224 AND 239 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31)
+    OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) END AS is_private
+FROM (SELECT event_id, user_id, event_id % 8 AS c, event_id % 300 AS a, user_id % 256 AS b, (event_id % 300) || '.' || (user_id % 256) || '.' || (event_id % 7) || '.1' AS v4 FROM events)""",
     "url_variable_names": f"""
 SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos,
   coalesce({_PARENTS}[lower(parent)], CASE WHEN parent IS NULL OR parent = '{{}}' THEN 'param_' || (pos - 1) END,
@@ -194,5 +198,5 @@ SELECT p_type, CASE WHEN contains(p_type, 'STEEL') THEN 'article' WHEN contains(
 FROM (SELECT DISTINCT p_type FROM part)""",
     "ttl_and_sizes": """
 SELECT event_id, CAST((event_id % 40) * CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 86400 END AS BIGINT) AS seconds,
-  CASE WHEN length(t) <= 8 THEN '…' ELSE left(t, 4) || '…' || right(t, 4) END AS shown FROM (SELECT event_id, 'token-' || event_id AS t FROM events)""",
+  CASE WHEN length(t) <= 16 THEN '<redacted>' ELSE left(t, 8) || '…' || right(t, 4) END AS shown FROM (SELECT event_id, 'token-' || event_id || repeat('z', event_id % 20) AS t FROM events)""",
 }
