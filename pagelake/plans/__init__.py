@@ -1,8 +1,8 @@
 """Registered queries of the engine and the SQL that each is held against."""
 
-from . import catalog_queries, json_queries, output_queries, page_queries, schema_queries, traffic_queries, url_queries
+from . import catalog_queries, endpoint_queries, json_queries, output_queries, page_queries, schema_queries, traffic_queries, url_queries
 
-_MODULES = (url_queries, traffic_queries, catalog_queries, schema_queries, json_queries, page_queries, output_queries)
+_MODULES = (url_queries, traffic_queries, catalog_queries, schema_queries, endpoint_queries, json_queries, page_queries, output_queries)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: sql for m in _MODULES for k, sql in m.ORACLE_SQL.items()}

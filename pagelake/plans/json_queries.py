@@ -31,26 +31,41 @@ def json_jq(spark, d):
     return jsons.query_json(_events(spark, d), "body", ".items[] | select(.n > 3) | .n").select("event_id", "result")
 
 
+#: Bodies of four shapes, by event: the whole one, an empty list, flat values, and a broken one.
+_SHAPES = f"""CASE event_id % 4 WHEN 0 THEN {_EVENT} WHEN 1 THEN '[]' WHEN 2 THEN concat('{{"b":', event_id % 3 = 0, ',"a":null}}') ELSE '{{"a":' END"""
+
+
+def _shapes(spark, d):
+    return read_table(spark, d, "events").selectExpr("event_id", f"{_SHAPES} AS body")
+
+
 def json_schema_infer(spark, d):
-    return _events(spark, d).select(jsons.infer_schema_column(F.col("body")).alias("schema")).groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
+    return _shapes(spark, d).select(jsons.infer_schema_column(F.col("body")).alias("schema")).groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
 
 
 def json_truncate(spark, d):
-    return _events(spark, d).select("event_id", jsons.truncate_column(F.concat(F.lit('{"t":"'), F.lit("x" * 30), F.lit('","l":[1,2,3,4,'), F.col("event_id").cast("string"), F.lit("]}")), 10).alias("short"))
+    """Texts of up to 24 bytes cut to 10, lists of up to 5 items to 3."""
+    items = F.array_join(F.slice(F.array(*map(F.lit, "12345")), 1, (F.col("event_id") % 6).cast("int")), ",")
+    body = F.concat(F.lit('{"t":"'), F.repeat(F.lit("x"), (F.col("event_id") % 25).cast("int")), F.lit('","l":['), items, F.lit("]}"))
+    return _events(spark, d).select("event_id", jsons.truncate_column(body, 10).alias("short"))
 
 
 def json_keytree(spark, d):
-    return _events(spark, d).select(F.explode(jsons.key_tree_column(F.col("body"))).alias("entry")).groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    return _shapes(spark, d).select(F.explode(jsons.key_tree_column(F.col("body"))).alias("entry")).groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
 
 
 def json_repair(spark, d):
-    cut = F.substring_index("body", ',"b"', 1)
-    fixed = _events(spark, d).select("event_id", jsons.repair_column(cut).alias("fixed"))
-    return fixed.select("event_id", F.try_parse_json("fixed").isNotNull().alias("valid"))
+    """Objects and lists open to a depth of the event's own, and a text or a number in the midst of them."""
+    depth = (F.col("event_id") % 5).cast("int")
+    cut = F.concat(F.repeat(F.lit('{"k":['), depth), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"a]}'), F.col("event_id").cast("string"))).otherwise(F.col("event_id").cast("string")))
+    return _events(spark, d).select("event_id", jsons.repair_column(cut).alias("fixed"))
 
 
 def json_count_keys(spark, d):
-    return _events(spark, d).select("event_id", jsons.count_keys_column(F.col("body"), 2).alias("n_keys"))
+    """Objects of up to five keys with three below each, the whole body, lists of lists, and broken texts."""
+    keys = F.array_join(F.transform(F.slice(F.array(*map(F.lit, "abcde")), 1, (F.col("event_id") % 6).cast("int")), lambda k: F.concat(F.lit('"'), k, F.lit('":{"x":1,"y":{"z":2}}'))), ",")
+    body = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("{"), keys, F.lit("}"))).when(F.col("event_id") % 4 == 1, F.col("body")).when(F.col("event_id") % 4 == 2, F.lit('[[{"a":1},{"b":1}]]')).otherwise(F.lit('{"a":'))
+    return _events(spark, d).select("event_id", jsons.count_keys_column(body, 2).alias("n_keys"))
 
 
 def json_leaf_score(spark, d):
@@ -87,11 +102,17 @@ ORACLE_SQL = {
     "json_project": "SELECT event_id, event_type AS kind, CAST(event_id % 7 AS VARCHAR) AS second, CAST(2 AS INTEGER) AS n FROM events",
     "json_iterate": f"SELECT event_id, json_extract_string(unnest(CAST(json_extract(b, '$.items') AS JSON[])), '$.n') AS n FROM (SELECT event_id, {_EVENT} AS b FROM events)",
     "json_jq": "SELECT event_id, CAST(n AS VARCHAR) AS result FROM (SELECT event_id, unnest([event_id % 5, event_id % 7]) AS n FROM events) WHERE n > 3",
-    "json_schema_infer": f"SELECT '{_SCHEMA}' AS schema, count(*) AS n FROM events",
-    "json_truncate": """SELECT event_id, '{"l":[1,2,3],"t":"xxxxxxxxxx..."}' AS short FROM events""",
-    "json_keytree": f"SELECT entry, count(*) AS n FROM events, (SELECT unnest({_TREE}) AS entry) GROUP BY entry",
-    "json_repair": "SELECT event_id, true AS valid FROM events",
-    "json_count_keys": "SELECT event_id, CAST(7 AS INTEGER) AS n_keys FROM events",
+    "json_schema_infer": f"""
+SELECT CASE c WHEN 0 THEN '{_SCHEMA}' WHEN 1 THEN '{{"type":"array"}}' WHEN 2 THEN '{{"fields":[{{"name":"a","type":"null"}},{{"name":"b","type":"boolean"}}],"type":"object"}}' END AS schema, count(*) AS n
+FROM (SELECT event_id % 4 AS c FROM events) GROUP BY c""",
+    "json_truncate": """
+SELECT event_id, '{"l":[' || array_to_string(range(1, least(event_id % 6, 3) + 1), ',') || '],"t":"' || CASE WHEN event_id % 25 > 10 THEN 'xxxxxxxxxx...' ELSE repeat('x', event_id % 25) END || '"}' AS short FROM events""",
+    "json_keytree": f"""
+SELECT entry, count(*) AS n FROM (
+  SELECT unnest(CASE event_id % 4 WHEN 0 THEN {_TREE} WHEN 2 THEN ['.a:null', '.b:boolean'] END) AS entry FROM events) GROUP BY entry""",
+    "json_repair": """
+SELECT event_id, repeat('{"k":[', event_id % 5) || CASE WHEN event_id % 2 = 0 THEN '"a]}' || event_id || '"' ELSE '' || event_id END || repeat(']', event_id % 5) || repeat('}', event_id % 5) AS fixed FROM events""",
+    "json_count_keys": "SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN 3 * (event_id % 6) WHEN 1 THEN 7 WHEN 2 THEN 1 END AS INTEGER) AS n_keys FROM events",
     "json_leaf_score": """
 SELECT event_id, CAST(CASE WHEN event_id % 6 = 4 THEN 0.6 WHEN event_id % 7 = 0 THEN 0 WHEN event_id % 6 = 1 THEN 0.96 WHEN event_id % 6 = 2 THEN 0.94
   WHEN event_id % 6 = 5 THEN CASE WHEN user_id = event_id + 1 THEN 0.96 ELSE 0 END ELSE 0.84 END AS DOUBLE) AS score FROM events""",
