@@ -19,16 +19,18 @@ def _pages(spark, d):
 
 
 def _rich(spark, d):
-    """Pages with a form, a table, metadata and embedded state put before their article."""
-    k = F.col("page_id").cast("string")
+    """Pages with a form, a table, metadata and embedded state put before their article, but for every fourth page. Every
+    third lacks one of two states, every fifth has a broken product, and every second a required field."""
+    i, k = F.col("page_id"), F.col("page_id").cast("string")
     extra = F.concat(
-        F.lit('<form action="/search" name="Find It"><input name="q" required><input type="hidden" name="lang" value="en"><select name="sort"><option value="a">A</option><option selected>B</option></select></form>'),
-        F.lit('<table id="t"><tr><td class="n">'), k, F.lit('</td><td>x</td></tr><tr><td>sub '), k, F.lit('</td></tr><tr><td>tail</table><script>var ytInitialData = {"id":'), k,
-        F.lit(',"a":undefined};window.__APOLLO_STATE__={"x":[1,2]}</script><script type="application/ld+json">{"@type":"Product","name":"P'), k, F.lit('","price":3}</script>'),
+        F.lit('<form action="/search" name="Find It"><input name="q"'), F.when(i % 2 == 0, " required").otherwise(""), F.lit('><input type="hidden" name="lang" value="l'), k,
+        F.lit('"><select name="sort"><option value="a">A</option><option selected>B'), k, F.lit('</option></select></form><table id="t"><tr><td class="n">'), k, F.lit('</td><td>x</td></tr><tr><td>sub '), k,
+        F.lit("</td></tr><tr><td>tail</table><script>"), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit('var ytInitialData = {"id":'), k, F.lit(',"a":undefined};'))),
+        F.lit('window.__APOLLO_STATE__={"x":[1,'), k, F.lit(']}</script><script type="application/ld+json">{"@type":"Product","name":"P'), k, F.when(i % 5 == 0, '","price').otherwise(F.concat(F.lit('","price":'), k, F.lit("}"))), F.lit("</script>"),
     )
     meta = F.concat(F.lit('<meta property="og:type" content="product"><meta name="keywords" content="k'), k, F.lit('"><link rel="canonical" href="/c/'), k, F.lit('"></head>'))
     html = F.replace(F.replace("html", F.lit("</head>"), meta), F.lit("<article>"), F.concat(extra, F.lit("<article>")))
-    return _pages(spark, d).withColumn("html", html)
+    return _pages(spark, d).withColumn("html", F.when(i % 4 == 1, F.col("html")).otherwise(html))
 
 
 def page_records(spark, d):
@@ -121,18 +123,32 @@ ORACLE_SQL = {
 SELECT page_id, trim({_UNESC("regexp_extract(html, '<title>(.*?)</title>', 1)")}) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language FROM pages""",
     "page_headings": f"""
 SELECT page_id, CAST(1 AS INTEGER) AS level, trim({_UNESC("h")}) AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>(.*?)</h1>', 1)) AS h FROM pages) WHERE trim(h) <> ''""",
+    "page_links": f"""
+SELECT page_id, arg_min(text, i) AS text, href FROM (
+  SELECT page_id, i, trim({_UNESC("regexp_extract(a, '>(.*?)</a>', 1)")}) AS text,
+    regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) || {_UNESC("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS href
+  FROM (SELECT page_id, url, unnest(l) AS a, generate_subscripts(l, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="/[^"]*">.*?</a>') AS l FROM pages))
+) GROUP BY page_id, href""",
     "page_forms": """
-SELECT page_id, 'Find It' AS name, 'GET' AS method, field, type, value, required, options FROM pages,
-(VALUES ('q', 'text', '', true, NULL), ('lang', 'hidden', 'en', false, NULL), ('sort', 'select', 'B', false, 'a,B')) AS f(field, type, value, required, options)""",
+SELECT page_id, 'Find It' AS name, 'GET' AS method, field, type, CASE field WHEN 'lang' THEN 'l' || page_id WHEN 'sort' THEN 'B' || page_id ELSE '' END AS value,
+  field = 'q' AND page_id % 2 = 0 AS required, CASE WHEN field = 'sort' THEN 'a,B' || page_id END AS options
+FROM pages, (VALUES ('q', 'text'), ('lang', 'hidden'), ('sort', 'select')) AS f(field, type) WHERE page_id % 4 <> 1""",
     "page_embedded": """
-SELECT page_id, 'ytInitialData' AS name, '{"a":null,"id":' || page_id || '}' AS json FROM pages
-UNION ALL SELECT page_id, '__APOLLO_STATE__', '{"x":[1,2]}' FROM pages""",
-    "page_pattern": """SELECT page_id, '{"a":null,"id":' || page_id || '}' AS pattern_json FROM pages""",
-    "page_meta": "SELECT page_id, 'product' AS og_type, 'k' || page_id AS keywords, CAST(1 AS INTEGER) AS n_ld, '/c/' || page_id AS canonical FROM pages",
-    "page_structured": "SELECT page_id, 'embedded' AS source, 'product' AS page_type, '3' AS price, CAST(page_id AS VARCHAR) AS state_id FROM pages",
+SELECT page_id, 'ytInitialData' AS name, '{"a":null,"id":' || page_id || '}' AS json FROM pages WHERE page_id % 4 <> 1 AND page_id % 3 <> 0
+UNION ALL SELECT page_id, '__APOLLO_STATE__', '{"x":[1,' || page_id || ']}' FROM pages WHERE page_id % 4 <> 1""",
+    "page_pattern": """SELECT page_id, CASE WHEN page_id % 4 <> 1 AND page_id % 3 <> 0 THEN '{"a":null,"id":' || page_id || '}' END AS pattern_json FROM pages""",
+    "page_meta": """
+SELECT page_id, CASE WHEN page_id % 4 <> 1 THEN 'product' END AS og_type, CASE WHEN page_id % 4 <> 1 THEN 'k' || page_id END AS keywords,
+  CAST(CASE WHEN page_id % 4 <> 1 AND page_id % 5 <> 0 THEN 1 END AS INTEGER) AS n_ld, CASE WHEN page_id % 4 <> 1 THEN '/c/' || page_id END AS canonical FROM pages""",
+    "page_structured": """
+SELECT page_id, CASE WHEN page_id % 4 <> 1 THEN 'embedded' ELSE 'body' END AS source, CASE WHEN page_id % 4 <> 1 THEN 'product' ELSE 'article' END AS page_type,
+  CASE WHEN page_id % 4 <> 1 AND page_id % 5 <> 0 THEN CAST(page_id AS VARCHAR) END AS price, CASE WHEN page_id % 4 <> 1 AND page_id % 3 <> 0 THEN CAST(page_id AS VARCHAR) END AS state_id FROM pages""",
     "rules_extract": "SELECT page_id, 'article' AS type, true AS same, 'price' AS missing FROM pages",
-    "table_rows": "SELECT page_id, CAST(page_id AS VARCHAR) AS id, 'sub ' || page_id AS sub, CAST(NULL AS VARCHAR) AS tail, 'none' AS missing FROM pages",
+    "table_rows": """
+SELECT page_id, CASE WHEN here THEN CAST(page_id AS VARCHAR) END AS id, CASE WHEN here THEN 'sub ' || page_id END AS sub, CAST(NULL AS VARCHAR) AS tail, CASE WHEN here THEN 'none' END AS missing
+FROM (SELECT page_id, page_id % 4 <> 1 AS here FROM pages)""",
     "select_nodes": f"""
 SELECT page_id, 'a' AS tag, {_UNESC("regexp_extract(html, '<nav><ul><li><a href=\"/[^\"]*\">(.*?)</a>', 1)")} AS text FROM pages WHERE regexp_matches(html, '<nav><ul><li><a href=\"/')""",
-    "form_actions": """SELECT url, 'find_it' AS name, 'search' AS kind, 'http_get' AS transport, '/search?lang={lang}&q={q}&sort={sort}' AS template, CAST(0.9 AS DOUBLE) AS confidence FROM pages""",
+    "form_actions": """
+SELECT url, 'find_it' AS name, 'search' AS kind, 'http_get' AS transport, '/search?lang={lang}&q={q}&sort={sort}' AS template, CAST(0.9 AS DOUBLE) AS confidence FROM pages WHERE page_id % 4 <> 1""",
 }
