@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Records in an Arrow batch handed to Python; bounds a worker's memory with texts of 100 KB.
-BATCH_ROWS = 1000
+#: Records, and bytes, in an Arrow batch handed to Python; one record alone may be larger.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 #: ASCII bytes that belong to words (0-9, a-z after lower-casing); every byte >= 0x80 does too.
 WORD_TABLE = bytes(
@@ -30,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one of this machine, if all
+    executors run in this process; else an error, as others could not read it."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pagelake-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -61,8 +64,9 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS records for the Python stages that follow."""
+    """Arrow batches of at most BATCH_ROWS records and BATCH_BYTES bytes for the Python stages that follow."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

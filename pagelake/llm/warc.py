@@ -95,15 +95,19 @@ def parsed(member: bytes) -> dict:
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest and refers_to (null for responses) of every page."""
+    """page_id, url, payload, digest and refers_to (null for responses) of every page.
+
+    A digest that a third of all pages share is a hot key of narrow rows only; payloads join on page and digest.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     narrow = rows.filter(F.octet_length("payload") >= REVISIT_BYTES).select("digest", "page_id")
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.filter((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
-    later = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(later, F.col("first")).alias("refers_to"))
+    later = narrow.distinct().join(first, "digest").filter(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
+    same = F.col("r.page_id").eqNullSafe(F.col("l.page_id")) & (F.col("r.digest") == F.col("l.digest"))
+    return rows.alias("r").join(later.alias("l"), same, "left").select("r.page_id", "url", "payload", "r.digest", F.col("first").alias("refers_to"))
 
 
 def _archive(folder: str):
