@@ -21,12 +21,11 @@ from ..functions.scan import parse_json, script_values
 
 MAX_BODY, MAX_HEADINGS, MAX_LINKS, MAX_IMAGES, MAX_FORMS, MAX_LINK_TEXT = 5000, 50, 50, 30, 10, 200
 MAX_INPUT = 50 << 20
-#: Records of a batch; pages are large.
-BATCH_ROWS = 500
+#: Records, and bytes, of a batch: pages are large; one alone may be larger.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 #: Subtrees without visible text, elements that start a line, marks of hidden elements.
 SKIPPED = frozenset("script style noscript nav footer header dialog template svg".split())
-BLOCKS = frozenset("p div section article h1 h2 h3 h4 h5 h6 li tr br hr blockquote pre".split())
 HIDDEN_CLASSES = ("sr-only", "visually-hidden", "hidden", "modal", "dropdown-menu", "tooltip")
 HIDDEN_ROLES = ("dialog", "alert", "navigation")
 
@@ -231,8 +230,9 @@ def _schema(df: DataFrame, fields: Sequence[str], kinds: dict[str, str]) -> T.St
 
 
 def map_pages(pages: DataFrame, make, fields: Sequence[str], kinds: dict[str, str], html: str = "html", url: str = "url") -> DataFrame:
-    """pages without html, with make(html, url)'s fields; one parse for a row, in batches of BATCH_ROWS."""
+    """pages without html, with make(html, url)'s fields; one parse for a row, in batches of BATCH_ROWS and BATCH_BYTES at most."""
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = pages.withColumn(html, F.substring(F.col(html).cast("string"), 1, MAX_INPUT))
     kept = [c for c in pages.columns if c not in (html, *fields)]
     schema = _schema(pages.select(*kept), fields, kinds)
