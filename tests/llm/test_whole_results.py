@@ -1,9 +1,12 @@
 """Cases in which the training-data operators once gave less than the whole result."""
 
+import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pagelake.llm import decontaminate, fingerprints, lines, near, quotes, toxicity
@@ -127,3 +130,40 @@ def test_internal_names_are_free_for_columns(spark, drop):
     assert out.columns == docs.columns
     kept = out.collect()
     assert kept and all(r[n] == f"{n}{r.doc_id}" for r in kept for n in names)
+
+
+def brute_sketch(text):
+    """The sketch of a text, hash by hash: chained xxHash64 of five words from seed 42, those in the lowest quarter."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.translate(str.maketrans(fingerprints.UPPER, fingerprints.LOWER)))
+    found = set()
+    for k in range(max(len(words) - 4, 1) if words else 0):
+        value = 42
+        for word in words[k : k + 5]:
+            value = xxhash.xxh64_intdigest(word.encode(), seed=value)
+        found.add(value - (1 << 64) if value >> 63 else value)
+    low = {h for h in found if h < -(1 << 63) + (1 << 62)}
+    return sorted(low or ({min(found)} if found else set()))
+
+
+def test_fingerprints_are_those_of_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(-5, None), (-4, "..."), (-3, "One ÉÈ two"), (1 << 60, "a b c d e f g h a b c d e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    rows = sorted((i, t or "") for i, t in rows)
+    assert len(found) == len(rows)
+    shown = lambda s: "".join(f"{h % (1 << 64):016x}" for h in s)
+
+    def likeness(a, b):
+        if not a or not b:
+            return float(not a and not b)
+        return len(set(a) & set(b)) / min(len(a), len(b))
+
+    for k, (doc_id, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        quarter = len(text) // 4
+        edited = text[: len(text) - quarter] + after[:quarter]
+        own, other, following, r = brute_sketch(text), brute_sketch(edited), brute_sketch(after), found[doc_id]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(text), shown(own), shown(other))
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(r.near_edited - likeness(own, other)) < 1e-9 and abs(r.near_next - likeness(own, following)) < 1e-9
