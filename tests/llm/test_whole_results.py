@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagelake.llm import decontaminate, fingerprints, lines, near, quotes, toxicity
+from pagelake.llm import decontaminate, fingerprints, lines, near, quotes, toxicity, urls
 from pagelake.llm.common import shingle_hashes, word_hashes
 
 
@@ -167,3 +168,67 @@ def test_fingerprints_are_those_of_brute_force(spark):
         assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(text), shown(own), shown(other))
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(r.near_edited - likeness(own, other)) < 1e-9 and abs(r.near_next - likeness(own, following)) < 1e-9
+
+
+def test_url_scores_threshold_and_verdicts(spark):
+    """judge() against a direct Witten-Bell model, its threshold search and the rules, URL by URL."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(400):
+        kind = rng.choice(["com", "net", "org", "net"])
+        words = ["good", "fine", "news"] if kind == "com" or (kind == "org" and k % 2) else ["casino", "spam", "zzz"]
+        path = rng.choice(["/es/", "/fr/"]) if kind == "net" else "/"
+        rows.append((k, f"https://{rng.choice(words)}{rng.randrange(30)}.{kind}{path}{rng.choice(words)}/{rng.choice(words)}{rng.randrange(9)}?q={k}"))
+    rows += [(400, None), (401, "no scheme"), (402, "https://" + "x" * 20_000 + ".org/long"), *((403 + k, "https://casino.org/same") for k in range(5))]
+    found = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert len(found) == len(rows)
+
+    def parts(url):
+        if "://" not in (url or ""):
+            return "", ""
+        m = re.match(r"([^/?#]*)([^?#]*)", url.partition("://")[2])
+        return m[1].lower(), m[2]
+
+    def rule(host, path):
+        fits = [(len(h + p), v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    texts = {}
+    for _, url in rows:
+        texts.setdefault("".join(parts(url)), [rule(*parts(url)), 0])[1] += 1
+    calibrates = {t: v is not None and (xxhash.xxh64_intdigest(t.encode(), seed=42) + (1 << 63)) % (1 << 64) - (1 << 63) for t, (v, _) in texts.items()}
+    calibrates = {t: x is not False and x % urls.CALIBRATION == 0 for t, x in calibrates.items()}
+    full = lambda t: urls.START * urls.ORDER + t + urls.END
+    counts = {"allow": Counter(), "block": Counter()}
+    for t, (verdict, n) in texts.items():
+        if verdict and not calibrates[t]:
+            for k in range(urls.ORDER, len(full(t))):
+                for size in range(urls.ORDER + 1):
+                    counts[verdict][full(t)[k - size : k], full(t)[k]] += n
+    context, types = {v: Counter() for v in counts}, {v: Counter() for v in counts}
+    for v, c in counts.items():
+        for (ctx, _), n in c.items():
+            context[v][ctx] += n
+            types[v][ctx] += 1
+
+    def p(v, ctx, ch):
+        low = p(v, ctx[1:], ch) if ctx else 1 / urls.SYMBOLS
+        n, kinds = context[v][ctx], types[v][ctx]
+        return (counts[v][ctx, ch] + kinds * low) / (n + kinds) if n else low
+
+    llr = lambda ctx, ch: np.log(p("allow", ctx, ch)) - np.log(p("block", ctx, ch))
+    score = {t: np.mean([llr(full(t)[k - urls.ORDER : k], full(t)[k]) for k in range(urls.ORDER, len(full(t)))]) for t in texts}
+    known = [(int(np.floor(score[t] / urls.BIN)), v, n) for t, (v, n) in texts.items() if v and calibrates[t]]
+    share = lambda edge: sum(n for b, v, n in known if v == "block" and b < edge) / sum(n for _, v, n in known if v == "block") + sum(n for b, v, n in known if v == "allow" and b >= edge) / sum(n for _, v, n in known if v == "allow")
+    edges = sorted({b for b, _, _ in known} | {max(b for b, _, _ in known) + 1})
+    best = max(map(share, edges))
+    edge = np.mean([e for e in edges if share(e) > best - 1e-12]) * urls.BIN
+    seen = Counter()
+    for k, url in rows:
+        host, path = parts(url)
+        r, t = found[k], host + path
+        assert (r.host, r.path) == (host, path) and r.score == pytest.approx(score[t], abs=1e-9)
+        if rule(host, path) or abs(score[t] - edge) > 1e-6:
+            assert r.verdict == (rule(host, path) or ("allow" if score[t] >= edge else "block"))
+        seen[r.verdict, rule(host, path)] += 1
+    assert seen["allow", None] and seen["block", None] and seen["allow", "allow"] and seen["block", "block"]
