@@ -123,13 +123,14 @@ def reply_links(parsed: DataFrame) -> DataFrame:
     )
 
 
-def link_quotes(messages: DataFrame) -> DataFrame:
-    """Every message without quotes: its reply target, its thread's first turn and its place in the conversation."""
-    parsed = written(parse(messages), "messages")
-    links = written(reply_links(parsed), "reply-links")
-    # thread roots by pointer jumping: each round halves the way left
+def thread_roots(links: DataFrame) -> DataFrame:
+    """row_key, root_key and root_turn of every message with a parent, by pointer jumping: each round halves the way left.
+
+    Parents are earlier than their replies, so n links need log2(n) rounds at most; were two rows to share a key and make a
+    ring, it would end there too.
+    """
     roots = links.select("row_key", F.col("parent_key").alias("root_key"), F.col("parent_turn").alias("root_turn"))
-    while True:
+    for _ in range(links.count().bit_length() + 1):
         up = roots.select(F.col("row_key").alias("root_key"), F.col("root_key").alias("up_key"), F.col("root_turn").alias("up_turn"))
         jumped = written(
             roots.join(up, "root_key", "left").select(
@@ -140,6 +141,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         roots = jumped.drop("moved")
         if not jumped.filter("moved").take(1):
             break
+    return roots
+
+
+def link_quotes(messages: DataFrame) -> DataFrame:
+    """Every message without quotes: its reply target, its thread's first turn and its place in the conversation."""
+    parsed = written(parse(messages), "messages")
+    links = written(reply_links(parsed), "reply-links")
+    roots = thread_roots(links)
     joined = parsed.join(links, "row_key", "left").join(roots, "row_key", "left")
     ordered = joined.select(
         "conv_id",

@@ -232,3 +232,46 @@ def test_url_scores_threshold_and_verdicts(spark):
             assert r.verdict == (rule(host, path) or ("allow" if score[t] >= edge else "block"))
         seen[r.verdict, rule(host, path)] += 1
     assert seen["allow", None] and seen["block", None] and seen["allow", "allow"] and seen["block", "block"]
+
+
+def test_generated_talks_are_linked_as_they_were_made(spark):
+    """Replies that quote a whole text, a paragraph, two lines, or a quote within a quote, rewrapped and in other case; forwarded
+    and repeated quotes; each with the target that it was made from."""
+    rng = random.Random(8)
+    rows, expected = [], {}
+    for conv in range(6):
+        bodies, quoted, parent = [], [], []
+        for turn in range(30):
+            body = "\n\n".join("\n".join(" ".join(f"c{conv}t{turn}p{p}l{n}w{w}" for w in range(5)) for n in range(3)) for p in range(2))
+            target = rng.randrange(turn) if turn and rng.random() < 0.7 else None
+            lines_ = []
+            if target is not None:
+                kind = rng.randrange(5)
+                text = bodies[target]
+                if kind == 1:
+                    text = text.split("\n\n")[rng.randrange(2)]
+                elif kind == 2:
+                    text = "\n".join(text.split("\n")[:2])
+                text = text.upper() if kind == 3 else text
+                nested = quoted[target] if kind == 4 else []  # the target's own quotes, a level deeper
+                lines_ = [f">{x}" if x.startswith(">") else f"> {x}" for x in nested] + [f"> {x}".rstrip() for x in text.replace(" ", "   " if kind == 3 else " ").split("\n")]
+                if kind == 0:
+                    lines_ *= 2  # the quote repeated
+            bodies.append(body), quoted.append(lines_), parent.append(target)
+            rows.append((conv, turn, "user", "\n".join([*lines_, "", body]) if lines_ else body))
+        for turn in range(30):
+            root = turn
+            while parent[root] is not None:
+                root = parent[root]
+            expected[conv, turn] = (parent[turn], root, bodies[turn].split())
+    found = quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.parent_turn, r.thread_turn, r.text.split()) for r in found} == expected
+    for conv in range(6):
+        order = [r for r in sorted(found, key=lambda r: r.position) if r.conv_id == conv]
+        assert [r.position for r in order] == list(range(1, 31)) and [(r.thread_turn, r.turn) for r in order] == sorted((r.thread_turn, r.turn) for r in order)
+
+
+def test_thread_roots_end_on_a_ring(spark):
+    links = spark.createDataFrame([(1, 2, 0), (2, 1, 0), (3, 4, 7), (5, 3, 8)], "row_key bigint, parent_key bigint, parent_turn bigint")
+    found = {r.row_key: r.root_key for r in quotes.thread_roots(links).collect()}
+    assert (found[3], found[5]) == (4, 4) and set(found) == {1, 2, 3, 5}
