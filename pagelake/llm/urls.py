@@ -3,7 +3,9 @@
 Two variable-order Markov models (contexts of up to ORDER characters, Witten-Bell smoothed from order to order) are
 counted over the URLs that rules allow and that rules block. A URL that no rule fits is judged by the difference of
 its log-likelihoods per character, against a threshold calibrated on rule-judged URLs that the models did not see.
-Counts, models and scores are tables keyed by n-gram that grow with the URLs; no model is sent to the driver or workers.
+Counts, models and scores are tables keyed by n-gram that grow with the URLs. A join's rows of one key (the first n-gram
+of every URL, a URL of a third of all rows) never meet in one task: keys of over a share of 1 / HOT_KEYS of all rows, so
+fewer than HOT_KEYS of them, are broadcast to where their rows are; only the others move, by key.
 
 Defined cases: a null URL or one without :// has an empty host and path; equal URLs are scored once and weigh by their
 number; without URLs of both kinds to learn from, the method allows; repeated rows are judged each; an empty table gives
@@ -27,6 +29,8 @@ SYMBOLS = 256
 CALIBRATION = 5
 #: Width of the score's bins in calibration.
 BIN = 0.01
+#: A key of over one in so many rows is hot; there are fewer than this many of them, which bounds what is broadcast.
+HOT_KEYS = 1000
 START, END = "\x02", "\x03"
 
 #: Verdict, host and path of each rule.
@@ -86,6 +90,15 @@ def _model(counts: DataFrame) -> DataFrame:
     return lower.select("gram", (F.log("p_allow") - F.log("p_block")).alias("llr"))
 
 
+def _joined(rows: DataFrame, looked_up: DataFrame, on: list[str], share: int = HOT_KEYS) -> DataFrame:
+    """Inner join of rows with looked_up, one row per key; its column n_rows counts the key's rows, sums to all rows, and is dropped."""
+    total = looked_up.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    is_hot = F.col("n_rows") * share > total
+    hot, cold = F.broadcast(looked_up.filter(is_hot).drop("n_rows")), looked_up.filter(~is_hot).drop("n_rows")
+    moved = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
+    return rows.join(hot, on).unionByName(moved)
+
+
 def _threshold(scored: DataFrame) -> float | None:
     """The bin edge that tells the calibration URLs apart best (mean of both kinds' right shares); None without both kinds."""
     bins = scored.filter("calibrates").groupBy(F.floor(F.col("score") / BIN).alias("bin"), "verdict").agg(F.sum("n").alias("n"))
@@ -118,8 +131,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     learnt = lambda kind: F.when(~F.col("calibrates") & (F.col("verdict") == kind), F.col("n")).otherwise(0)
     urls = urls.withColumns({"allow": learnt("allow"), "block": learnt("block")})
     grams = written(urls.select("k1", "k2", "verdict", "n", "calibrates", "allow", "block", F.explode(_grams(text)).alias("gram")), "url-grams")
-    llr = _model(grams.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
-    scored = grams.join(llr, "gram").groupBy("k1", "k2").agg(
+    counts = grams.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.count(F.lit(1)).alias("n_rows"))
+    counts = written(counts, "url-gram-counts")
+    llr = written(_model(counts.drop("n_rows")).join(counts.select("gram", "n_rows"), "gram"), "url-models")
+    scored = _joined(grams, llr, ["gram"]).groupBy("k1", "k2").agg(
         F.avg("llr").alias("score"), *[F.first(x).alias(x) for x in ("verdict", "n", "calibrates", "allow", "block")]
     )
     scored = written(scored, "url-scores")
@@ -129,7 +144,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
         edge = 0.0 if taught["allow"] and taught["block"] else -math.inf
     # the models' verdict for a URL is fixed here, so that rows join on narrow keys alone
     method = F.when(F.col("score") >= edge, F.lit("allow")).otherwise(F.lit("block")) if edge > -math.inf else F.lit("allow")
-    return rows.join(scored.select("k1", "k2", "score"), ["k1", "k2"]).select(
+    return _joined(rows, scored.select("k1", "k2", "score", F.col("n").alias("n_rows")), ["k1", "k2"]).select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"), "score"
     )
 

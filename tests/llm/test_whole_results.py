@@ -275,3 +275,17 @@ def test_thread_roots_end_on_a_ring(spark):
     links = spark.createDataFrame([(1, 2, 0), (2, 1, 0), (3, 4, 7), (5, 3, 8)], "row_key bigint, parent_key bigint, parent_turn bigint")
     found = {r.row_key: r.root_key for r in quotes.thread_roots(links).collect()}
     assert (found[3], found[5]) == (4, 4) and set(found) == {1, 2, 3, 5}
+
+
+def test_hot_and_rare_keys_join_alike(spark):
+    """A key of a third of all rows, a null one (which joins nothing), rare ones, and none hot at all."""
+    keys = ["hot"] * 40 + [f"k{i}" for i in range(80)] + [None]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, ord int")
+    sizes = rows.filter("key is not null").groupBy("key").agg(urls.F.count(urls.F.lit(1)).alias("n_rows"))
+    looked_up = sizes.withColumn("value", urls.F.length("key") * 10)
+    want = sorted((k, i, len(k) * 10) for i, k in enumerate(keys) if k)
+    for share in (1, 20, 1000):  # no key, one key and all keys are hot
+        found = urls._joined(rows, looked_up, ["key"], share)
+        assert found.columns == ["key", "ord", "value"]
+        assert sorted(map(tuple, found.collect())) == want
+    assert urls._joined(rows.limit(0), looked_up.limit(0), ["key"]).count() == 0
