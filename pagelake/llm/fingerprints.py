@@ -22,8 +22,11 @@ from .common import table
 SHINGLE_WORDS = 5
 #: Share of the hash range that is kept.
 FRACTION = 1 / 4
-#: Documents in a range bucket, and the most buckets that bounds are made for.
-BUCKET_ROWS, MOST_BUCKETS = 2000, 1 << 14
+#: Documents in a range bucket, and the most buckets that bounds (a literal in the plan) are made for; with more documents
+#: than both allow, buckets hold more and are sorted with spills, with the same results.
+BUCKET_ROWS, MOST_BUCKETS = 2000, 1 << 16
+#: Buckets in a task of the one shuffle, at most: its tasks grow in number with the table.
+TASK_BUCKETS = 4
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -91,6 +94,7 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     ids = rows.select("key")
     cuts = sorted({int(r) for r in ids.approxQuantile("key", [k / count for k in range(1, count)], 0.2 / count)} if count > 1 and n else set())
     bounds = _existing(ids, cuts) or [0]
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-len(bounds) // TASK_BUCKETS))
     array = _longs(bounds)
     bucket = _slot(F.col("key"), bounds)
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("lap"), F.lit(False).alias("ghost"))
@@ -101,7 +105,7 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     )
     at_bound = F.get(array, F.col("bucket") - 1) == F.col("key")
     placed = rows.withColumn("bucket", bucket).withColumn("place", F.explode(F.when(at_bound, F.array(here, before)).otherwise(F.array(here))))
-    placed = placed.select("doc_id", "text", "key", "place.*").repartition("bucket").withColumn("sketch", sketch(F.col("text")))
+    placed = placed.select("doc_id", "text", "key", "place.*").repartition(tasks, "bucket").withColumn("sketch", sketch(F.col("text")))
     order = Window.partitionBy("bucket").orderBy("lap", "key", "text")
     return placed.select(
         "doc_id", "text", "sketch", "ghost", F.lead("text").over(order).alias("next_text"), F.lead("sketch").over(order).alias("next_sketch")
