@@ -28,6 +28,8 @@ WELL_KNOWN = [
     ("/wp-json/wp/v2/posts?per_page=1", "wordpress"), ("/api", "api"), ("/api/v1", "api"), ("/.json", "json"),
 ]
 SEMANTIC_LEAST = 0.55
+#: Rules of known sites that are sent to every task, at most.
+MAX_RULES = 10_000
 
 
 def _looked_up(table: dict[str, int], key: Column) -> Column:
@@ -120,10 +122,17 @@ def merged_coverage(coverage: Column) -> Column:
     return F.max_by(coverage, _looked_up(COVERAGE, coverage))
 
 
+def bounded_rules(rules: DataFrame) -> DataFrame:
+    """The rules, if they are few enough to be broadcast; else an error, as patterns have no key to join on."""
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return rules
+
+
 def known_site(targets: DataFrame, sites: DataFrame) -> DataFrame:
-    """Each target with the first (by ord) site whose host and path patterns fit; sites are a bounded dimension."""
+    """Each target with the first (by ord) site whose host and path patterns fit; there are at most MAX_RULES sites."""
     own = targets.withColumn("__h", urls.hostname(F.col("url"))).withColumn("__p", urls.path(F.col("url")))
-    both = own.join(F.broadcast(sites), F.expr("__h rlike host_pattern and __p rlike path_pattern"))
+    both = own.join(F.broadcast(bounded_rules(sites)), F.expr("__h rlike host_pattern and __p rlike path_pattern"))
     return _first(both, ["url"], "ord").drop("__h", "__p")
 
 

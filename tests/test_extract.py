@@ -140,3 +140,22 @@ def test_one_parse_per_page(spark):
     found = extract_pages(pages, ("title", "links")).filter(F.col("title").isNotNull()).select("title", "links")
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert [r.title for r in found.collect()] == ["a"]
+
+
+def test_snapshot_and_preview(spark):
+    from pagelake.operators import assembly
+
+    pages = spark.createDataFrame([("<body><ul><li>a<li>b</ul><svg>s</svg></body>", "u", 1), (None, None, 2), ("", "u", 3)], "html string, url string, k int")
+    found = {r.k: r.snapshot for r in assembly.dom_snapshots(pages).collect()}
+    assert found == {1: "<body><ul><li>a</li>\n<li>b</li></ul></body>\n", 2: "", 3: ""}
+    bodies = spark.createDataFrame([('{"b":["x"],"a":{"c":null}}',), ("é" * 1500,), (None,), ("",)], "body string")
+    shown = [r.p for r in bodies.select(assembly.preview("body").alias("p")).collect()]
+    assert shown == ['{\n  "a": {\n    "c": null\n  },\n  "b": [\n    "x"\n  ]\n}', "é" * 1000 + "...", None, ""]
+
+
+def test_rules_that_are_too_many_are_refused(spark):
+    from pagelake.operators import catalog
+
+    with pytest.raises(ValueError):
+        catalog.bounded_rules(spark.range(catalog.MAX_RULES + 1))
+    assert catalog.bounded_rules(spark.range(3)).count() == 3
