@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import WORDS_SQL, bounded_batches, free_names, table, utf8_values, words_of, written
 
 WINDOW_WORDS = 10
-#: Bytes of benchmark text in a block; the corpus index is searched once for each block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text, and windows, in a block; the corpus index is searched once for each block. A longer item is
+#: searched in pieces that share all but one word of a window.
+BLOCK_BYTES, BLOCK_WINDOWS = 8 << 20, 1 << 18
 #: Candidates of a segment that are held at a time.
 CANDIDATES = 1 << 21
 #: Words after which a segment of long documents ends.
@@ -144,19 +145,24 @@ class Segment:
         self.ends = np.cumsum(self.sizes)
         counts, steps = _unpack(row["counts"]), _unpack(row["positions"])
         self.lists: dict[int, np.ndarray] = {}
-        self.forward = np.full(len(steps), -1, np.int32)
-        if not len(steps):
-            return
-        stops = np.cumsum(counts)
-        numbers = _term_numbers(row["terms"], vocabulary)
-        for k in np.flatnonzero(numbers >= 0):
-            found = np.cumsum(steps[stops[k] - counts[k] : stops[k]], dtype=np.int64)
-            self.lists[int(numbers[k])] = found
-            self.forward[found] = numbers[k]
+        self.total = len(steps)
+        if len(steps):
+            stops = np.cumsum(counts)
+            numbers = _term_numbers(row["terms"], vocabulary)
+            for k in np.flatnonzero(numbers >= 0):
+                self.lists[int(numbers[k])] = np.cumsum(steps[stops[k] - counts[k] : stops[k]], dtype=np.int64)
+        # all lists in the order of their terms, with the term in front of each position, so that one search serves many lists
+        self.postings = np.concatenate([t * self.total + self.lists[t] for t in sorted(self.lists)]) if self.lists else np.zeros(0, np.int64)
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, positions, side="right")
 
+    def holds(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """Whether each position is on its term's list."""
+        keys = terms.astype(np.int64) * self.total + positions
+        at = np.minimum(np.searchsorted(self.postings, keys), len(self.postings) - 1)
+        return self.postings[at] == keys
+
     def phrases(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(window, position of its first word) for each exact occurrence that lies in one document."""
         none = np.zeros(0, np.int64)
@@ -174,11 +180,11 @@ class Segment:
             lists = [self.lists[int(t)] for t in block.terms[part, 0]]
             window = np.repeat(part, [len(x) for x in lists])
             start = np.concatenate(lists) - block.offsets[window, 0]
-            ok = (start >= 0) & (start + block.length[window] <= len(self.forward))
+            ok = (start >= 0) & (start + block.length[window] <= self.total)
             window, start = window[ok], start[ok]
             for k in range(1, block.terms.shape[1]):
                 term = block.terms[window, k]
-                ok = (term < 0) | (self.forward[np.minimum(start + block.offsets[window, k], len(self.forward) - 1)] == term)
+                ok = (term < 0) | self.holds(term, start + block.offsets[window, k])
                 window, start = window[ok], start[ok]
             ok = self.doc_of(start) == self.doc_of(start + block.length[window] - 1)
             outs.append((window[ok], start[ok]))
@@ -239,26 +245,29 @@ def _search(block: Block, slop: int | None):
     return run
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    block, size = [], 0
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int, block_windows: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    block, size, windows = [], 0, 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").toLocalIterator():
-        text = (row.text or "").encode()
-        if block and size + len(text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row.name, words_of(text)))
-        size += len(text)
+        words = words_of((row.text or "").encode())
+        for k in range(0, max(len(words) - window + 1, 1), block_windows):
+            piece = words[k : k + block_windows + window - 1]
+            own_size, own = sum(map(len, piece)) + len(piece), max(len(piece) - window + 1, 1)
+            if block and (size + own_size > block_bytes or windows + own > block_windows):
+                yield block
+                block, size, windows = [], 0, 0
+            block.append((row.name, piece))
+            size, windows = size + own_size, windows + own
     yield block
 
 
-def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, slop: int | None = None, block_bytes: int = BLOCK_BYTES, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per indexed document: its words, the items met and the merged word spans that they cover.
 
     slop None: exact phrases of `window` consecutive item words (a shorter item is one phrase). Else proximity: places
     of a window's rarest word with all its other words at most slop words away, in any order.
     """
     parts = []
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, window, block_bytes, block_windows)
     items = next(blocks)
     while items is not None:
         block = Block(items, window)

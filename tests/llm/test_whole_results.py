@@ -289,3 +289,20 @@ def test_hot_and_rare_keys_join_alike(spark):
         assert found.columns == ["key", "ord", "value"]
         assert sorted(map(tuple, found.collect())) == want
     assert urls._joined(rows.limit(0), looked_up.limit(0), ["key"]).count() == 0
+
+
+def test_a_long_item_searched_in_pieces_gives_the_same_hits(spark):
+    """Items of up to 60 words, blocks of at most 7 windows: pieces share words, and hits across a piece's border stay."""
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("xy")
+    items = [(f"i{k}", " ".join(word() for _ in range(n))) for k, n in enumerate((60, 1, 12, 3, 33, 0, 10, 16, 17))]
+    texts = [" ".join([word(), word(), *t.split()[a:b], word()]) for _, t in items for a, b in ((0, None), (2, 15), (5, 25), (14, 31), (6, 18))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    index = decontaminate.build_index(docs)
+    shown = lambda **bounds: sorted(map(str, decontaminate.search(index, bench, **bounds).select("doc_id", "n_words", "items", "spans").collect()))
+    whole = shown()
+    assert len(whole) == len(texts) and any("i0" in r for r in whole)
+    assert shown(block_windows=7) == whole and shown(block_windows=1) == whole
+    blocks = list(decontaminate._blocks(bench, 10, 1 << 20, 7))
+    assert max(len(decontaminate.Block(b, 10).item) for b in blocks) <= 7
