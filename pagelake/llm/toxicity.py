@@ -125,12 +125,22 @@ class _Sparse:
     def __init__(self, rows: list[np.ndarray], columns: int, signs: list[np.ndarray] | None = None):
         self.shape = len(rows), columns
         sizes = np.array([len(r) for r in rows], int)
-        self.row, self.col = np.repeat(np.arange(len(rows)), sizes), np.concatenate([*rows, np.zeros(0, int)]).astype(int)
+        self.col = np.concatenate([*rows, np.zeros(0, int)], dtype=int)
         self.sign = np.concatenate([*signs, np.zeros(0)]) if signs is not None else None
         order = np.argsort(self.col, kind="stable")
-        self.by_col, self.sign_by_col = self.row[order], self.sign[order] if signs is not None else None
-        self.rows, self.row_starts = np.unique(self.row, return_index=True)
-        self.cols, self.col_starts = np.unique(self.col[order], return_index=True)
+        # the entries' rows are held narrow while the order is, as this is where the driver holds the most
+        by_col = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
+        self.sign_by_col = self.sign[order] if signs is not None else None
+        del order
+        self.by_col = by_col.astype(int)
+        self.rows, self.row_starts = self._filled(sizes)
+        self.cols, self.col_starts = self._filled(np.bincount(self.col, minlength=columns))
+
+    @staticmethod
+    def _filled(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which runs of these sizes hold anything, and where each of them starts."""
+        at = np.flatnonzero(sizes)
+        return at, (np.cumsum(sizes) - sizes)[at]
 
     def times(self, v: np.ndarray) -> np.ndarray:
         return self._sums(v[self.col], self.sign, self.rows, self.row_starts, self.shape[0])
@@ -164,13 +174,14 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: np.ndarray, base
 
     def columns(hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        return at[words[at] == hashes]
+        return at[words[at] == hashes].astype(np.int32)
 
     cols = [columns(r) for r in rows]
     gone = [np.setdiff1d(c, columns(o)) if o is not None else c[:0] for c, o in zip(cols, swapped)]
     come = [np.setdiff1d(columns(o), c) if o is not None else c[:0] for c, o in zip(cols, swapped)]
     d = len(words)
     has = _Sparse(cols, d)
+    del cols
     change = _Sparse([np.concatenate(x) for x in zip(gone, come)], d, [np.repeat([1.0, -1.0], [len(g), len(c)]) for g, c in zip(gone, come)])
     y = labels.astype(float)
 
