@@ -237,15 +237,18 @@ def _tiles(n: Column) -> Column:
     return F.ceil(n / TILE).cast("int")
 
 
-def _sent(members: DataFrame, texts: DataFrame, threshold: float, size: int, name: str) -> DataFrame:
-    """The links of the cells that members (class_no, cells; ids) are sent to."""
-    found = texts.join(members, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("class_no", "copies", "ids", "cells", "text")
+def _sent(members: DataFrame, texts: DataFrame, threshold: float, size: int, repeats: bool, name: str) -> DataFrame:
+    """The links of the cells that members (class_no, cells; ids) are sent to. repeats: rows of one id and text may be there twice."""
+    found = texts.join(members, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
+    if repeats:  # one row a class, before its n-grams are built
+        found = found.dropDuplicates(["class_no"])
+    found = found.select("class_no", "copies", "ids", "cells", "text")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = found.mapInArrow(_cells(size), CELLS).repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return written(cells.mapInArrow(_verify(threshold), LINKS), name)
 
 
-def _all_links(classes: DataFrame, met: DataFrame, buckets: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+def _all_links(classes: DataFrame, met: DataFrame, buckets: DataFrame, texts: DataFrame, threshold: float, size: int, repeats: bool) -> DataFrame:
     """All pairs of every bucket, each counted in the first bucket where it meets."""
     tiles, own = _tiles(F.col("n")), _tile(F.col("class_no"), _tiles(F.col("n")))
     cells = F.transform(
@@ -253,17 +256,17 @@ def _all_links(classes: DataFrame, met: DataFrame, buckets: DataFrame, texts: Da
         lambda x: F.struct("bucket", F.least(own, x).alias("i"), F.greatest(own, x).alias("j"), own.alias("tile"), F.lit(None).cast("bigint").alias("rep")),
     )
     members = met.withColumn("cells", cells).groupBy("class_no").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.array_sort(F.collect_list("bucket")).alias("ids"))
-    return _sent(classes.join(members, "class_no"), texts, threshold, size, "links")
+    return _sent(classes.join(members, "class_no"), texts, threshold, size, repeats, "links")
 
 
-def _group_links(classes: DataFrame, met: DataFrame, buckets: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+def _group_links(classes: DataFrame, met: DataFrame, buckets: DataFrame, texts: DataFrame, threshold: float, size: int, repeats: bool) -> DataFrame:
     """Links enough to connect what all pairs would connect: each tile with its bucket's representative, then the rest."""
     own = _tile(F.col("class_no"), _tiles(F.col("n")))
     cell = lambda i, j, tile: F.struct("bucket", i.alias("i"), j.alias("j"), tile.alias("tile"), "rep")
     everywhere = F.transform(F.sequence(F.lit(0), _tiles(F.col("n")) - 1), lambda x: cell(x, x, x))
     cells = F.when(F.col("class_no") == F.col("rep"), everywhere).otherwise(F.array(cell(own, own, own)))
     unlisted = lambda df: df.groupBy("class_no").agg(F.flatten(F.collect_list("cells")).alias("cells")).withColumn("ids", F.lit(None).cast("array<bigint>"))
-    first = _sent(classes.join(unlisted(met.withColumn("cells", cells)), "class_no"), texts, threshold, size, "links")
+    first = _sent(classes.join(unlisted(met.withColumn("cells", cells)), "class_no"), texts, threshold, size, repeats, "links")
     if not buckets.filter(F.col("n") > TILE).take(1):
         return first
     hot = met.filter(F.col("n") > TILE)
@@ -279,7 +282,7 @@ def _group_links(classes: DataFrame, met: DataFrame, buckets: DataFrame, texts:
     others = F.filter(F.sequence(F.lit(0), _tiles(F.col("n")) - 1), lambda x: x != own)  # its own tile was compared before
     meets = F.when(F.col("apart"), F.transform(others, lambda x: cell(apart_tile, x, apart_tile))).otherwise(F.array().cast(CELL_LIST))
     second = rooted.withColumn("cells", F.concat(met_by, meets))
-    return first.unionByName(_sent(classes.join(unlisted(second), "class_no"), texts, threshold, size, "more-links"))
+    return first.unionByName(_sent(classes.join(unlisted(second), "class_no"), texts, threshold, size, repeats, "more-links"))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = NGRAM, recall: float = RECALL, links: bool = True) -> DataFrame:
@@ -303,7 +306,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = NGRA
     met = met.join(buckets, "bucket")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("d"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    found = (_all_links if links else _group_links)(classes.select("class_no", "least.doc_id", "least.text_hash", "copies"), met, buckets, texts, threshold, size)
+    repeats = bool(signed.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1))
+    found = (_all_links if links else _group_links)(classes.select("class_no", "least.doc_id", "least.text_hash", "copies"), met, buckets, texts, threshold, size, repeats)
     roots = components(found.select(F.col("class_no").alias("a"), F.col("root").alias("b")))
     joined = classes.join(roots, F.col("class_no") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class_no"))
     lowest = joined.groupBy("root").agg(F.min("least").alias("lowest"))
