@@ -6,7 +6,8 @@ square of the change that this makes to the score's logit, over all features of
 terms adds no penalty. An L1 term keeps only features that matter, so long neutral texts do not drift; a small L2 term
 shares weight among features that go together.
 Training takes a bounded sample of the labelled rows (MAX_TRAINING_ROWS, a third of them toxic at most, those of the
-smallest hash of doc_id, weighted back to their share); scoring covers all rows, one by one.
+smallest hash of doc_id, weighted back to their share; of several rows of an id, that of the least text) and its most frequent
+features (MAX_FEATURES, ties by hash); scoring covers all rows, one by one.
 
 L1 and L2 have the least log loss in a five-fold cross-validation within the training rows
 (tests/llm/cross_validation.py), and training stops where its own loss settles: the held-out fold (crc32 of doc_id mod 5
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_POWERS, bounded_batches, by_batch, mix64, range_hashes, table, utf8_values, word_spans, written
 
-#: Bound of the training sample, in labelled rows.
-MAX_TRAINING_ROWS = 6_000
+#: Bounds of the training sample: labelled documents, and their features.
+MAX_TRAINING_ROWS, MAX_FEATURES = 6_000, 1_000_000
 #: A word is a feature when this many sampled texts have it.
 MIN_TEXTS = 3
 SWAP_WEIGHT, L1, L2 = 1.0, 2e-4, 1e-4
@@ -227,8 +228,8 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: np.ndarray, base
     return Model(bases[kept], gains[kept], b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """The model from labelled rows outside the held-out fold; at most max_rows of them."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_features: int = MAX_FEATURES) -> Model:
+    """The model from labelled documents outside the held-out fold; at most max_rows of them, and their max_features most frequent features."""
     bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("bigint").alias("label_id"), F.col("toxic").cast("int").alias("label")).dropna()
     known = known.filter(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
@@ -244,11 +245,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
         lists = [pa.array(x, pa.list_(pa.int64())) for x in (own, swapped)]
         return pa.RecordBatch.from_arrays([batch.column("label"), *lists], ["label", "words", "swapped"])
 
-    # the sample is bounded by max_rows, so it may be broadcast
-    sampled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sampled = sampled.join(F.broadcast(first[0].unionByName(first[1])), F.col("doc_id") == F.col("label_id")).select("label", "text")
+    # the sample is bounded by max_rows, so it may be broadcast; of several rows of an id the one of the least text is learnt from
+    sampled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sampled = sampled.join(F.broadcast(first[0].unionByName(first[1])), F.col("doc_id") == F.col("label_id"))
+    sampled = sampled.groupBy("label_id", "label").agg(F.min("text").alias("text")).select("label", "text")
     found = written(sampled.mapInArrow(by_batch(features), "label int, words array<bigint>, swapped array<bigint>"), "sample")
     common = found.select(F.explode("words").alias("word")).groupBy("word").count().filter(F.col("count") >= MIN_TEXTS)
+    common = common.orderBy(F.desc("count"), "word").limit(max_features)
     return fit_rows(*gathered(found, common, taken, total))
 
 
