@@ -4,7 +4,8 @@ Messages are split into own text and quoted passages by their leading '>' marks,
 normalised (blanks collapsed, lower-cased) and hashed whole, by paragraph and by line, and joined by hash, within a
 conversation, to the earlier messages that own such a piece: a whole own text, a run of own lines between quotes, or a
 paragraph or line of these. A passage is of the latest owner of its longest piece that has one, so that a part of a text,
-or more than it, links too. A message replies to the latest of those that its least nested linked passages name. A conversation is then ordered by threads: each message without a reply target, in
+or more than it, links too. An owner counts if what it owns of the passage, its longest piece or its lines together, is at least half of the passage or
+MIN_PIECE characters, so that greetings and signatures within a longer quote of something else name nobody. A message replies to the latest of those that its least nested linked passages name. A conversation is then ordered by threads: each message without a reply target, in
 turn order, followed by all that answer it, directly or not, in turn order; texts come without quotes.
 
 Defined cases: a null or empty text has no passages; a null conv_id or turn links to nothing; equal turns of a conversation are
@@ -27,14 +28,22 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, by_batch, table, written
 
+#: Characters (blanks aside) of a passage that suffice to name their owner, however long the passage is.
+MIN_PIECE = 80
+
 _MARKS = re.compile(r"^((?:[ \t]{0,3}>)+)[ \t]?")
-PARSED = "conv_id bigint, turn bigint, role string, row_key bigint, body string, quotes array<struct<level:int,passage:bigint,hash:bigint,size:int>>, n_quotes bigint, owned array<bigint>"
+PARSED = "conv_id bigint, turn bigint, role string, row_key bigint, body string, quotes array<struct<level:int,passage:bigint,hash:bigint,size:int,line:boolean,whole:int>>, n_quotes bigint, owned array<bigint>"
 
 
 def _plain(text: str) -> str:
     return " ".join(text.split()).lower()
 
 
+def _length(text: str) -> int:
+    """Characters that are no blanks."""
+    return sum(map(len, text.split()))
+
+
 def passage_hash(text: str) -> int | None:
     """A 64-bit hash of a passage, blanks collapsed and lower-cased; None if nothing is left."""
     plain = _plain(text)
@@ -69,15 +78,15 @@ def owned_hashes(body: str, runs: Iterable[str] = ()) -> set[int]:
 
 
 def quoted_pieces(quotes: list[tuple[int, str]]) -> list[dict[str, int]]:
-    """Each quoted passage, and its paragraphs and lines: level, hash of the passage, hash and length of the piece."""
+    """Each quoted passage, and its paragraphs and lines: level, hash and length of the passage, hash and length of the piece, and whether it is a line."""
     out = {}
     for level, passage in quotes:
-        whole = passage_hash(passage)
+        whole, lines = passage_hash(passage), {passage_hash(x) for x in passage.split("\n")}
         for part in _parts(passage):
             h = passage_hash(part)
             if h is not None:
-                out[level, whole, h] = len(_plain(part))
-    return [{"level": level, "passage": whole, "hash": h, "size": size} for (level, whole, h), size in out.items()]
+                out[level, whole, h] = {"size": _length(part), "line": h in lines, "whole": _length(passage)}
+    return [{"level": level, "passage": whole, "hash": h, **sizes} for (level, whole, h), sizes in out.items()]
 
 
 def parse(messages: DataFrame) -> DataFrame:
@@ -94,7 +103,7 @@ def parse(messages: DataFrame) -> DataFrame:
             counts.append(sum(passage_hash(t) is not None for _, t in found))
             owned.append(sorted(owned_hashes(body, [t for level, t in _runs(text) if not level] if found else ())))
         kept = [batch.column(c) for c in ("conv_id", "turn", "role", "row_key")]
-        quote = pa.list_(pa.struct([("level", pa.int32()), ("passage", pa.int64()), ("hash", pa.int64()), ("size", pa.int32())]))
+        quote = pa.list_(pa.struct([("level", pa.int32()), ("passage", pa.int64()), ("hash", pa.int64()), ("size", pa.int32()), ("line", pa.bool_()), ("whole", pa.int32())]))
         made = [pa.array(bodies, pa.string()), pa.array(quotes, quote), pa.array(counts, pa.int64()), pa.array(owned, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([*kept, *made], ["conv_id", "turn", "role", "row_key", "body", "quotes", "n_quotes", "owned"])
 
@@ -102,7 +111,7 @@ def parse(messages: DataFrame) -> DataFrame:
 
 
 def reply_links(parsed: DataFrame) -> DataFrame:
-    """row_key, parent_key, parent_turn and n_linked of every message that quotes an earlier one."""
+    """conv_id, row_key, parent_key, parent_turn and n_linked of every message that quotes an earlier one."""
     parsed = parsed.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quoting = parsed.filter(F.size("quotes") > 0).select("conv_id", "turn", "row_key", F.explode("quotes").alias("q"))
     quoting = quoting.select("conv_id", "turn", "row_key", "q.*").distinct()
@@ -115,26 +124,30 @@ def reply_links(parsed: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     owner = F.max(F.when(F.col("o_key").isNotNull(), F.struct("turn", "o_key"))).over(earlier)
     found = both.withColumn("owner", owner).filter(F.col("row_key").isNotNull() & F.col("owner").isNotNull())
+    passage = ("conv_id", "row_key", "level", "passage")
+    held = found.groupBy(*passage, "whole", "owner").agg(F.max("size").alias("size"), F.sum(F.when(F.col("line"), F.col("size"))).alias("lines"))
+    held = held.filter(F.greatest("size", "lines") >= F.least(F.lit(MIN_PIECE), F.col("whole") / 2))
     longest = F.max_by("owner", F.struct("size", "owner.turn", "owner.o_key"))
-    found = found.groupBy("row_key", "level", "passage").agg(longest.alias("owner"))
+    found = held.groupBy(*passage).agg(longest.alias("owner"))
     best = F.max_by("owner", F.struct(-F.col("level"), F.col("owner.turn"), F.col("owner.o_key")))
-    return found.groupBy("row_key").agg(best.alias("best"), F.countDistinct("passage").alias("n_linked")).select(
-        "row_key", F.col("best.o_key").alias("parent_key"), F.col("best.turn").alias("parent_turn"), "n_linked"
+    return found.groupBy("conv_id", "row_key").agg(best.alias("best"), F.countDistinct("passage").alias("n_linked")).select(
+        "conv_id", "row_key", F.col("best.o_key").alias("parent_key"), F.col("best.turn").alias("parent_turn"), "n_linked"
     )
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
-    """row_key, root_key and root_turn of every message with a parent, by pointer jumping: each round halves the way left.
+    """conv_id, row_key, root_key and root_turn of every message with a parent (keys hold within conv_id, if links have it), by pointer jumping: each round halves the way left.
 
     Parents are earlier than their replies, so n links need log2(n) rounds at most; were two rows to share a key and make a
     ring, it would end there too.
     """
-    roots = links.select("row_key", F.col("parent_key").alias("root_key"), F.col("parent_turn").alias("root_turn"))
+    conv = [c for c in links.columns if c == "conv_id"]
+    roots = links.select(*conv, "row_key", F.col("parent_key").alias("root_key"), F.col("parent_turn").alias("root_turn"))
     for _ in range(links.count().bit_length() + 1):
-        up = roots.select(F.col("row_key").alias("root_key"), F.col("root_key").alias("up_key"), F.col("root_turn").alias("up_turn"))
+        up = roots.select(*conv, F.col("row_key").alias("root_key"), F.col("root_key").alias("up_key"), F.col("root_turn").alias("up_turn"))
         jumped = written(
-            roots.join(up, "root_key", "left").select(
-                "row_key", F.coalesce("up_key", "root_key").alias("root_key"), F.coalesce("up_turn", "root_turn").alias("root_turn"), F.col("up_key").isNotNull().alias("moved")
+            roots.join(up, [*conv, "root_key"], "left").select(
+                *conv, "row_key", F.coalesce("up_key", "root_key").alias("root_key"), F.coalesce("up_turn", "root_turn").alias("root_turn"), F.col("up_key").isNotNull().alias("moved")
             ),
             "threads",
         )
@@ -149,7 +162,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     parsed = written(parse(messages), "messages")
     links = written(reply_links(parsed), "reply-links")
     roots = thread_roots(links)
-    joined = parsed.join(links, "row_key", "left").join(roots, "row_key", "left")
+    joined = parsed.join(links, ["conv_id", "row_key"], "left").join(roots, ["conv_id", "row_key"], "left")
     ordered = joined.select(
         "conv_id",
         "turn",
