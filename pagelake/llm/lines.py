@@ -95,12 +95,13 @@ ORACLE_SQL = {
     "op10_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), page AS (
+  SELECT DISTINCT host, list_filter(own, lambda x, i: list_position(own, x) = i) AS own
+  FROM (SELECT host, list_filter(list_transform(lines, lambda x: trim(x, ' ')), lambda x: x <> '') AS own FROM l)
 ), total AS (
-  SELECT host, count(*) AS pages FROM l GROUP BY host
+  SELECT host, count(*) AS pages FROM page GROUP BY host
 ), seen AS (
-  SELECT host, line, count(*) AS n FROM (
-    SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line FROM l
-  ) GROUP BY host, line
+  SELECT host, line, count(*) AS n FROM (SELECT host, unnest(own) AS line FROM page) GROUP BY host, line
 ), boiler AS (
   SELECT host, list(line) AS lines FROM seen JOIN total USING (host)
   WHERE pages >= {MIN_PAGES} AND n >= {MIN_PAGES} AND n > pages * {RATIO} GROUP BY host
