@@ -1,10 +1,11 @@
-"""Streams over the given tables, run until all of their rows are read."""
+"""Streams over the given tables, run until all of their rows are read, and the schema log that they fill."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table, scratch_path
+from ..sources.schema_log import SchemaLog
+from ..sources.tables import SITE_SCHEMA, read_table, scratch_path
 from ..streaming import state
 
 TTL_DAYS = 30
@@ -21,7 +22,22 @@ def schema_stream_state(spark, d):
     return state.live_schemas(spark.read.parquet(out)).withColumn("created_at", F.unix_millis("created_at"))
 
 
-QUERIES = {"schema_stream_state": schema_stream_state}
+def schema_log_state(spark, d):
+    """A log with a commit of inserts, one of updates, a compaction, a drop of all that was deleted, and a commit of the web's updates again."""
+    changes = read_table(spark, d, "client_changes").withColumns({"domain": F.concat(F.lit("c"), "client_id"), "id": F.col("source"), "version": F.col("seq").cast("int"), "url_pattern": F.col("city")})
+    schema = spark.createDataFrame([], SITE_SCHEMA)
+    # of one commit's rows of a schema and version, the least pattern
+    put = lambda which: schema.unionByName(changes.filter(which).groupBy("domain", "id", "version").agg(F.min("url_pattern").alias("url_pattern")), allowMissingColumns=True)
+    log = SchemaLog(spark, scratch_path(spark, "schema-log"))
+    log.upsert(put("op = 'I'"))
+    log.upsert(put("op = 'U'"))
+    log.compact()
+    log.drop(changes.filter("op = 'D'"))
+    log.upsert(put("op = 'U' AND source = 'web'"))
+    return log.read().select("domain", "id", "version", "url_pattern")
+
+
+QUERIES = {"schema_stream_state": schema_stream_state, "schema_log_state": schema_log_state}
 ORACLE_SQL = {
     "schema_stream_state": f"""
 WITH v AS (
@@ -29,5 +45,14 @@ WITH v AS (
   WHERE client_id IS NOT NULL AND source IS NOT NULL AND seq IS NOT NULL AND valid_at IS NOT NULL
 ), n AS (SELECT *, row_number() OVER (PARTITION BY domain, id ORDER BY version DESC, created_at DESC, coalesce(payload, '') DESC) AS k FROM v)
 SELECT domain, id, version, epoch_ms(created_at) AS created_at, payload FROM n
-WHERE k = 1 AND created_at + INTERVAL {TTL_DAYS} DAY > (SELECT max(created_at) FROM v) - INTERVAL 1 HOUR"""
+WHERE k = 1 AND created_at + INTERVAL {TTL_DAYS} DAY > (SELECT max(created_at) FROM v) - INTERVAL 1 HOUR""",
+    "schema_log_state": """
+WITH c AS (SELECT 'c' || client_id AS domain, source AS id, CAST(seq AS INT) AS version, city AS url_pattern, op FROM client_changes),
+g AS (SELECT DISTINCT domain, id FROM c WHERE op = 'D'),
+p AS (
+  SELECT domain, id, version, min(url_pattern) AS url_pattern, 1 AS n FROM c WHERE op = 'I' GROUP BY ALL UNION ALL
+  SELECT domain, id, version, min(url_pattern), 2 FROM c WHERE op = 'U' GROUP BY ALL UNION ALL
+  SELECT domain, id, version, min(url_pattern), 3 FROM c WHERE op = 'U' AND id = 'web' GROUP BY ALL
+), l AS (SELECT * FROM p WHERE n = 3 OR NOT EXISTS (SELECT 1 FROM g WHERE g.domain IS NOT DISTINCT FROM p.domain AND g.id IS NOT DISTINCT FROM p.id))
+SELECT domain, id, version, url_pattern FROM l QUALIFY row_number() OVER (PARTITION BY domain, id ORDER BY version DESC NULLS LAST, n DESC) = 1""",
 }
