@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import captures
 from ..sources.schema_log import SchemaLog
-from ..sources.tables import SITE_SCHEMA, read_table, scratch_path
+from ..sources.tables import HAR_ENTRY, SITE_SCHEMA, read_table, scratch_path
 from ..streaming import state
+from . import views
 
 TTL_DAYS = 30
 
@@ -37,8 +39,19 @@ def schema_log_state(spark, d):
     return log.read().select("domain", "id", "version", "url_pattern")
 
 
-QUERIES = {"schema_stream_state": schema_stream_state, "schema_log_state": schema_log_state}
+def capture_source_rows(spark, d):
+    """All captured entries, written as two batches of captures and read back through the data source."""
+    path = scratch_path(spark, "captures")
+    rows = spark.createDataFrame([], HAR_ENTRY).unionByName(views.har(spark, d).drop("event_type", "ts").withColumn("ord", F.col("ord").cast("int")), allowMissingColumns=True)
+    captures.write_captures(rows.filter("status = 200"), path, 0)
+    captures.write_captures(rows.filter("status <> 200"), path, 1)
+    return captures.read_captures(spark, path).select("host", "capture_id", "ord", "method", "url", "status", "content_type", "body")
+
+
+QUERIES = {"capture_source_rows": capture_source_rows, "schema_stream_state": schema_stream_state, "schema_log_state": schema_log_state}
 ORACLE_SQL = {
+    "capture_source_rows": f"""
+SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, capture_id, CAST(ord AS INT) AS ord, method, url, status, content_type, body FROM ({views.har_sql()})""",
     "schema_stream_state": f"""
 WITH v AS (
   SELECT 'c' || client_id AS domain, source AS id, seq AS version, valid_at AS created_at, city AS payload FROM client_changes
