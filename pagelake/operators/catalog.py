@@ -43,16 +43,29 @@ def _first(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def match_patterns(targets: DataFrame, schemas: DataFrame, key: str = "url") -> DataFrame:
-    """Each target (url) with its domain's most specific fitting pattern, the first (by ord) on a tie.
+def _masked(segments: Column, mask: Column) -> Column:
+    """Segments as a path with {} where the mask has 1."""
+    return F.array_join(F.zip_with(segments, F.split(mask, ""), lambda s, m: F.when(m == "1", "{}").otherwise(s)), "/")
+
+
+def pattern_hits(targets: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Each target (url) with every fitting pattern of its domain.
 
-    An equi-join on domain and number of segments; the wildcards are a residual test of it.
+    Patterns are indexed by where their wildcards stand (their mask): a target is masked in each way that its domain's patterns of as many
+    segments are, and looked up by equality. Rows grow with the masks of a domain and with what fits, not with its patterns.
     """
     own = targets.withColumn("domain", urls.authority(F.col("url"))).withColumn("__u", urls.segments(urls.normalize_path(urls.path(F.col("url")))))
     own = own.withColumn("__k", F.size("__u"))
-    stored = schemas.withColumn("__p", urls.segments(F.col("url_pattern"))).withColumn("__k", F.size("__p")).withColumn("specificity", urls.specificity(F.col("url_pattern")))
-    both = own.join(stored, ["domain", "__k"]).filter(urls.matches_pattern(F.col("__p"), F.col("__u")))
-    return _first(both, [key], F.desc("specificity"), "ord").drop("__u", "__p", "__k")
+    stored = schemas.withColumn("__p", urls.segments(F.col("url_pattern"))).withColumn("specificity", urls.specificity(F.col("url_pattern")))
+    stored = stored.withColumn("__mask", F.array_join(F.transform("__p", lambda s: F.when(s == "{}", "1").otherwise("0")), "")).withColumn("__key", _masked(F.col("__p"), F.col("__mask")))
+    masks = stored.select("domain", F.size("__p").alias("__k"), "__mask").distinct()
+    asked = own.join(masks, ["domain", "__k"]).withColumn("__key", _masked(F.col("__u"), F.col("__mask")))
+    return asked.join(stored.drop("__p"), ["domain", "__mask", "__key"]).drop("__u", "__k", "__mask", "__key")
+
+
+def match_patterns(targets: DataFrame, schemas: DataFrame, key: str = "url") -> DataFrame:
+    """Each target (url) with its domain's most specific fitting pattern, the first (by ord) on a tie."""
+    return _first(pattern_hits(targets, schemas), [key], F.desc("specificity"), "ord")
 
 
 def lookup(targets: DataFrame, schemas: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
