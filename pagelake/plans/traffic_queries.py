@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import catalog, traffic
+from ..operators import catalog, responses, traffic
 from ..sources.tables import read_table
 from . import views
 
@@ -45,6 +45,21 @@ def har_included_merge(spark, d):
     return traffic.merge_included(rows).select("capture_id", "ord", F.col("pos").cast("int").alias("pos"), "urn")
 
 
+#: Bodies of captured entries: objects with and without lists, a list, none, and no JSON. Both engines run it.
+_PAYLOADS = """CASE ord % 6
+  WHEN 0 THEN concat('{"included":[{"entityUrn":"u', ord % 9, '","v":', ord, '},{"v":', ord, '},7,{"entityUrn":5,"v":', ord, '}],"data":', ord, ',"b c":null}')
+  WHEN 1 THEN concat('{"data":[', ord, ']}') WHEN 2 THEN concat('[', ord, ']') WHEN 3 THEN concat('{"included":[{"entityUrn":"u', ord % 5, '","v":', ord, '}')
+  WHEN 4 THEN '' ELSE concat('{"included":{"v":', ord, '}}') END"""
+
+
+def complete_payloads(spark, d):
+    """Each capture's best payload with all that was included: its members' names, and the values of its items in order."""
+    found = responses.complete_payloads(views.har(spark, d).withColumn("body", F.expr(_PAYLOADS)), F.lit("/api/orders/3"))
+    items = F.try_variant_get(F.try_parse_json("payload"), "$.included", "array<variant>")
+    values = F.array_join(F.transform(items, lambda x: F.try_variant_get(x, "$.v", "string")), ",")
+    return found.select("capture_id", "best_ord", "n_included", F.array_join(F.array_sort(F.map_keys(F.from_json("payload", "map<string,variant>"))), ",").alias("members"), values.alias("item_values"))
+
+
 def responses_by_endpoint(spark, d):
     rows = views.har(spark, d).select("capture_id", "ord", F.col("event_type").alias("name"), "status", F.concat(F.lit('{"n":'), F.col("ord").cast("string"), F.lit("}")).alias("body"))
     return traffic.merge_by_endpoint(rows)
@@ -133,7 +148,7 @@ def wellknown_cross(spark, d):
 QUERIES = {f.__name__: f for f in (
     har_filter, har_summary, har_request_response, har_best_response, har_included_merge, responses_by_endpoint, replay_requests, auth_wall,
     block_detection, marker_hits, script_hosts, preconnect_hosts, meta_generator, strip_script_style, thin_page, header_filter, domain_semi_join,
-    domain_anti_join, url_domain_suffix_match, wellknown_cross,
+    domain_anti_join, url_domain_suffix_match, wellknown_cross, complete_payloads,
 )}
 
 _API = "(contains(lower(content_type), 'json') OR contains(lower(content_type), 'graphql'))"
@@ -146,6 +161,24 @@ _NOSCRIPT = r"regexp_replace(regexp_replace(html, '<(?:script)\b.*?</script[^>]*
 _PATHS = "(VALUES " + ", ".join(f"({k}, '{p}', '{kind}')" for k, (p, kind) in enumerate(catalog.WELL_KNOWN)) + ") AS w(idx, path, kind)"
 
 ORACLE_SQL = {
+    "complete_payloads": f"""
+WITH e AS MATERIALIZED (SELECT * FROM (SELECT capture_id, ord, url, status, {_PAYLOADS} AS body FROM ({_HAR})) WHERE status = 200 AND body <> '' AND json_valid(body)),
+i AS (
+  SELECT capture_id, ord, unnest(json_extract(body, '$.included[*]')) AS item, unnest(generate_series(1, len(json_extract(body, '$.included[*]')))) AS pos
+  FROM e WHERE json_type(body, '$.included') = 'ARRAY'
+), o AS (
+  SELECT *, CASE WHEN json_type(item, '$.entityUrn') = 'VARCHAR' THEN item->>'$.entityUrn' END AS urn FROM i WHERE json_type(item) = 'OBJECT'
+), k AS (SELECT * FROM o QUALIFY urn IS NULL OR row_number() OVER (PARTITION BY capture_id, urn ORDER BY ord, pos) = 1),
+g AS (SELECT capture_id, count(*) AS n, string_agg(item->>'$.v', ',' ORDER BY ord, pos) AS item_values FROM k GROUP BY capture_id),
+s AS (
+  SELECT *, strlen(body) + 50000 * (contains(lower(url), 'api')::INT + contains(lower(url), 'orders')::INT)
+    + CASE WHEN contains(lower(url), 'graphql') OR contains(lower(url), '/api/') THEN 10000 ELSE 0 END
+    - CASE WHEN contains(lower(url), 'setting') OR contains(lower(url), 'messaging') OR contains(lower(url), 'notification') OR contains(lower(url), 'policy') THEN 30000 ELSE 0 END AS score FROM e
+), b AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, ord) = 1)
+SELECT coalesce(b.capture_id, g.capture_id) AS capture_id, b.ord AS best_ord, coalesce(n, 0) AS n_included,
+  CASE WHEN json_type(b.body) = 'OBJECT' THEN array_to_string(list_sort(list_distinct(list_concat(json_keys(b.body), CASE WHEN n > 0 THEN ['included'] ELSE [] END))), ',')
+    WHEN n > 0 THEN 'included' END AS members, item_values
+FROM b FULL JOIN g ON b.capture_id = g.capture_id""",
     "har_filter": f"""
 SELECT capture_id, ord, method, url, content_type FROM ({_HAR}) WHERE {_API} AND NOT {_any("lower(url)", traffic.TRACKING)}
 QUALIFY row_number() OVER (PARTITION BY capture_id, method, url ORDER BY ord) = 1""",
