@@ -208,10 +208,10 @@ def action_rank(a) -> Column:
     return base + by_param - F.when(F.octet_length(template) > 120, 8).otherwise(0) - noisy + slot + single
 
 
-def dedupe_actions(actions: DataFrame, keys: list[str]) -> DataFrame:
-    """The best of each name, transport and template; further actions of a name become name_2, name_3 by rank."""
+def dedupe_actions(actions: DataFrame, keys: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """The best of each name, transport and template; further actions of a name become name_2, name_3 by rank, equal ones by ties."""
     ranked = actions.withColumn("rank", action_rank(actions))
-    order = [F.desc("rank"), "name", F.size("params"), "url_template"]
+    order = [F.desc("rank"), "name", F.size("params"), "url_template", *ties]
     first = _first(ranked, [*keys, "name", "transport", "url_template"], *order)
     nth = F.row_number().over(Window.partitionBy(*keys, "name").orderBy(*order))
     return first.withColumn("__i", nth).withColumn("name", F.when(F.col("__i") > 1, F.concat("name", F.lit("_"), F.col("__i").cast("string"))).otherwise(F.col("name"))).drop("__i")
