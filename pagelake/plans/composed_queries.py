@@ -1,12 +1,14 @@
-"""Whole catalogs of actions."""
+"""Whole catalogs of actions, requests of endpoints, and templates that differ by row."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import action_catalog
+from ..functions import row_templates, urls
+from ..operators import action_catalog, requests
 from ..sources.tables import read_table
-from .url_queries import _AUTH
+from . import views
+from .url_queries import _AUTH, _PATH, _segs
 
 #: A target for each page, with or without a query; both engines run it. n is the least page of a url.
 _TARGET = """
@@ -34,7 +36,34 @@ def action_catalogs(spark, d):
     return found.select("domain", "url", "source", "coverage", F.size("actions").cast("bigint").alias("n_actions"), F.array_join(shown, "\n").alias("actions"))
 
 
-QUERIES = {"action_catalogs": action_catalogs}
+#: A JSON template for each captured entry; both engines run it.
+_TEMPLATE = """CASE ord % 5 WHEN 0 THEN '{"id":{{id}},"name":"{{ name }}"}' WHEN 1 THEN '{"name":{{name|json}},"none":"{{none}}"}' WHEN 2 THEN '[{{list|json_array}}]'
+  WHEN 3 THEN '{{id|text}}' ELSE '{"id":{{id}' END"""
+
+
+def templates_by_row(spark, d):
+    rows = views.har(spark, d).withColumn("template", F.expr(_TEMPLATE))
+    values = F.create_map(F.lit("id"), F.col("ord").cast("string"), F.lit("name"), F.concat("event_type", F.lit(' "<x>"')), F.lit("list"), F.concat_ws(", ", F.col("ord").cast("string"), "event_type", F.lit("")))
+    return rows.select("ord", row_templates.render_json(F.col("template"), values).alias("rendered"))
+
+
+def endpoint_scan(spark, d):
+    """Every page's URL as the target of its domain's two endpoints, with the responses that were captured for a part of them."""
+    pages = read_table(spark, d, "pages").select("page_id", "url", urls.authority(F.col("url")).alias("domain"), urls.segments(urls.path(F.col("url"))).alias("seg"))
+    both = "array(named_struct('name', 'lang', 'source', 'path', 'pattern', '0'), named_struct('name', 'id', 'source', 'path', 'pattern', '^[0-9]+$'))"
+    endpoints = pages.select("domain").distinct().selectExpr(
+        "domain", "inline(array(named_struct('name', 'get', 'method', 'get', 'url_template', concat('https://api.', domain, '/{lang}/{id}'), 'body_template', CAST(NULL AS string)), "
+        "named_struct('name', 'post', 'method', 'POST', 'url_template', concat('https://api.', domain, '/q'), 'body_template', '{\"id\":\"{id}\"}')))",
+    ).withColumns({"variables": F.expr(both), "headers": F.lit(None).cast("map<string,string>"), "content_type": F.lit("application/json")})
+    answers = pages.filter("page_id % 3 < 2").select(
+        F.col("page_id").alias("ord"), F.lit("GET").alias("method"), F.concat(F.lit("https://api."), "domain", F.lit("/"), F.array_join("seg", "/")).alias("url"), F.lit(None).cast("string").alias("request_body"),
+        F.when(F.col("page_id") % 3 == 0, 200).otherwise(503).alias("status"), F.concat(F.lit('{"p":'), F.col("page_id").cast("string"), F.lit("}")).alias("body"),
+    )
+    targets = pages.select("domain", "url").distinct().withColumn("overrides", F.lit(None).cast("map<string,string>"))
+    return requests.scan_endpoints(targets, endpoints, answers).select("url", "name", "method", "request_url", "body", F.col("headers")["Content-Type"].alias("content_type"), "outcome", "status", "data")
+
+
+QUERIES = {"action_catalogs": action_catalogs, "templates_by_row": templates_by_row, "endpoint_scan": endpoint_scan}
 ORACLE_SQL = {
     "action_catalogs": f"""
 WITH t AS (SELECT url, min(page_id) AS n FROM (SELECT page_id, {_TARGET} AS url FROM pages) GROUP BY url),
@@ -62,5 +91,19 @@ g AS (
   FROM v GROUP BY url
 )
 SELECT {_AUTH.replace("url", "g.url")} AS domain, g.url, CASE WHEN n % 3 <> 0 THEN 'html_extraction' WHEN n_actions > 1 + (n % 2 = 0)::INT + (n % 9 = 0)::INT THEN 'hybrid' ELSE 'api' END AS source,
-  CASE WHEN n % 3 = 0 AND n % 2 = 0 THEN 'complete' ELSE 'partial' END AS coverage, n_actions, actions FROM g JOIN t ON g.url = t.url"""
+  CASE WHEN n % 3 = 0 AND n % 2 = 0 THEN 'complete' ELSE 'partial' END AS coverage, n_actions, actions FROM g JOIN t ON g.url = t.url""",
+    "templates_by_row": rf"""
+SELECT ord, CASE ord % 5 WHEN 0 THEN '{{"id":' || ord || ',"name":"' || event_type || ' \"\u003cx\u003e\""}}' WHEN 1 THEN '{{"name":"' || event_type || ' \"\u003cx\u003e\"","none":""}}'
+  WHEN 2 THEN '["' || ord || '","' || event_type || '",""]' END AS rendered FROM ({views.har_sql()})""",
+    "endpoint_scan": f"""
+WITH p AS (SELECT page_id, url, {_AUTH} AS domain, {_segs(_PATH)} AS seg FROM pages),
+t AS (SELECT DISTINCT url, domain, seg, list_filter(seg, lambda s: regexp_matches(s, '^[0-9]+$'))[-1] AS id FROM p),
+q AS (
+  SELECT url, 'get' AS name, 'GET' AS method, CASE WHEN id IS NOT NULL THEN 'https://api.' || domain || '/' || seg[1] || '/' || id END AS request_url, NULL AS body FROM t UNION ALL
+  SELECT url, 'post', 'POST', CASE WHEN id IS NOT NULL THEN 'https://api.' || domain || '/q' END, '{{"id":"' || id || '"}}' FROM t
+), r AS (SELECT 'https://api.' || domain || '/' || array_to_string(seg, '/') AS url, max(page_id) AS page_id FROM p WHERE page_id % 3 < 2 GROUP BY 1)
+SELECT q.url, name, method, request_url, body, 'application/json' AS content_type,
+  CASE WHEN request_url IS NULL THEN 'unresolved' WHEN page_id IS NULL THEN 'missing' WHEN page_id % 3 = 0 THEN 'ok' ELSE 'transient' END AS outcome,
+  CASE WHEN page_id % 3 = 0 THEN 200 WHEN page_id IS NOT NULL THEN 503 END AS status, CASE WHEN page_id % 3 = 0 THEN '{{"p":' || page_id || '}}' END AS data
+FROM q LEFT JOIN r ON q.method = 'GET' AND q.request_url = r.url""",
 }
