@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import row_templates, urls
-from ..operators import action_catalog, requests
+from ..operators import action_catalog, documents, requests
 from ..sources.tables import read_table
 from . import views
+from .traffic_queries import _NOSCRIPT
 from .url_queries import _AUTH, _PATH, _segs
 
 #: A target for each page, with or without a query; both engines run it. n is the least page of a url.
@@ -63,7 +64,24 @@ def endpoint_scan(spark, d):
     return requests.scan_endpoints(targets, endpoints, answers).select("url", "name", "method", "request_url", "body", F.col("headers")["Content-Type"].alias("content_type"), "outcome", "status", "data")
 
 
-QUERIES = {"action_catalogs": action_catalogs, "templates_by_row": templates_by_row, "endpoint_scan": endpoint_scan}
+#: Bytes of a document, so few that most captures are over it.
+DOCUMENT_BYTES = 3000
+
+
+def traffic_documents_budget(spark, d):
+    """A document under a budget for each capture; its DOM is that of nobody, its url the least of its entries."""
+    rows = views.har(spark, d).withColumn("req_headers", F.create_map(F.lit("Accept"), F.lit("*/*"), F.lit("X-Type"), F.col("event_type")))
+    captures = rows.groupBy("capture_id").agg(F.min("url").alias("url")).withColumn("dom", F.lit(None).cast("string"))
+    found = documents.traffic_documents(captures, rows, DOCUMENT_BYTES)
+    return found.select("capture_id", F.sha2("document", 256).alias("document_sha256"), "n_sections", "n_left_out", "n_bytes")
+
+
+def page_documents(spark, d):
+    found = documents.page_documents(read_table(spark, d, "pages"), DOCUMENT_BYTES)
+    return found.select("page_id", F.sha2("document", 256).alias("document_sha256"), F.octet_length("document").cast("bigint").alias("n_bytes"))
+
+
+QUERIES = {"traffic_documents_budget": traffic_documents_budget, "page_documents": page_documents, "action_catalogs": action_catalogs, "templates_by_row": templates_by_row, "endpoint_scan": endpoint_scan}
 ORACLE_SQL = {
     "action_catalogs": f"""
 WITH t AS (SELECT url, min(page_id) AS n FROM (SELECT page_id, {_TARGET} AS url FROM pages) GROUP BY url),
@@ -92,6 +110,21 @@ g AS (
 )
 SELECT {_AUTH.replace("url", "g.url")} AS domain, g.url, CASE WHEN n % 3 <> 0 THEN 'html_extraction' WHEN n_actions > 1 + (n % 2 = 0)::INT + (n % 9 = 0)::INT THEN 'hybrid' ELSE 'api' END AS source,
   CASE WHEN n % 3 = 0 AND n % 2 = 0 THEN 'complete' ELSE 'partial' END AS coverage, n_actions, actions FROM g JOIN t ON g.url = t.url""",
+    "traffic_documents_budget": f"""
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ord) AS n FROM ({views.har_sql()})),
+s AS (
+  SELECT capture_id, 0 AS n, '# URL' || chr(10) || min(url) || chr(10) || '# DOM' || chr(10) AS t FROM e GROUP BY capture_id UNION ALL
+  SELECT capture_id, n, concat_ws(chr(10), '## ' || n || '. ' || method || ' ' || url, 'status ' || status, 'type ' || content_type, 'bytes ' || strlen(body), 'header Accept: */*' || chr(10) || 'header X-Type: ' || event_type, body) FROM e
+), w AS (SELECT *, strlen(t) + CASE WHEN n > 0 THEN 2 ELSE 0 END AS size, sum(strlen(t) + CASE WHEN n > 0 THEN 2 ELSE 0 END) OVER (PARTITION BY capture_id ORDER BY n) AS upto FROM s),
+c AS (
+  SELECT capture_id, n, CASE WHEN upto <= {DOCUMENT_BYTES} THEN t WHEN {DOCUMENT_BYTES} - (upto - size) - 2 - 6 > 0 THEN t[1:{DOCUMENT_BYTES} - (upto - size) - 2 - 6] || chr(10) || '[cut]' END AS t FROM w
+), g AS (SELECT capture_id, string_agg(t, chr(10) || chr(10) ORDER BY n) AS doc, count(t) AS k, count(*) AS a FROM c GROUP BY capture_id)
+SELECT capture_id, sha256(doc) AS document_sha256, k AS n_sections, a - k AS n_left_out, CAST(strlen(doc) AS BIGINT) AS n_bytes FROM g""",
+    "page_documents": f"""
+WITH h AS (SELECT page_id, coalesce(url, '') AS url, {_NOSCRIPT.replace("html", "coalesce(html, '')")} AS h FROM pages),
+b AS (SELECT *, list_max(list_filter(generate_series(1, {DOCUMENT_BYTES}), lambda k: strlen(h[1:k]) <= {DOCUMENT_BYTES} - 6)) AS k FROM h),
+d AS (SELECT page_id, '# URL' || chr(10) || url || chr(10) || '# HTML' || chr(10) || CASE WHEN strlen(h) <= {DOCUMENT_BYTES} THEN h ELSE h[1:k] || chr(10) || '[cut]' END AS doc FROM b)
+SELECT page_id, sha256(doc) AS document_sha256, CAST(strlen(doc) AS BIGINT) AS n_bytes FROM d""",
     "templates_by_row": rf"""
 SELECT ord, CASE ord % 5 WHEN 0 THEN '{{"id":' || ord || ',"name":"' || event_type || ' \"\u003cx\u003e\""}}' WHEN 1 THEN '{{"name":"' || event_type || ' \"\u003cx\u003e\"","none":""}}'
   WHEN 2 THEN '["' || ord || '","' || event_type || '",""]' END AS rendered FROM ({views.har_sql()})""",
