@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import row_templates, urls
-from ..operators import action_catalog, documents, requests
+from ..operators import action_catalog, documents, domain_rules, requests
 from ..sources.tables import read_table
 from . import views
-from .traffic_queries import _NOSCRIPT
+from .page_queries import _UNESC
+from .traffic_queries import _BARE, _NOSCRIPT
 from .url_queries import _AUTH, _PATH, _segs
 
 #: A target for each page, with or without a query; both engines run it. n is the least page of a url.
@@ -81,7 +82,20 @@ def page_documents(spark, d):
     return found.select("page_id", F.sha2("document", 256).alias("document_sha256"), F.octet_length("document").cast("bigint").alias("n_bytes"))
 
 
-QUERIES = {"traffic_documents_budget": traffic_documents_budget, "page_documents": page_documents, "action_catalogs": action_catalogs, "templates_by_row": templates_by_row, "endpoint_scan": endpoint_scan}
+def rules_by_domain(spark, d):
+    """Answers of two versions for a part of the domains, no rules for another, applied to all pages."""
+    pages = read_table(spark, d, "pages")
+    domains = pages.select(urls.bare_host(F.col("url")).alias("domain")).distinct().withColumn("k", F.length("domain") % 4).filter("k > 0")
+    lang, heading = (f'Rules: {{"page_type":"{t}","entity_fields":[{{"name":"{n}","selector":"{c}","attribute":"{a}"}}]}}' for t, n, c, a in (("a", "lang", "html", "lang"), ("b", "heading", "h1", "")))
+    newest = F.when(F.col("k") == 1, F.lit(lang)).when(F.col("k") == 2, F.lit(heading)).otherwise(F.lit("I cannot help with that"))
+    answers = domains.select("domain", F.lit(2).alias("version"), F.lit("2024-01-02").alias("answered_at"), newest.alias("answer"))
+    older = domains.select("domain", F.lit(1).alias("version"), F.lit("2024-01-03").alias("answered_at"), F.lit("{}").alias("answer"))
+    found = domain_rules.extract_by_domain(pages, answers.unionByName(older))
+    value = lambda name: F.get_json_object("data", f"$.{name}").alias(name)
+    return found.select("page_id", "domain", "rules_version", "status", value("type"), value("title"), value("lang"), value("heading"))
+
+
+QUERIES = {"rules_by_domain": rules_by_domain, "traffic_documents_budget": traffic_documents_budget, "page_documents": page_documents, "action_catalogs": action_catalogs, "templates_by_row": templates_by_row, "endpoint_scan": endpoint_scan}
 ORACLE_SQL = {
     "action_catalogs": f"""
 WITH t AS (SELECT url, min(page_id) AS n FROM (SELECT page_id, {_TARGET} AS url FROM pages) GROUP BY url),
@@ -125,6 +139,11 @@ WITH h AS (SELECT page_id, coalesce(url, '') AS url, {_NOSCRIPT.replace("html",
 b AS (SELECT *, list_max(list_filter(generate_series(1, {DOCUMENT_BYTES}), lambda k: strlen(h[1:k]) <= {DOCUMENT_BYTES} - 6)) AS k FROM h),
 d AS (SELECT page_id, '# URL' || chr(10) || url || chr(10) || '# HTML' || chr(10) || CASE WHEN strlen(h) <= {DOCUMENT_BYTES} THEN h ELSE h[1:k] || chr(10) || '[cut]' END AS doc FROM b)
 SELECT page_id, sha256(doc) AS document_sha256, CAST(strlen(doc) AS BIGINT) AS n_bytes FROM d""",
+    "rules_by_domain": f"""
+WITH p AS (SELECT page_id, {_BARE} AS domain, trim({_UNESC("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}) AS h1, trim({_UNESC("regexp_extract(html, '<title>(.*?)</title>', 1)")}) AS head, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages),
+k AS (SELECT *, length(domain) % 4 AS k FROM p)
+SELECT page_id, domain, CASE WHEN k > 0 THEN 2 END AS rules_version, CASE k WHEN 0 THEN 'no_rules' WHEN 3 THEN 'invalid' ELSE 'ok' END AS status, CASE k WHEN 1 THEN 'a' WHEN 2 THEN 'b' END AS type,
+  CASE WHEN k IN (1, 2) THEN coalesce(nullif(h1, ''), head) END AS title, CASE WHEN k = 1 THEN nullif(lang, '') END AS lang, CASE WHEN k = 2 THEN nullif(h1, '') END AS heading FROM k""",
     "templates_by_row": rf"""
 SELECT ord, CASE ord % 5 WHEN 0 THEN '{{"id":' || ord || ',"name":"' || event_type || ' \"\u003cx\u003e\""}}' WHEN 1 THEN '{{"name":"' || event_type || ' \"\u003cx\u003e\"","none":""}}'
   WHEN 2 THEN '["' || ord || '","' || event_type || '",""]' END AS rendered FROM ({views.har_sql()})""",
