@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import jsons, semantics, urls
+from ..functions import jq_columns, jsons, semantics, urls
 from ..sources.tables import read_table
 
 _EVENT = """concat('{"id":', event_id, ',"type":"', event_type, '","user":{"id":', user_id, ',"tags":["a', event_id % 3, '","b"]},"items":[{"n":', event_id % 5, '},{"n":', event_id % 7, '}]}')"""
@@ -39,6 +39,12 @@ def _shapes(spark, d):
     return read_table(spark, d, "events").selectExpr("event_id", f"{_SHAPES} AS body")
 
 
+def json_jq_columns(spark, d):
+    """Iteration, selection and construction of objects over all events, compiled to columns."""
+    found = jq_columns.query_columns(_events(spark, d), "body", '.items[] | select(.n >= 2) | {n, "more": .none}')
+    return found.select("event_id", F.get_json_object("result", "$.n").alias("n"), "result")
+
+
 def json_schema_infer(spark, d):
     return _shapes(spark, d).select(jsons.infer_schema_column(F.col("body")).alias("schema")).groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
 
@@ -87,7 +93,7 @@ def search_state_urls(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    json_path, json_project, json_iterate, json_jq, json_schema_infer, json_truncate, json_keytree, json_repair, json_count_keys, json_leaf_score,
+    json_path, json_project, json_iterate, json_jq, json_jq_columns, json_schema_infer, json_truncate, json_keytree, json_repair, json_count_keys, json_leaf_score,
     search_state_urls,
 )}
 
@@ -101,6 +107,7 @@ ORACLE_SQL = {
     "json_path": f"SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(b, '$.user.tags[0]') AS tag, CAST(NULL AS VARCHAR) AS none FROM (SELECT event_id, props, {_EVENT} AS b FROM events)",
     "json_project": "SELECT event_id, event_type AS kind, CAST(event_id % 7 AS VARCHAR) AS second, CAST(2 AS INTEGER) AS n FROM events",
     "json_iterate": f"SELECT event_id, json_extract_string(unnest(CAST(json_extract(b, '$.items') AS JSON[])), '$.n') AS n FROM (SELECT event_id, {_EVENT} AS b FROM events)",
+    "json_jq_columns": """SELECT event_id, CAST(n AS VARCHAR) AS n, '{"more":null,"n":' || n || '}' AS result FROM (SELECT event_id, unnest([event_id % 5, event_id % 7]) AS n FROM events) WHERE n >= 2""",
     "json_jq": "SELECT event_id, CAST(n AS VARCHAR) AS result FROM (SELECT event_id, unnest([event_id % 5, event_id % 7]) AS n FROM events) WHERE n > 3",
     "json_schema_infer": f"""
 SELECT CASE c WHEN 0 THEN '{_SCHEMA}' WHEN 1 THEN '{{"type":"array"}}' WHEN 2 THEN '{{"fields":[{{"name":"a","type":"null"}},{{"name":"b","type":"boolean"}}],"type":"object"}}' END AS schema, count(*) AS n
