@@ -1,8 +1,9 @@
 """Document fingerprints: threshold-scaled sketches, with DataFrame functions only.
 
 A sketch keeps every hash of a five-word shingle that lies below a fixed fraction of the hash range, and the smallest
-hash in any case, so sketches of any two texts can be merged by union and compared whatever their lengths. Likeness is
-the containment of the smaller sketch in the larger one.
+hash where none does, so sketches of any two texts can be compared whatever their lengths. Sketches merge by union, without
+hashes over the threshold where one below it is there (merged()): that is the sketch of all their shingles. Likeness is the containment
+of the smaller sketch in the larger one.
 
 The next document comes from a range bucketing by doc_id: bucket bounds are ids that occur, and the document at a bound
 is sent to the bucket before it as well (the first one to the last, for the wrap), so one shuffle of the texts is all.
@@ -36,9 +37,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
+def threshold(fraction: float = FRACTION) -> int:
+    return int(-(1 << 63) + fraction * (1 << 64))
+
+
+def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of the shingles of both texts, from their sketches."""
+    both = F.array_sort(F.array_union(a, b))
+    low = F.filter(both, lambda h: h < threshold(fraction))
+    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+
+
 def sketch(text: Column, size: int = SHINGLE_WORDS, fraction: float = FRACTION) -> Column:
     """Sorted distinct shingle hashes below the threshold, or the smallest one; empty without words."""
-    limit = int(-(1 << 63) + fraction * (1 << 64))
+    limit = threshold(fraction)
 
     def of(ws: Column) -> Column:
         last = F.greatest(F.size(ws) - size + 1, F.lit(1))
