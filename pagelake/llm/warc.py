@@ -40,7 +40,9 @@ RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_t
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    """A file system and a path in it; s3a and s3n are Hadoop's names of s3."""
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if colon and scheme in ("s3a", "s3n") else uri)
 
 
 def surt(url: str | None) -> str:
