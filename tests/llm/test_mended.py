@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from pagelake.llm import lines, near, quotes, toxicity
+from pyspark.sql import functions as F
+
+from pagelake.llm import fingerprints, lines, near, quotes, toxicity, warc
 
 TALK = "conv_id bigint, turn bigint, role string, text string"
 
@@ -61,3 +63,23 @@ def test_a_greeting_in_a_foreign_quote_names_nobody(spark, word):
     talk = [(1, 0, "a", f"What is the plan for the second week?\n{word}"), (1, 1, "b", "Nothing."), (1, 2, "c", f"Look at this:\n{foreign}\nWhat now?"), (1, 3, "d", f"> What is the plan for the second week?\n> {word}\nWork.")]
     found = {r.turn: (r.parent_turn, r.n_linked) for r in quotes.link_quotes(spark.createDataFrame(talk, TALK)).collect()}
     assert found[2] == (None, 0) and found[3] == (0, 1)
+
+
+def test_a_merged_sketch_is_that_of_all_shingles(spark):
+    """Texts of one shingle above the threshold, one below it, many, and none."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[k : k + 5]) for k in range(40)] + ["", " ".join(words)]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts[::5] + texts[-2:]], "a string, b string")
+    hashes = lambda c: F.when(F.size(fingerprints.words(c)) > 0, fingerprints.sketch(c, fraction=1 - 2**-20)).otherwise(F.array().cast("array<bigint>"))
+    found = rows.select(fingerprints.merged(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("m"), F.array_sort(F.array_union(hashes(F.col("a")), hashes(F.col("b")))).alias("every"))
+    low = 0
+    for r in found.collect():
+        below = [h for h in r.every if h < fingerprints.threshold()]
+        assert r.m == (below or r.every[:1])
+        low += not below
+    assert low
+
+
+@pytest.mark.parametrize(("uri", "path"), [("file:///tmp/x", "/tmp/x"), ("s3a://bucket/a/b?region=us-east-1", "bucket/a/b"), ("s3n://bucket/a?region=us-east-1", "bucket/a")])
+def test_schemes_of_stores(uri, path):
+    assert warc._opened(uri)[1] == path
