@@ -247,6 +247,13 @@ def pattern_catalogue(spark) -> DataFrame:
     return spark.createDataFrame(PATTERN_DESCRIPTIONS, "name string, description string")
 
 
+def pattern_counts(pages: DataFrame) -> DataFrame:
+    """The catalogue of embedded patterns, with the number of pages whose html holds each name."""
+    names = F.array(*[F.lit(n) for n, _ in PATTERN_DESCRIPTIONS])
+    held = pages.select(F.explode(F.filter(names, lambda n: F.col("html").contains(n))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_pages"))
+    return pattern_catalogue(pages.sparkSession).join(held, "name", "left").fillna(0, ["n_pages"])
+
+
 def schema_to_json(schema: Column) -> Column:
     return F.to_json(schema)
 

@@ -122,7 +122,7 @@ def dom_snapshots(spark, d):
 
 
 def pattern_catalogue(spark, d):
-    return assembly.pattern_catalogue(spark)
+    return assembly.pattern_counts(read_table(spark, d, "pages"))
 
 
 QUERIES = {
@@ -183,5 +183,5 @@ SELECT event_id, CASE WHEN event_id % 3 > 0 THEN '{{' || {_NL} || '  "a": ' || e
   ELSE repeat('y', least(event_id % 30 * 100, 2000)) || CASE WHEN event_id % 30 > 20 THEN '...' ELSE '' END END AS preview FROM events""",
     "dom_snapshots": f"""
 SELECT page_id, '<body>a <p>x' || page_id || '</p>' || CASE WHEN page_id % 8 < 6 THEN {_NL} || repeat('<div>', page_id % 8) || 'deep' || repeat('</div>', page_id % 8) ELSE '' END || '</body>' || {_NL} AS snapshot FROM pages""",
-    "pattern_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in assembly.PATTERN_DESCRIPTIONS) + ") t(name, description)",
+    "pattern_catalogue": "SELECT name, description, (SELECT count(*) FROM pages WHERE contains(html, name)) AS n_pages FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in assembly.PATTERN_DESCRIPTIONS) + ") t(name, description)",
 }
