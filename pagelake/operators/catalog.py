@@ -68,6 +68,14 @@ def match_patterns(targets: DataFrame, schemas: DataFrame, key: str = "url") ->
     return _first(pattern_hits(targets, schemas), [key], F.desc("specificity"), "ord")
 
 
+def schema_class(schema_type: Column, n_endpoints: Column, rules: Column) -> Column:
+    """api, css, next_data or other. A schema without a type is judged by what it has: rules make it css (next_data if their strategy is), endpoints
+    without rules api. For lookups css and next_data are css, all else is api."""
+    kind = F.coalesce(schema_type, F.lit(""))
+    css = (kind == "css") | ((kind == "") & rules.isNotNull())
+    return F.when(css & (F.get_json_object(rules, "$.strategy") == "next_data"), "next_data").when(css, "css").when((kind == "api") | ((kind == "") & (n_endpoints > 0)), "api").otherwise("other")
+
+
 def lookup(targets: DataFrame, schemas: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     """Each target's best live API schema, else its best live CSS schema; targets without either are left out."""
     live = schemas.filter(F.unix_timestamp(now) - F.unix_timestamp("created_at") <= ttl_seconds)

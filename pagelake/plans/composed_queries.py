@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import row_templates, urls
-from ..operators import action_catalog, documents, domain_rules, requests
+from ..functions import codecs, row_templates, urls
+from ..operators import action_catalog, catalog, documents, domain_rules, requests
 from ..sources.tables import read_table
 from . import views
 from .page_queries import _UNESC
@@ -95,7 +95,33 @@ def rules_by_domain(spark, d):
     return found.select("page_id", "domain", "rules_version", "status", value("type"), value("title"), value("lang"), value("heading"))
 
 
-QUERIES = {"rules_by_domain": rules_by_domain, "traffic_documents_budget": traffic_documents_budget, "page_documents": page_documents, "action_catalogs": action_catalogs, "templates_by_row": templates_by_row, "endpoint_scan": endpoint_scan}
+#: What the texts of two queries are made of; both engines run them.
+_CODED = "concat(event_type, '?', props, repeat('ÿ', CAST(event_id % 4 AS INT)))"
+_ENVELOPE = """CASE event_id % 4 WHEN 0 THEN concat('{"success":true,"data":', props, '}') WHEN 1 THEN concat('{"success":false,"error":{"code":"', event_type, '"}}')
+  WHEN 2 THEN '{"data":1}' ELSE '<html>' END"""
+
+
+def text_codecs(spark, d):
+    text = F.expr(_CODED)
+    rows = read_table(spark, d, "events").select("event_id", text.alias("text"))
+    return rows.select(
+        "event_id", codecs.sha1_hex(F.col("text")).alias("sha1"), codecs.base64_text(F.col("text")).alias("base64"), codecs.base64_url(F.col("text")).alias("base64_url"),
+        (codecs.from_base64(codecs.base64_url(F.col("text"))) == F.col("text")).alias("comes_back"), codecs.from_hex(codecs.hex_text(F.col("text"))).alias("from_hex"), codecs.from_base64(F.concat("text", F.lit("*"))).alias("none"),
+    )
+
+
+def registry_envelopes(spark, d):
+    return read_table(spark, d, "events").select("event_id", codecs.unwrapped(F.expr(_ENVELOPE)).alias("e")).select("event_id", "e.ok", F.get_json_object("e.data", "$.k").alias("k"), "e.code", "e.message")
+
+
+def schema_classes(spark, d):
+    """Schemas of all types, and of none, by order."""
+    kind = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'api' WHEN 1 THEN 'css' WHEN 2 THEN '' END")
+    rules = F.expr("CASE o_orderkey % 3 WHEN 0 THEN '{\"strategy\":\"next_data\"}' WHEN 1 THEN '{\"title_selector\":\"h1\"}' END")
+    return read_table(spark, d, "orders").select("o_orderkey", catalog.schema_class(kind, F.col("o_orderkey") % 2, rules).alias("class"))
+
+
+QUERIES = {"text_codecs": text_codecs, "registry_envelopes": registry_envelopes, "schema_classes": schema_classes, "rules_by_domain": rules_by_domain, "traffic_documents_budget": traffic_documents_budget, "page_documents": page_documents, "action_catalogs": action_catalogs, "templates_by_row": templates_by_row, "endpoint_scan": endpoint_scan}
 ORACLE_SQL = {
     "action_catalogs": f"""
 WITH t AS (SELECT url, min(page_id) AS n FROM (SELECT page_id, {_TARGET} AS url FROM pages) GROUP BY url),
@@ -144,6 +170,15 @@ WITH p AS (SELECT page_id, {_BARE} AS domain, trim({_UNESC("regexp_extract(html,
 k AS (SELECT *, length(domain) % 4 AS k FROM p)
 SELECT page_id, domain, CASE WHEN k > 0 THEN 2 END AS rules_version, CASE k WHEN 0 THEN 'no_rules' WHEN 3 THEN 'invalid' ELSE 'ok' END AS status, CASE k WHEN 1 THEN 'a' WHEN 2 THEN 'b' END AS type,
   CASE WHEN k IN (1, 2) THEN coalesce(nullif(h1, ''), head) END AS title, CASE WHEN k = 1 THEN nullif(lang, '') END AS lang, CASE WHEN k = 2 THEN nullif(h1, '') END AS heading FROM k""",
+    "text_codecs": f"""
+SELECT event_id, sha1(t) AS sha1, base64(encode(t)) AS base64, rtrim(translate(base64(encode(t)), '+/', '-_'), '=') AS base64_url, true AS comes_back, t AS from_hex, NULL AS none
+FROM (SELECT event_id, {_CODED.replace("ÿ', CAST(event_id % 4 AS INT)", "ÿ', event_id % 4")} AS t FROM events)""",
+    "registry_envelopes": """
+SELECT event_id, event_id % 4 = 0 AS ok, CASE WHEN event_id % 4 = 0 THEN json_extract_string(props, '$.k') END AS k, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN event_type ELSE '' END AS code,
+  CASE WHEN event_id % 4 > 0 THEN '' END AS message FROM events""",
+    "schema_classes": """
+SELECT o_orderkey, CASE WHEN k = 1 OR (k >= 2 AND r < 2) THEN CASE WHEN r = 0 THEN 'next_data' ELSE 'css' END WHEN k = 0 OR e > 0 THEN 'api' ELSE 'other' END AS class
+FROM (SELECT o_orderkey, o_orderkey % 4 AS k, o_orderkey % 3 AS r, o_orderkey % 2 AS e FROM orders)""",
     "templates_by_row": rf"""
 SELECT ord, CASE ord % 5 WHEN 0 THEN '{{"id":' || ord || ',"name":"' || event_type || ' \"\u003cx\u003e\""}}' WHEN 1 THEN '{{"name":"' || event_type || ' \"\u003cx\u003e\"","none":""}}'
   WHEN 2 THEN '["' || ord || '","' || event_type || '",""]' END AS rendered FROM ({views.har_sql()})""",
