@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import row_templates
 from ..functions import text as tx
 from ..functions import urls
 
@@ -170,6 +171,22 @@ def probe_candidates(targets: DataFrame) -> DataFrame:
     return targets.withColumn("probe", F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), u.alias("probe_url")) for s, u in asks]))).select("*", "probe.*").drop("probe")
 
 
+def all_probe_candidates(targets: DataFrame, sites: DataFrame) -> DataFrame:
+    """What all five strategies ask for each target: strategy, probe_url, pattern and has_headers, for rank_candidates.
+
+    sites: the rules of known_site with api_template and variables (name, source, pattern); a rule one of whose variables has no value asks nothing.
+    Every target's site is asked as a store, too.
+    """
+    own = urls.normalize_path(urls.path(F.col("url")))
+    plain = probe_candidates(targets).withColumns({"pattern": own, "has_headers": F.col("strategy") == "accept_header"})
+    checked = bounded_rules(sites).withColumn("variables", row_templates.checked(F.col("variables")))
+    known = known_site(targets, checked).withColumn("probe_url", row_templates.fill(F.col("api_template"), F.col("variables"), F.col("url")))
+    made = lambda df, name, pattern: df.select(*targets.columns, F.lit(name).alias("strategy"), "probe_url", pattern.alias("pattern"), F.lit(False).alias("has_headers"))
+    known = made(known.filter("probe_url is not null"), "known_site", own)
+    store = targets.withColumn("probe_url", F.concat(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://", 0), urls.authority(F.col("url")), F.lit("/products.json")))
+    return plain.unionByName(known).unionByName(made(store, "shopify", F.lit("/products")))
+
+
 def probe_score(strategy: Column, pattern: Column, has_headers: Column) -> Column:
     return _looked_up(PROBE_SCORES, strategy) + F.when(pattern.contains("{}"), 10).otherwise(0) - F.when(has_headers, 5).otherwise(0)
 

@@ -10,7 +10,7 @@ from ..sources.tables import read_table
 from . import views
 from .page_queries import _UNESC
 from .traffic_queries import _BARE, _NOSCRIPT
-from .url_queries import _AUTH, _PATH, _segs
+from .url_queries import _AUTH, _PATH, _segs, norm_sql
 
 #: A target for each page, with or without a query; both engines run it. n is the least page of a url.
 _TARGET = """
@@ -121,7 +121,20 @@ def schema_classes(spark, d):
     return read_table(spark, d, "orders").select("o_orderkey", catalog.schema_class(kind, F.col("o_orderkey") % 2, rules).alias("class"))
 
 
-QUERIES = {"text_codecs": text_codecs, "registry_envelopes": registry_envelopes, "schema_classes": schema_classes, "rules_by_domain": rules_by_domain, "traffic_documents_budget": traffic_documents_budget, "page_documents": page_documents, "action_catalogs": action_catalogs, "templates_by_row": templates_by_row, "endpoint_scan": endpoint_scan}
+#: Known sites of the pages' hosts: host, path, template, and where its id comes from.
+_RULES = [(1, "net", r"\.example\.net$", r"^/(en|de)/", "https://net.example/api/{id}"), (2, "com", r"example\.com$", r"^/[a-z]{2}/[0-9]+/?$", "https://com.example/{id}.json"), (3, "any", ".", r"\.html$", "https://any.example/{id}")]
+_ID = r"^[0-9]+(?:\.html)?$"
+
+
+def probe_candidates_all(spark, d):
+    """The candidates of all five strategies for every page, known sites and stores among them, in one ranking."""
+    sites = spark.createDataFrame([(*r, [("id", "path", _ID)]) for r in _RULES], f"ord int, site string, host_pattern string, path_pattern string, api_template string, variables {row_templates.VARIABLES}")
+    asked = catalog.all_probe_candidates(read_table(spark, d, "pages").select("page_id", "url"), sites)
+    scored = asked.withColumn("score", catalog.probe_score(F.col("strategy"), F.col("pattern"), F.col("has_headers"))).withColumns({"method": F.lit("GET"), "url_template": F.col("probe_url")})
+    return catalog.rank_candidates(scored).select("page_id", "strategy", "probe_url", "score", F.col("rank").cast("int").alias("rank"))
+
+
+QUERIES = {"probe_candidates_all": probe_candidates_all, "text_codecs": text_codecs, "registry_envelopes": registry_envelopes, "schema_classes": schema_classes, "rules_by_domain": rules_by_domain, "traffic_documents_budget": traffic_documents_budget, "page_documents": page_documents, "action_catalogs": action_catalogs, "templates_by_row": templates_by_row, "endpoint_scan": endpoint_scan}
 ORACLE_SQL = {
     "action_catalogs": f"""
 WITH t AS (SELECT url, min(page_id) AS n FROM (SELECT page_id, {_TARGET} AS url FROM pages) GROUP BY url),
@@ -170,6 +183,19 @@ WITH p AS (SELECT page_id, {_BARE} AS domain, trim({_UNESC("regexp_extract(html,
 k AS (SELECT *, length(domain) % 4 AS k FROM p)
 SELECT page_id, domain, CASE WHEN k > 0 THEN 2 END AS rules_version, CASE k WHEN 0 THEN 'no_rules' WHEN 3 THEN 'invalid' ELSE 'ok' END AS status, CASE k WHEN 1 THEN 'a' WHEN 2 THEN 'b' END AS type,
   CASE WHEN k IN (1, 2) THEN coalesce(nullif(h1, ''), head) END AS title, CASE WHEN k = 1 THEN nullif(lang, '') END AS lang, CASE WHEN k = 2 THEN nullif(h1, '') END AS heading FROM k""",
+    "probe_candidates_all": rf"""
+WITH p AS (SELECT page_id, url, {_AUTH} AS host, {_PATH} AS path, {_segs(_PATH)} AS seg, CASE WHEN contains({norm_sql(_PATH)}, '{{}}') THEN 10 ELSE 0 END AS more FROM pages),
+q AS (
+  SELECT *, list_filter(seg, lambda s: regexp_matches(s, '{_ID}'))[-1] AS id, CASE WHEN regexp_matches(host, '\.example\.net$') AND regexp_matches(path, '^/(en|de)/') THEN 'https://net.example/api/'
+    WHEN regexp_matches(host, 'example\.com$') AND regexp_matches(path, '^/[a-z]{{2}}/[0-9]+/?$') THEN 'https://com.example/' WHEN regexp_matches(path, '\.html$') THEN 'https://any.example/' END AS api FROM p
+), c AS (
+  SELECT page_id, url, 'json_suffix' AS strategy, rtrim(regexp_replace(url, '[?#].*$', ''), '/') || '.json' AS probe_url, 120 + more AS score FROM q UNION ALL
+  SELECT page_id, url, 'accept_header', url, 75 + more FROM q UNION ALL
+  SELECT page_id, url, 'wp_json', regexp_extract(url, '^[A-Za-z]+://', 0) || host || '/wp-json/wp/v2/posts?slug=' || coalesce(list_last(seg), ''), 20 + more FROM q UNION ALL
+  SELECT page_id, url, 'known_site', api || id || CASE WHEN contains(api, 'com.example') THEN '.json' ELSE '' END, 140 + more FROM q WHERE api IS NOT NULL AND id IS NOT NULL UNION ALL
+  SELECT page_id, url, 'shopify', regexp_extract(url, '^[A-Za-z]+://', 0) || host || '/products.json', 130 FROM q
+), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY url, probe_url ORDER BY score DESC, strategy) = 1)
+SELECT page_id, strategy, probe_url, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY url ORDER BY score DESC, strategy) AS INTEGER) AS rank FROM f""",
     "text_codecs": f"""
 SELECT event_id, sha1(t) AS sha1, base64(encode(t)) AS base64, rtrim(translate(base64(encode(t)), '+/', '-_'), '=') AS base64_url, true AS comes_back, t AS from_hex, NULL AS none
 FROM (SELECT event_id, {_CODED.replace("ÿ', CAST(event_id % 4 AS INT)", "ÿ', event_id % 4")} AS t FROM events)""",
