@@ -65,6 +65,8 @@ def test_texts(spark):
     assert column(spark, lambda v: tx.cut_bytes(v, 2), "aé") == "a"
     assert column(spark, tx.collapse_whitespace, " a\n\t b  c") == "a b c"
     assert column(spark, tx.clean_lines, "one line\nab\nPlease Sign In\none line\ntwo lines") == "one line\ntwo lines"
+    # only blanks are trimmed, not the digits of the line's index; lines that differ by blanks are repeated ones
+    assert column(spark, tx.clean_lines, "0 zero 0\n1 one 1\n one line \none line\n  ab\n3 three 3") == "0 zero 0\n1 one 1\none line\n3 three 3"
     assert column(spark, tx.clean_body, "nice text, loading ...") == ""
     assert column(spark, tx.action_name, " List-All  Items! ") == "list_all_items"
     assert column(spark, tx.strip_fence, '```json\n{"a":1}\n```') == '{"a":1}'
