@@ -21,3 +21,10 @@ def test_known_sites_and_stores_rank_with_the_others(spark):
     # the first fitting rule has no id in this path, so it asks nothing; a later rule does not take its place
     assert [s for s, _, _ in found["https://a.com/p/x"]] == ["shopify", "json_suffix", "accept_header", "wp_json"]
     assert ("known_site", "https://api.b.com/1", 140) in found["https://b.com/"] and None not in found
+
+
+def test_pages_of_one_url_each_have_their_site(spark):
+    sites = spark.createDataFrame([(2, "late", ".", "."), (1, "first", r"^a\.com$", "^/p/")], "ord int, site string, host_pattern string, path_pattern string")
+    pages = spark.createDataFrame([(1, "https://a.com/p/7"), (2, "https://a.com/p/7"), (3, "https://a.com/q"), (4, None)], "page_id int, url string")
+    assert sorted(map(tuple, catalog.known_site(pages, sites).select("page_id", "site", "ord").collect())) == [(1, "first", 1), (2, "first", 1), (3, "late", 2)]
+    assert catalog.known_site(pages, sites.filter("false")).count() == 0
