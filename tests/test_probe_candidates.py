@@ -28,3 +28,9 @@ def test_pages_of_one_url_each_have_their_site(spark):
     pages = spark.createDataFrame([(1, "https://a.com/p/7"), (2, "https://a.com/p/7"), (3, "https://a.com/q"), (4, None)], "page_id int, url string")
     assert sorted(map(tuple, catalog.known_site(pages, sites).select("page_id", "site", "ord").collect())) == [(1, "first", 1), (2, "first", 1), (3, "late", 2)]
     assert catalog.known_site(pages, sites.filter("false")).count() == 0
+
+
+def test_the_least_page_stands_for_a_url(spark):
+    pages = spark.createDataFrame([(k, "https://a.com/p") for k in (9, 3, 7, 5)], "page_id int, url string").repartition(4)
+    asked = catalog.probe_candidates(pages).withColumns({"score": F.lit(1), "method": F.lit("GET"), "url_template": F.col("probe_url")})
+    assert [(r.page_id, r.rank) for r in catalog.rank_candidates(asked).orderBy("rank").collect()] == [(3, 1), (3, 2), (3, 3)]
