@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Powers, bounded_batches, by_batch, mix64, range_hashes, table, utf8_values, written
@@ -270,23 +270,31 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+def shared_anchors(rows: DataFrame) -> DataFrame:
+    """Anchors of more than one unit row, with whether these have several texts (mixed). An anchor is summed up in its least and greatest unit before
+    it moves, so that one with very many rows is small."""
+    found = rows.groupBy("anchor").agg(F.min("unit").alias("low"), F.max("unit").alias("high"), F.sum("m").alias("n"))
+    return found.filter("n > 1").select(F.col("anchor").alias("a"), (F.col("low") != F.col("high")).alias("mixed"))
+
+
 def repeated_bytes(docs: DataFrame, keep: str = "first") -> DataFrame:
     """One row per document: its removed byte spans, their number and size, and the hash of what is left."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     rows = written(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(by_batch(_unit_rows), UNITS), "units")
-    # a unit that many rows have is summed up before it moves, and an anchor's units after that
-    units_ = rows.groupBy("anchor", "unit").agg(F.sum("m").alias("n"), F.min(F.struct("doc_id", "text_hash", "s", "u")).alias("first"))
-    per_anchor = units_.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).filter("n > 1 or texts > 1")
-    flagged = written(per_anchor, "flagged")
+    # unit rows move once, to meet their anchor; all that moves after that is of anchors that occur more than once. A merge join can split a hot anchor
+    anchors = written(shared_anchors(rows), "anchors").hint("merge")
+    shared = written(rows.join(anchors, F.col("anchor") == F.col("a")).drop("a"), "shared")
+    units_ = shared.groupBy("anchor", "unit", "mixed").agg(F.sum("m").alias("n"), F.min(F.struct("doc_id", "text_hash", "s", "u")).alias("first"))
+    flagged = written(units_.filter("n > 1 or mixed"), "flagged")
     many = flagged.filter("n > 1").select(F.col("anchor").alias("a"), F.col("unit").alias("b"), "first")
-    copied = rows.join(many, (F.col("anchor") == F.col("a")) & (F.col("unit") == F.col("b")))
+    copied = shared.join(many, (F.col("anchor") == F.col("a")) & (F.col("unit") == F.col("b")))
     if keep == "first":
         is_first = F.struct("doc_id", "text_hash", "s", "u").eqNullSafe(F.col("first"))
         copied = copied.filter(~is_first | (F.col("m") > 1)).withColumn("s", F.when(is_first, F.col("t")).otherwise(F.col("s")))
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
-    wanted = flagged.filter("texts > 1").select("anchor", "first.*").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "s", "u")).alias("wanted"))
+    wanted = flagged.filter("mixed").select("anchor", "first.*").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "s", "u")).alias("wanted"))
     asked = texts.alias("t").join(wanted.alias("w"), same("t", "w")).select("t.doc_id", "t.text_hash", "t.text", "w.wanted")
     contexts = asked.mapInArrow(by_batch(_context_rows), CONTEXTS)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from pagelake.llm import fingerprints, lines, near, quotes, toxicity, warc
+from pagelake.llm import fingerprints, lines, near, quotes, suffixes, toxicity, warc
 
 TALK = "conv_id bigint, turn bigint, role string, text string"
 
@@ -83,3 +83,15 @@ def test_a_merged_sketch_is_that_of_all_shingles(spark):
 @pytest.mark.parametrize(("uri", "path"), [("file:///tmp/x", "/tmp/x"), ("s3a://bucket/a/b?region=us-east-1", "bucket/a/b"), ("s3n://bucket/a?region=us-east-1", "bucket/a")])
 def test_schemes_of_stores(uri, path):
     assert warc._opened(uri)[1] == path
+
+
+def test_only_units_of_repeated_anchors_move_on(spark, monkeypatch):
+    """After the one join that tells which anchors repeat, no unit of another anchor is moved or stored again."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (90, texts[7])], "doc_id bigint, text string")
+    kept = {}
+    monkeypatch.setattr(suffixes, "written", lambda df, name: kept.setdefault(name, df.localCheckpoint()))
+    found = {r.doc_id: r.n_removed for r in suffixes.repeated_bytes(docs, "none").collect()}
+    assert {k for k, n in found.items() if n} == {7, 90} and found[7] == len(texts[7])
+    assert {r.doc_id for r in kept["shared"].select("doc_id").distinct().collect()} == {7, 90}
+    assert kept["shared"].count() < kept["units"].count() / 10 and not kept["shared"].filter("mixed").count()
