@@ -27,10 +27,17 @@ def _null() -> Column:
     return F.parse_json(F.lit("null"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body has it: lambdas know no common subexpressions."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def kind(value: Column) -> Column:
     """What jq calls the type of a variant."""
+    names = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     name = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    return F.when(name == "OBJECT", "object").when(name == "ARRAY", "array").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null").otherwise("number")
+    return F.when(name.isNull(), "number").otherwise(F.coalesce(F.try_element_at(known, name), F.lit("number")))
 
 
 def _items(value: Column) -> Column:
@@ -43,20 +50,17 @@ def _members(value: Column) -> Column:
 
 def _at(value: Column, part: str | int) -> Column:
     """One member or item: null where there is none, an error (SQL null) where the value is of another type."""
-    if isinstance(part, int):
-        items = _items(value)
-        found = F.get(items, part) if part >= 0 else F.get(items, F.size(items) + part)
-        return F.when(kind(value) == "null", _null()).when(kind(value) == "array", F.coalesce(found, _null()))
-    found = F.try_element_at(_members(value), F.lit(part))
-    return F.when(kind(value) == "null", _null()).when(kind(value) == "object", F.coalesce(found, _null()))
+    absent = lambda whole: F.when(F.is_variant_null(value) | whole(value).isNotNull(), _null())
+    if isinstance(part, int) and part < 0:
+        return F.coalesce(_let(_items(value), lambda items: F.get(items, F.size(items) + part)), absent(_items))
+    found = F.try_variant_get(value, f"$[{part}]" if isinstance(part, int) else f'$["{part}"]', "variant")
+    return F.coalesce(found, absent(_items if isinstance(part, int) else _members))
 
 
 def _each(value: Column) -> Column:
     """All items, or members in the order of their names; one error for anything else."""
-    members = _members(value)
-    by_name = F.transform(F.array_sort(F.map_keys(members)), lambda k: F.try_element_at(members, k))
-    error = F.array(F.lit(None).cast("variant"))
-    return F.coalesce(F.when(kind(value) == "array", _items(value)).when(kind(value) == "object", by_name), error)
+    by_name = _let(_members(value), lambda members: F.transform(F.array_sort(F.map_keys(members)), lambda k: F.try_element_at(members, k)))
+    return F.coalesce(_items(value), by_name, F.array(F.lit(None).cast("variant")))
 
 
 def _parts(path: str) -> list[str | int | None] | None:
@@ -87,19 +91,24 @@ def _walk(values: Column, parts: list, quiet: bool) -> Column:
 
 
 def _single(value: Column, parts: list) -> Column:
-    for part in parts:
-        value = F.when(value.isNotNull(), _at(value, part))
-    return value
+    if not parts:
+        return value
+    return _single(_let(value, lambda v: F.when(v.isNotNull(), _at(v, parts[0]))), parts[1:])
 
 
 def _holds(left: Column, op: str, right: Column) -> Column:
     """A comparison of two values: by number, by text, and of other types by equality alone; of values of two types only != holds."""
-    same, number = kind(left) == kind(right), kind(left) == "number"
-    as_number = [F.try_variant_get(x, "$", "double") for x in (left, right)]
-    text = [F.when(kind(x) == "string", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x)) for x in (left, right)]
+    text = lambda x, k: F.when(k == "string", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x))
     test = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}[op]
-    ordered = kind(left).isin("string", "number", "array") if op not in ("==", "!=") else F.lit(True)
-    return F.when(left.isNull() | right.isNull(), False).when(~same, op == "!=").when(number, test(*as_number)).otherwise(ordered & test(*text))
+
+    def compare(s):
+        k = s["left_kind"]
+        ordered = k.isin("string", "number", "array") if op not in ("==", "!=") else F.lit(True)
+        as_number = [F.try_variant_get(s[x], "$", "double") for x in ("left", "right")]
+        return F.when(k != s["right_kind"], op == "!=").when(k == "number", test(*as_number)).otherwise(ordered & test(text(s["left"], k), text(s["right"], k)))
+
+    both = F.struct(left.alias("left"), kind(left).alias("left_kind"), right.alias("right"), kind(right).alias("right_kind"))
+    return F.when(left.isNull() | right.isNull(), False).otherwise(_let(both, compare))
 
 
 def _plain(name: str, v: Column) -> Column:
@@ -163,9 +172,9 @@ def compiled(program: str):
             def select(vs, left=left, op=m[2], right=right, literal=literal):
                 def one(v):
                     b = F.parse_json(F.lit(literal)) if right is None else _single(v, right)
-                    a = _single(v, left)
-                    broken = a.isNull() | b.isNull()
-                    return F.when(broken, F.array(F.lit(None).cast("variant"))).otherwise(F.filter(F.array(v), lambda _: _holds(a, op, b)))
+                    broken = lambda s: s["a"].isNull() | s["b"].isNull()
+                    fits = lambda s: F.filter(F.array(v), lambda _: _holds(s["a"], op, s["b"]))
+                    return _let(F.struct(_single(v, left).alias("a"), b.alias("b")), lambda s: F.when(broken(s), F.array(F.lit(None).cast("variant"))).otherwise(fits(s)))
 
                 return _flat(vs, one)
 
@@ -173,13 +182,12 @@ def compiled(program: str):
         elif (m := _OBJECT.match(text)) and (members := _object(m[1])):
             def build(vs, members=members):
                 def one(v):
-                    values = [_single(v, parts) for _, parts in members]
-                    text = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(json.dumps(name) + ":"), F.to_json(x)) for (name, _), x in zip(members, values)]), F.lit("}"))
-                    known = [x.isNotNull() for x in values]
-                    every = known[0]
-                    for k in known[1:]:
-                        every = every & k
-                    return F.array(F.when(every, F.try_parse_json(text)))
+                    def made(s):
+                        values = [s[f"v{k}"] for k in range(len(members))]
+                        text = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(json.dumps(name) + ":"), F.to_json(x)) for (name, _), x in zip(members, values)]), F.lit("}"))
+                        return F.when(~F.exists(F.array(*values), lambda x: x.isNull()), F.try_parse_json(text))
+
+                    return F.array(_let(F.struct(*[_single(v, parts).alias(f"v{k}") for k, (_, parts) in enumerate(members)]), made))
 
                 return _flat(vs, one)
 
@@ -206,5 +214,6 @@ def query_columns(df: DataFrame, body: str, program: str, out: str = "result") -
     rows = rows.withColumn("__found", run(F.array("__value")))
     first = F.array_position(F.transform("__found", lambda v: v.isNull()), True)
     kept = F.when(first == 0, F.col("__found")).otherwise(F.slice("__found", 1, F.greatest(first - 1, F.lit(0)).cast("int")))
-    shown = F.transform(kept, lambda v: F.when(kind(v) == "string", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v)))
+    text = lambda v, t: F.when(t.startswith('"'), F.try_variant_get(v, "$", "string")).otherwise(t)
+    shown = F.transform(kept, lambda v: _let(F.to_json(v), lambda t: text(v, t)))
     return rows.withColumn(out, F.explode(shown)).drop("__value", "__found")

@@ -59,3 +59,11 @@ def test_objects_are_built(spark):
 @pytest.mark.parametrize("program", ["map(.n)", ".a | add", ".[] | select(.a[] > 1)", "{a: .b[]}", "..", ".a as $x | $x"])
 def test_other_programs_do_not_compile(program):
     assert jq_columns.compiled(program) is None
+
+
+def test_a_value_is_computed_once(spark):
+    """Nested steps name a value once: before, each use of a member read it again."""
+    rows = spark.createDataFrame(list(enumerate(BODIES)), "id int, body string")
+    found = jq_columns.query_columns(rows, "body", ".items[] | select(.n >= 2) | {n, k}")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") <= 24  # 32 before
