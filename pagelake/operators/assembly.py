@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsons, urls
 from ..functions import text as tx
 from ..functions.dom import Node, parse_html
-from .catalog import PROBE_CONFIDENCE, bounded_rules
+from .catalog import PROBE_CONFIDENCE, ordered_rules
 from .extract import map_pages
 from .schemas import is_store, overridden
 
@@ -127,16 +127,34 @@ def known_site_schemas(targets: DataFrame, sites: DataFrame, answers: DataFrame
     the host, else the number of a segment; url_template keeps those that a later URL gives anew.
     """
     path = F.col("__p")
-    own = targets.select("url").distinct().withColumns({"__h": urls.hostname(F.col("url")), "__p": urls.path(F.col("url"))})
-    rules = bounded_rules(sites).withColumns({c: java_pattern(F.col(c)) for c in ("host_pattern", "path_pattern")})
-    both = own.join(F.broadcast(rules), F.expr("regexp_like(__h, host_pattern) and regexp_like(__p, path_pattern)"))
-    found = overridden(named_groups(F.col("__h"), F.col("host_pattern")), named_groups(path, F.col("path_pattern")))
-    both = both.withColumn("__v", overridden(found, query_values(F.col("url"))))
-    both = both.withColumn("__v", F.map_concat("__v", _positional(F.col("variables"), F.col("__v"), urls.segments(path))))
-    both = both.withColumn("api_url", fill_template(F.col("api_url_template"), F.col("__v")))
-    if answers is not None:
-        both = both.join(answers.select("api_url"), "api_url", "left_semi")
-    first = both.withColumn("__n", F.row_number().over(Window.partitionBy("url").orderBy("ord"))).filter("__n = 1")
+    rules = sites.withColumns({c: java_pattern(F.col(c)) for c in ("host_pattern", "path_pattern")}).withColumn("as_is", F.lit(True))
+    if answers is not None:  # a template that a URL fills nothing into is one api_url for all URLs: its answer belongs to the rule
+        asked_once = answers.join(F.broadcast(rules.select(F.col("api_url_template").alias("api_url")).distinct()), "api_url", "left_semi").distinct()
+        given = F.broadcast(asked_once.withColumnRenamed("api_url", "__given"))
+        rules = rules.join(given, F.col("api_url_template") == F.col("__given"), "left").withColumn("as_is", F.col("__given").isNotNull()).drop("__given")
+    rules = F.broadcast(ordered_rules(rules))
+    names = ["ord", "name", "host_pattern", "path_pattern", "api_url_template", "variables", "as_is"]
+
+    def ruled(rows: DataFrame, number: Column) -> DataFrame:
+        """rows (url, the number of a rule) with that rule and the values that it finds."""
+        both = rows.crossJoin(rules).withColumn("__r", F.get("__rules", number)).drop("__rules")
+        both = both.withColumns({"__h": urls.hostname(F.col("url")), "__p": urls.path(F.col("url"))}).select("*", *[F.col("__r")[c].alias(c) for c in names]).drop("__r")
+        found = overridden(named_groups(F.col("__h"), F.col("host_pattern")), named_groups(path, F.col("path_pattern")))
+        both = both.withColumn("__v", overridden(found, query_values(F.col("url"))))
+        both = both.withColumn("__v", F.map_concat("__v", _positional(F.col("variables"), F.col("__v"), urls.segments(path))))
+        return both.withColumn("api_url", fill_template(F.col("api_url_template"), F.col("__v")))
+
+    own = targets.select("url").distinct().withColumns({"__h": urls.hostname(F.col("url")), "__p": urls.path(F.col("url"))}).crossJoin(rules)
+    fits = F.transform("__rules", lambda r, i: F.when(F.regexp_like(F.col("__h"), r["host_pattern"]) & F.regexp_like(F.col("__p"), r["path_pattern"]), i))
+    fits = F.filter(fits, lambda i: i.isNotNull())
+    if answers is None:
+        first = own.select("url", F.get(fits, 0).alias("__i")).filter("__i is not null")
+    else:  # only URLs, rule numbers and api_urls move
+        asked = ruled(own.select("url", F.explode(fits).alias("__i")), F.col("__i"))
+        asked = asked.select("url", "__i", "api_url", (F.col("api_url") == F.col("api_url_template")).alias("__same"), "as_is")
+        filled = asked.filter("not __same").select("url", "__i", "api_url").join(answers.select("api_url").distinct(), "api_url", "left_semi")
+        first = asked.filter("__same and as_is").select("url", "__i").unionByName(filled.select("url", "__i")).groupBy("url").agg(F.min("__i").alias("__i"))
+    first = ruled(first, F.col("__i"))
     kept = F.transform(F.filter("variables", lambda v: v["source"].isin("path", "path_rest", "query")), lambda v: v["name"])
     described = F.lit(SITE_DESCRIPTION)
     for name, text in SITE_DESCRIPTIONS.items():

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagelake.functions import row_templates
-from pagelake.operators import catalog
+from pagelake.operators import assembly, catalog
 
 
 def test_known_sites_and_stores_rank_with_the_others(spark):
@@ -34,3 +34,15 @@ def test_the_least_page_stands_for_a_url(spark):
     pages = spark.createDataFrame([(k, "https://a.com/p") for k in (9, 3, 7, 5)], "page_id int, url string").repartition(4)
     asked = catalog.probe_candidates(pages).withColumns({"score": F.lit(1), "method": F.lit("GET"), "url_template": F.col("probe_url")})
     assert [(r.page_id, r.rank) for r in catalog.rank_candidates(asked).orderBy("rank").collect()] == [(3, 1), (3, 2), (3, 3)]
+
+
+def test_rules_do_not_move_with_urls(spark):
+    """Known sites' schemas with answers: a template that is filled with nothing is answered once for all URLs, and no rule is sorted with them."""
+    kinds = f"ord int, name string, host_pattern string, path_pattern string, api_url_template string, variables {row_templates.VARIABLES}"
+    sites = spark.createDataFrame([(5, "all", ".", ".", "https://api/all", []), (1, "one", ".", "^/p/", "https://api/{id}", [("id", "path", "1")]), (0, "none", ".", ".", "https://api/none", [])], kinds)
+    targets = spark.createDataFrame([(f"https://a.com/p/{k}",) for k in range(40)] * 2 + [(None,)], "url string")
+    answers = spark.createDataFrame([("https://api/all",), ("https://api/all",), ("https://api/3",), ("https://api/other",)], "api_url string")
+    found = assembly.known_site_schemas(targets, sites, answers)
+    assert {r.url: r.name for r in found.collect()} == {f"https://a.com/p/{k}": "one" if k == 3 else "all" for k in range(40)} and found.count() == 40
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.name for r in assembly.known_site_schemas(targets, sites).collect()} == {"none"}
