@@ -50,3 +50,10 @@ def test_nulls_and_empty_tables(spark):
     patterns = spark.createDataFrame([("a.com", "/", 1), ("a.com", None, 2), (None, "/", 3)], SCHEMA)
     assert {(r.url, r.ord) for r in catalog.pattern_hits(targets, patterns).collect()} == {("https://a.com", 1), ("https://a.com/", 1)}
     assert catalog.pattern_hits(targets, patterns.limit(0)).count() == 0
+
+
+def test_the_least_page_stands_for_a_url(spark):
+    pages = spark.createDataFrame([(k, f"https://a.com/{p}/b") for p in "xy" for k in (9, 3, 7, 5)], "page_id int, url string").repartition(4)
+    stored = spark.createDataFrame([("a.com", "/x/b", 1), ("a.com", "/{}/b", 2)], SCHEMA)
+    found = catalog.match_patterns(pages, stored).select("url", "page_id", "url_pattern").collect()
+    assert sorted(map(tuple, found)) == [("https://a.com/x/b", 3, "/x/b"), ("https://a.com/y/b", 3, "/{}/b")]
