@@ -48,6 +48,19 @@ def test_responses_by_endpoint(spark, tmp_path):
     assert found == {1: {"click": {"n": 1}, "view": {"n": 2}}, 2: None, 3: {"signup": {"n": 5}}}
 
 
+def test_responses_are_in_the_order_of_names(spark, tmp_path):
+    """All ids are even, so the registered SQL reads every row. A name may begin another; a response without a name is no member."""
+    names = ["list", "list all", "list!", "Z", "é", None, "list"]
+    events = [(2 * k, 1, n) for k, n in enumerate(names)] + [(20, 2, None), (22, 3, "a"), (24, 3, None), (26, 4, "error"), (30, None, "b")]
+    columns = "event_id bigint, user_id bigint, event_type string, props string, ts string"
+    spark.createDataFrame([(*e, "{}", "2024-01-01") for e in events], columns).write.parquet(str(tmp_path / "events.parquet"))
+    found = {r.capture_id: r.data for r in plans.QUERIES["responses_by_endpoint"](spark, str(tmp_path)).collect()}
+    assert list(json.loads(found[1])) == ["Z", "list", "list all", "list!", "é"] and json.loads(found[1])["list"] == {"n": 12}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert found == dict(con.execute(plans.ORACLE_SQL["responses_by_endpoint"]).fetchall())
+
+
 @pytest.mark.parametrize("name", ["url_semantic_score", "probe_candidates_ranked", "pattern_match_best", "schema_lookup_priority", "schema_ttl_expired", "schema_store_if_no_api", "schemas_per_domain", "endpoint_fill", "endpoint_rank", "primary_endpoints", "catalog_union"])
 def test_catalog(spark, name):
     sql = plans.ORACLE_SQL[name]
