@@ -76,6 +76,22 @@ def test_catalog(spark, name):
     assert sorted(rows(spark, name), key=key) == sorted(expected, key=key)
 
 
+@pytest.mark.parametrize(("name", "times", "plus"), [("endpoint_fill", 6, 0), ("endpoint_rank", 6, 0), ("catalog_union", 6, 0), ("primary_endpoints", 2, 1)])
+def test_orders_without_a_customer_or_status(spark, tmp_path, name, times, plus):
+    """The keys pass the row filters of the registered SQL, which is run as it is."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT o_orderkey * {times} + {plus} AS o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS o_custkey,
+        CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS o_orderstatus, o_totalprice FROM '{DATA}/orders.parquet') TO '{tmp_path}/orders.parquet'""")
+    con.execute(f"COPY (SELECT * FROM '{DATA}/pages.parquet') TO '{tmp_path}/pages.parquet'")
+    for table in ("pages", "orders"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    result = con.execute(plans.ORACLE_SQL[name])
+    names = [x[0] for x in result.description]
+    key = lambda r: repr(sorted(r.items()))
+    expected = sorted((dict(zip(names, r)) for r in result.fetchall()), key=key)
+    assert sorted((r.asDict() for r in plans.QUERIES[name](spark, str(tmp_path)).collect()), key=key) == expected
+
+
 def test_traffic_documents(spark, har):
     expected, n = {}, {}
     for r in har:
