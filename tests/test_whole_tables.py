@@ -61,6 +61,21 @@ def test_responses_are_in_the_order_of_names(spark, tmp_path):
     assert found == dict(con.execute(plans.ORACLE_SQL["responses_by_endpoint"]).fetchall())
 
 
+def test_patterns_of_urls_with_line_ends(spark, tmp_path):
+    """The keys pass the row filter of the registered SQL, which is run as it is. A line end at the end of a segment is part of it."""
+    ends = ["", "\n", "\r", "\r\n", "\u0085", "\u2028", "\u2029", "\x0b", " "]
+    paths = [p + e for e in ends for p in ("/7/12", "/7/12/", "/7/0123456789abcdef", "/7/123e4567-e89b-12d3-a456-426614174000", "/x/12/y")]
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").selectExpr("page_id * 3 page_id", "url", "html")
+    odd = [(-3 * k, f"https://h{k}.com{p}" if k % 2 else f"https://h.com{p}", "") for k, p in enumerate(paths, 1)]
+    pages.unionByName(spark.createDataFrame(odd, "page_id int, url string, html string")).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("pattern_match_best", "url_dynamic_segments"):
+        result = con.execute(plans.ORACLE_SQL[name])
+        names = [x[0] for x in result.description]
+        assert sorted(map(tuple, plans.QUERIES[name](spark, str(tmp_path)).select(*names).collect())) == sorted(result.fetchall()), name
+
+
 @pytest.mark.parametrize("name", ["url_semantic_score", "probe_candidates_ranked", "pattern_match_best", "schema_lookup_priority", "schema_ttl_expired", "schema_store_if_no_api", "schemas_per_domain", "endpoint_fill", "endpoint_rank", "primary_endpoints", "catalog_union"])
 def test_catalog(spark, name):
     sql = plans.ORACLE_SQL[name]
