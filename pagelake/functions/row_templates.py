@@ -96,13 +96,13 @@ def checked(variables: Column) -> Column:
 
 def variable(v: Column, url: Column) -> Column:
     """The value of a checked variable (name, source, pattern, ok) out of a URL; null if it has none."""
-    path = F.regexp_replace(urls.path(url), "^/+|/+$", "")
+    path = F.regexp_replace(urls.path(url), r"^/+|/+\z", "")
     path = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
     parts, index = F.split(path, "/", -1), F.when(v["pattern"].rlike(r"^[+-]?\d{1,9}$"), v["pattern"].cast("int"))
     fits = F.filter(F.reverse(parts), lambda s: F.rlike(s, v["pattern"]))
     last = F.get(F.filter(F.reverse(parts), lambda s: s != ""), 0)
     rest = F.when((index >= 0) & (index < F.size(parts)), F.array_join(F.slice(parts, index + 1, F.greatest(F.size(parts), F.lit(1))), "/"))
-    pairs = F.transform(F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != ""), lambda p: F.struct(F.try_url_decode(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), F.try_url_decode(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
+    pairs = F.transform(F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != ""), lambda p: F.struct(F.try_url_decode(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), F.try_url_decode(F.regexp_extract(p, r"(?s)^[^=]*=(.*)\z", 1)).alias("v")))
     asked = F.coalesce(F.get(F.filter(pairs, lambda p: p["k"] == v["pattern"]), 0)["v"], F.lit(""))
     by_path = F.when(index.isNotNull(), F.get(parts, index)).when(v["ok"], F.get(fits, 0)).otherwise(last)
     return F.when(v["source"] == "fixed", v["pattern"]).when(v["source"] == "query", asked).when(v["source"] == "path_rest", rest).when(v["source"].isin("path", "url"), by_path)

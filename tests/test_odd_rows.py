@@ -39,3 +39,15 @@ def line_ends(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["rules_by_domain", "url_normalize_host", "domain_semi_join", "domain_anti_join"])
 def test_hosts_of_urls_with_line_ends(spark, line_ends, name):
     assert differences(spark, line_ends, name) == ([], [], 0)
+
+
+@pytest.mark.parametrize("name", ["probe_candidates_all", "probe_candidates_ranked"])
+def test_probes_of_urls_with_line_ends_or_no_host(spark, tmp_path, name):
+    shapes = ["/x?q=1{}", "/x/?q={}&z", "/x#a{}", "/x#{}?b", "/x/{}", "/en/12/{}?q=1{}", "/x{}/"]
+    urls = [f"https://h{i}x{k}.example.net" + s.replace("{}", e) for i, s in enumerate(shapes) for k, e in enumerate(ENDS)]
+    urls += ["a/b", "/a/b/?q=1", "https:///a/12", "https://", "//h.example.net/a", "", None]
+    write(spark, tmp_path, "pages", [(12 * k, u) for k, u in enumerate(urls, 1)], "page_id bigint, url string")
+    assert differences(spark, tmp_path, name) == ([], [], 0)
+    if name == "probe_candidates_all":
+        asked = plans.QUERIES[name](spark, str(tmp_path)).filter("probe_url is null")
+        assert [r.page_id for r in asked.collect()] == [12 * len(urls)]  # nothing is asked only without a url
