@@ -51,3 +51,12 @@ def test_probes_of_urls_with_line_ends_or_no_host(spark, tmp_path, name):
     if name == "probe_candidates_all":
         asked = plans.QUERIES[name](spark, str(tmp_path)).filter("probe_url is null")
         assert [r.page_id for r in asked.collect()] == [12 * len(urls)]  # nothing is asked only without a url
+
+
+@pytest.mark.parametrize("name", ["page_headings", "page_title_lang", "rules_by_domain"])
+def test_texts_that_end_in_separators(spark, tmp_path, name):
+    """U+001C to U+001F are no blanks: neither the reference nor the SQL takes them off."""
+    texts = ["\x1ca\x1f", "\x1d", "a\x1e ", " \x1fb", "a &amp; b"]
+    pages = [(k, f"https://h{k % 3}.example.net/{k}", f'<html lang="en"><head><title>{t}</title></head><body><h1>{t}</h1></body></html>') for k, t in enumerate(texts)]
+    write(spark, tmp_path, "pages", pages, "page_id bigint, url string, html string")
+    assert differences(spark, tmp_path, name) == ([], [], 0)
