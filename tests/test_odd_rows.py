@@ -60,3 +60,9 @@ def test_texts_that_end_in_separators(spark, tmp_path, name):
     pages = [(k, f"https://h{k % 3}.example.net/{k}", f'<html lang="en"><head><title>{t}</title></head><body><h1>{t}</h1></body></html>') for k, t in enumerate(texts)]
     write(spark, tmp_path, "pages", pages, "page_id bigint, url string, html string")
     assert differences(spark, tmp_path, name) == ([], [], 0)
+
+
+def test_pages_without_title_or_language(spark, tmp_path):
+    pages = ["<html><body>x</body></html>", '<html lang=""><head><title></title></head><body></body></html>', "", None, '<html lang="en"><head></head><body></body></html>']
+    write(spark, tmp_path, "pages", [(k, f"https://h/{k}", h) for k, h in enumerate(pages)], "page_id bigint, url string, html string")
+    assert differences(spark, tmp_path, "page_title_lang") == ([], [], 0)
