@@ -66,3 +66,16 @@ def test_pages_without_title_or_language(spark, tmp_path):
     pages = ["<html><body>x</body></html>", '<html lang=""><head><title></title></head><body></body></html>', "", None, '<html lang="en"><head></head><body></body></html>']
     write(spark, tmp_path, "pages", [(k, f"https://h/{k}", h) for k, h in enumerate(pages)], "page_id bigint, url string, html string")
     assert differences(spark, tmp_path, "page_title_lang") == ([], [], 0)
+
+
+def orders(spark, folder, rows):
+    write(spark, folder, "orders", rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double")
+    return str(folder)
+
+
+def test_an_order_without_a_key_is_no_primary_endpoint(spark, tmp_path):
+    """The registered SQL has nulls last; its row filter leaves such orders out, so the result is written down here."""
+    d = orders(spark, tmp_path, [(7, 1, "O", 1000.0), (None, 1, "O", 1000.0), (None, 2, "O", 1000.0), (11, 3, "F", 1000.0), (None, 3, "F", 400000.0)])
+    found = {r.domain: (r.ord, r.is_primary) for r in plans.QUERIES["primary_endpoints"](spark, d).collect()}
+    # one that is marked comes before all others, with a key or without
+    assert found == {"h1.example.com": (7, False), "h2.example.com": (None, False), "h3.example.com": (None, True)}
