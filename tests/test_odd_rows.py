@@ -79,3 +79,11 @@ def test_an_order_without_a_key_is_no_primary_endpoint(spark, tmp_path):
     found = {r.domain: (r.ord, r.is_primary) for r in plans.QUERIES["primary_endpoints"](spark, d).collect()}
     # one that is marked comes before all others, with a key or without
     assert found == {"h1.example.com": (7, False), "h2.example.com": (None, False), "h3.example.com": (None, True)}
+
+
+def test_endpoints_of_one_ord_are_ranked_by_template(spark, tmp_path):
+    status = "ZYXWVUTSRQPONMLKJIHGFEDCBA"
+    d = orders(spark, tmp_path, [(k, 1, s, 970.0 * 3 + 80) for s in status for k in (6, None)])
+    found = plans.QUERIES["endpoint_rank"](spark, d).orderBy("rank").collect()
+    assert [r.rank for r in found] == list(range(1, 53)) and [r.is_primary for r in found] == [True] + [False] * 51
+    assert [r.url_template for r in found] == [f"/api/{s}/6" for s in sorted(status.lower())] + [f"/api/{s}/" for s in sorted(status.lower())]
